@@ -28,7 +28,8 @@ MAX_ITEM_BYTES = 32 << 20
 #: Name of the added column; it may not clash with one of the documents.
 COLUMN = "__hits"
 HITS = "n_words long, n_hit long, items array<long>, runs array<struct<first:int,last:int>>, spans array<struct<start:int,end:int>>"
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word of the text as it was, before lower-casing.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _built: dict[str, object] = {}
 
