@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def sub_batches(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text column holds about max_bytes each (one row at least)."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         n = 0 if n is None or n != n else int(n)
