@@ -24,9 +24,9 @@ from parallax.llm.common import held_out
 SIZES = (4, 6, 8)
 BITS = 20
 #: Features kept: those with the surest ratios.
-FEATURES = 6000
+FEATURES = 4000
 #: The classifier is fitted on at most about so many labelled documents of each class, chosen by a hash of their id.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 3000
 THRESHOLD = 0.7
 SMOOTHING = 1.0
 
@@ -81,13 +81,6 @@ def score(model: Model, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratio of each feature and how many standard errors it is from none."""
-    a, b = SMOOTHING, SMOOTHING
-    r = np.log((pos + a) / (n_pos + 2 * a)) - np.log((neg + b) / (n_neg + 2 * b))
-    return r, np.abs(r) / np.sqrt(1 / (pos + a) + 1 / (neg + b))
-
-
 def regress(doc: np.ndarray, place: np.ndarray, r: np.ndarray, y: np.ndarray, *, penalty: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights of ratio-scaled features, and the intercept; classes weigh alike."""
     w, b = np.zeros(len(r)), 0.0
@@ -129,34 +122,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, f
         return None
     share = F.when(F.col("y") == 1, min(1 << 30, int(sample_docs / counts[1] * (1 << 30)))).otherwise(min(1 << 30, int(sample_docs / counts[0] * (1 << 30))))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y")
+    # The chosen ids are bounded by the sample's size, so that they may be broadcast.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return None
 
     def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((2, 1 << BITS), dtype=np.int64)
-        size = [0, 0]
+        n = np.zeros((2, 1 << BITS), dtype=np.int32)
         for pdf in it:
             for y in (0, 1):
-                own = pdf.loc[pdf["y"] == y, "text"]
-                size[y] += len(own)
-                for _, group in _batches(iter([own])):
-                    n[y] += np.bincount(present(group)[1], minlength=1 << BITS)
+                for _, group in _batches(iter([pdf.loc[pdf["y"] == y, "text"]]), 1 << 20):
+                    n[y] += np.bincount(present(group)[1], minlength=1 << BITS).astype(np.int32)
         at = np.flatnonzero(n.sum(axis=0))
-        yield pd.DataFrame({"f": np.append(at, -1), "neg": np.append(n[0][at], size[0]), "pos": np.append(n[1][at], size[1])})
+        yield pd.DataFrame({"f": at, "neg": n[0][at], "pos": n[1][at]})
 
-    by_feature = sample.mapInPandas(counted, "f long, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    # At most 2 ** BITS rows, whatever the corpus.
-    c = by_feature.where("f < 0 or neg + pos >= 4").toPandas().sort_values("f")
-    if c.empty:
-        return None
-    n_neg, n_pos = int(c["neg"].iloc[0]), int(c["pos"].iloc[0])
-    if c["f"].iloc[0] != -1 or not n_neg or not n_pos:
+    def smooth(column: str, n: int):
+        return F.log((F.col(column) + SMOOTHING) / (n + 2 * SMOOTHING))
+
+    by_feature = sample.repartition(8, "doc_id").mapInPandas(counted, "f long, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    rated = by_feature.where("neg + pos >= 4").select("f", (smooth("pos", sizes[1]) - smooth("neg", sizes[0])).alias("r"), F.sqrt(1 / (F.col("pos") + SMOOTHING) + 1 / (F.col("neg") + SMOOTHING)).alias("error"))
+    best = rated.orderBy(F.desc(F.abs("r") / F.col("error")), "f").limit(features).select("f", "r").collect()
+    if not best:
         return None
-    c = c.iloc[1:]
-    r, sure = ratios(c["pos"].to_numpy(float), c["neg"].to_numpy(float), n_pos, n_neg)
-    best = np.sort(np.argsort(-sure, kind="stable")[:features])
-    r = r[best]
+    best.sort()
+    r = np.array([x["r"] for x in best])
     places = np.zeros(1 << BITS, dtype=np.int32)
-    places[c["f"].to_numpy()[best]] = np.arange(1, len(best) + 1)
+    places[[x["f"] for x in best]] = np.arange(1, len(best) + 1)
     shared = docs.sparkSession.sparkContext.broadcast(places)
 
     @F.pandas_udf("binary")
