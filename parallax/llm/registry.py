@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import decontaminate, language, packing, toxicity
+from parallax.llm import decontaminate, language, media, packing, pii, simhash, toxicity
 from parallax.llm.common import table
 
 
@@ -26,6 +26,18 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.report(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The rank file of the byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
@@ -34,7 +46,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_packing, op7_language)
+    own = (op1_decontaminate, op2_toxicity, op3_packing, op5_media, op7_language, op8_pii, op10_simhash)
     return {f.__name__: f for f in own}
 
 
