@@ -29,7 +29,7 @@ FRAME, HOP, FFT, BANDS = 200, 80, 256, 24
 #: Frames of one tensor.
 TENSOR_FRAMES = 32
 #: Decibels above the median energy at which a segment begins, and at which it ends.
-ON_DB, OFF_DB = 1.5, 0.5
+ON_DB, OFF_DB = 0.4, -0.1
 #: Steps of a natural log unit that the digest of features tells apart.
 STEPS = 8
 STORED = "doc_id long, n_bytes long, media binary"
