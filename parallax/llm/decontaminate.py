@@ -170,3 +170,18 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     hits = find_hits(docs.select("doc_id", "text"), benchmark, **options)
     ids = F.array_sort(F.transform(f"{COLUMN}.items", lambda x: x.cast("string")))
     return hits.select("doc_id", F.col(f"{COLUMN}.n_words").alias("n_words"), F.col(f"{COLUMN}.n_hit").alias("n_hit"), F.size(f"{COLUMN}.items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), is_contaminated(F.col(COLUMN)).alias("contaminated"))
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with d as (select doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, w, least(len(w), {WINDOW}) as n from (select item_id, {_SQL_WORDS} as w from benchmark) where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as g from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as i from b)),
+dw as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw))),
+hit as (select doc_id, i, n, item_id from dw join bw using (g, n)),
+words as (select doc_id, count(distinct i + k) as n_hit from (select doc_id, i, unnest(range(n)) as k from hit) group by 1),
+items as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id::varchar as item_id from hit) group by 1)
+select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""

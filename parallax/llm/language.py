@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), p(F.col("text")).alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, model: Model | None = None, *, min_score: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model | None = None, *, min_score: float = 0.3) -> DataFrame:
     """docs without those whose language is unknown or scores under min_score; columns as they were."""
     columns = docs.columns
     p = predictor(docs, model or fit(docs))

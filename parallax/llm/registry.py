@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import decontaminate, language, media, packing, pii, simhash, toxicity
+from parallax.llm import decontaminate, language, licences, media, packing, pii, repeats, simhash, toolcalls, toxicity
 from parallax.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.report(table(spark, sf_dir, "conversations"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -46,9 +58,9 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_packing, op5_media, op7_language, op8_pii, op10_simhash)
+    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_toolcalls": toolcalls.ORACLE_SQL, "op6_licences": licences.ORACLE_SQL}
