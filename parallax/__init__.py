@@ -1,0 +1 @@
+"""Structural comparison of two versions of a body of material, as Spark DataFrame operators."""
