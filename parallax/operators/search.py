@@ -17,7 +17,7 @@ def grep(files: DataFrame, query: str, *, max_results: int | None = None) -> Dat
     return scored.orderBy(F.desc("score"), "path").limit(max_results) if max_results else scored
 
 
-def search_names(names: DataFrame, query: str, mode: str = "partial", *, limit: int = 50) -> DataFrame:
+def search_names(names: DataFrame, query: str, mode: str = "partial", *, limit: int | None = 50) -> DataFrame:
     """Rows whose name fits: exact, partial, word, regex or fuzzy (contained, or at most two edits)."""
     n, q = F.col("name"), F.lit(query)
     fit = {
@@ -27,7 +27,8 @@ def search_names(names: DataFrame, query: str, mode: str = "partial", *, limit:
         "regex": n.rlike(query) if mode == "regex" else F.lit(False),
         "fuzzy": F.lower(n).contains(query.lower()) | (F.levenshtein(F.lower(n), F.lit(query.lower()), 2) >= 0),
     }[mode]
-    return names.where(fit).withColumn("relevance", similarity.search_similarity(q, n)).orderBy(F.desc("relevance"), "name").limit(limit)
+    found = names.where(fit).withColumn("relevance", similarity.search_similarity(q, n))
+    return found.orderBy(F.desc("relevance"), "name").limit(limit) if limit else found
 
 
 def listed(matched: DataFrame, added: DataFrame, deleted: DataFrame, *, query: str | None = None, sort_by: str = "name", limit: int = 1000) -> DataFrame:
