@@ -35,11 +35,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
     # Shuffle files that only the cut lineage used can go now, not when the driver happens to collect its garbage.
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 

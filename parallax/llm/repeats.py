@@ -303,7 +303,9 @@ def _again(raw: DataFrame) -> DataFrame:
     """Segments of anchors that occur again; ``equal`` if all spans of the anchor are."""
     rows = raw.mapInArrow(_scan, SEGMENTS)
     anchors = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
-    return rows.join(anchors.where("n > 1").select("anchor", "n", (F.col("lo") == F.col("hi")).alias("equal")), "anchor")
+    # Counted apart, so that both sides of the join are dealt for it and a frequent anchor's rows can be split.
+    again = cut(anchors.where("n > 1").select("anchor", "n", (F.col("lo") == F.col("hi")).alias("equal")))
+    return rows.join(again, "anchor")
 
 
 def _with_lists(squeezed: DataFrame, rows: DataFrame, value, name: str, how: str) -> DataFrame:
