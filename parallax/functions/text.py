@@ -27,7 +27,7 @@ def extension(path: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines; one line end at the very end adds no line, and an empty text has none."""
-    body = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n$", "")
+    body = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), r"\n\z", "")
     return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(body, "\n", -1))
 
 
