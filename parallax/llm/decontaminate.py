@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import bound_batches
+
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
@@ -118,6 +120,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item
     place, without a shuffle. Beyond it, items are dealt into parts of that size, each part scans the documents in a
     pass of its own, and only documents with hits are shuffled to be merged.
     """
+    bound_batches(docs)
     parts = [benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(c).alias("t")) for c in item_texts]
     items = parts[0]
     for p in parts[1:]:

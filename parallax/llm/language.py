@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import held_out
+from parallax.llm.common import bound_batches, held_out
 
 WINDOW = 192
 WIDTHS = (2, 4, 6)
@@ -175,6 +175,7 @@ def predict(model: Model, texts: list[str | None], max_bytes: int = 4 << 20) ->
 
 def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
     """Fit on rows outside the held-out third. The sample is bounded by counting each language first."""
+    bound_batches(docs)
     labelled = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -202,6 +203,7 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_windows: int
 
 def predictor(docs: DataFrame, model: Model):
     """A column function of text: struct of lang and score."""
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(RESULT)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import sub_batches
+from parallax.llm.common import bound_batches, sub_batches
 
 BLOCK = 192
 SOURCE_RATE, UP, DOWN = 16_000, 1, 2
@@ -161,6 +161,7 @@ def store(docs: DataFrame, *, block: int = BLOCK) -> DataFrame:
                 media = [wave_file(t + b" " * (max(1, -(-len(t) // block)) * block - len(t))) for t in raw]
                 yield pa.record_batch([part.column("doc_id"), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
+    bound_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STORED)
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import sub_batches
+from parallax.llm.common import bound_batches, sub_batches
 
 TIERS = (256, 512, 1024)
 #: Tokens of a step group.
@@ -177,5 +177,6 @@ def _packed(tokenizer: str, with_ids: bool, block_tokens: int, tiers: tuple[int,
 
 def pack(docs: DataFrame, tokenizer: str, *, with_ids: bool = False, block_tokens: int = BLOCK_TOKENS, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     """A row for each piece of a document in a sequence; with ids also the piece's token ids."""
+    bound_batches(docs)
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return only.mapInArrow(_packed(tokenizer, with_ids, block_tokens, tiers), PIECES_WITH_IDS if with_ids else PIECES)

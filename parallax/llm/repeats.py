@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import cut
+from parallax.llm.common import bound_batches, cut
 
 LENGTH, GRAM = 200, 40
 REACH = LENGTH - GRAM + 1
@@ -327,6 +327,7 @@ def _runs(squeezed: DataFrame, judge: DataFrame, shards: int, spans_per_shard: i
 
 def remove_repeats(docs: DataFrame, *, spans_per_shard: int = SPANS, bytes_per_shard: int = BYTES_PER_SHARD) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (its remaining bytes)."""
+    bound_batches(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.cast("binary").alias("raw"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import cut
+from parallax.llm.common import bound_batches, cut
 
 SHINGLE = 3
 RADIUS = 3
@@ -221,6 +221,7 @@ def connect(edges: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fp, component_id."""
+    bound_batches(docs)
     own = cut(docs.select("doc_id", fingerprints(F.col("text").cast("string"), shingle).alias("fp")))
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = connect(links(nodes, radius=radius))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import held_out
+from parallax.llm.common import bound_batches, held_out
 
 SIZES = (4, 6, 8)
 BITS = 20
@@ -116,6 +116,7 @@ def _batches(it: Iterator[pd.Series], max_bytes: int = 2 << 20) -> Iterator[tupl
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, features: int = FEATURES) -> Model | None:
     """Fit on labelled rows outside the held-out third; None where a class has no row."""
+    bound_batches(docs)
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where(~held_out(F.col("doc_id")) & F.col("y").isin(0, 1))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, f
 
 
 def scorer(docs: DataFrame, model: Model | None):
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
