@@ -238,6 +238,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component; columns as they were."""
-    kept = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest id of each component, once; columns as they were."""
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    kept = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    # One key for the join and for repeated ids, so that texts are dealt once.
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
