@@ -74,7 +74,7 @@ def merged_stats(stats: DataFrame) -> DataFrame:
 def insights(summary_row: DataFrame) -> DataFrame:
     """Sentences that follow from a summary."""
     share = F.col("n_modified") / F.greatest(F.lit(1), F.col("n_total"))
-    said = F.array_compact(F.array(F.when(share > 0.5, F.lit("more than half of all rows were modified")), F.when(F.col("n_added") > 2 * F.col("n_deleted"), F.lit("growth: many more rows were added than deleted")), F.when(F.col("n_renamed") > F.col("n_modified"), F.lit("naming: more rows were renamed than modified")), F.when(F.col("n_unchanged") == F.col("n_total"), F.lit("nothing changed"))))
+    said = F.array_compact(F.array(F.when(share > 0.5, F.lit("more than half of all rows were modified")), F.when(F.col("n_added") > 2 * F.col("n_deleted"), F.lit("growth: many more rows were added than deleted")), F.when(F.col("n_renamed") > F.col("n_modified"), F.lit("naming: more rows were renamed than modified")), F.when(F.col("n_unchanged") == F.col("n_total"), F.lit("nothing changed")), F.format_string("%.1f%% of all rows changed", 100 * (F.col("n_total") - F.col("n_unchanged")) / F.greatest(F.lit(1), F.col("n_total")))))
     return summary_row.select(F.explode(said).alias("insight"))
 
 

@@ -89,7 +89,7 @@ def overall_similarity(spark, sf_dir):
 
 
 @query(_DIFF_SQL + """, s as (select count(*) filter (change_type = 'added') as a, count(*) filter (change_type = 'deleted') as d, count(*) filter (change_type = 'modified') as m, count(*) filter (change_type = 'renamed') as r, greatest(count(*) filter (in_a), count(*) filter (in_b)) as t from m)
-select unnest(list_filter([case when m / greatest(1, t) > 0.5 then 'more than half of all rows were modified' end, case when a > 2 * d then 'growth: many more rows were added than deleted' end, case when r > m then 'naming: more rows were renamed than modified' end, case when a + d + m + r = 0 then 'nothing changed' end], lambda x: x is not null)) as insight from s""")
+select unnest(list_filter([case when m / greatest(1, t) > 0.5 then 'more than half of all rows were modified' end, case when a > 2 * d then 'growth: many more rows were added than deleted' end, case when r > m then 'naming: more rows were renamed than modified' end, case when a + d + m + r = 0 then 'nothing changed' end, printf('%.1f%% of all rows changed', 100.0 * (t - greatest(0, t - a - d - m - r)) / greatest(1, t))], lambda x: x is not null)) as insight from s""")
 def insights(spark, sf_dir):
     return reports.insights(reports.summary(part_changes(spark, sf_dir)))
 
@@ -120,11 +120,11 @@ SQL["csv_report"] = _DIFF_SQL + "select 'part/' || coalesce(a.p_brand, b.p_brand
 def _people(spark, sf_dir):
     key = lambda c: F.regexp_replace(c, "[^0-9]", "")
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), key("c_name").alias("name"))
-    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), key("s_name").alias("name"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("9"), key("s_name"))).otherwise(key("s_name")).alias("name"))
     return a, b
 
 
-_PEOPLE_SQL = "with a as (select c_custkey as id, regexp_replace(c_name, '[^0-9]', '', 'g') as name from customer), b as (select s_suppkey as id, regexp_replace(s_name, '[^0-9]', '', 'g') as name from supplier) "
+_PEOPLE_SQL = "with a as (select c_custkey as id, regexp_replace(c_name, '[^0-9]', '', 'g') as name from customer), b as (select s_suppkey as id, case when s_suppkey % 5 = 0 then '9' else '' end || regexp_replace(s_name, '[^0-9]', '', 'g') as name from supplier) "
 
 
 @query(_PEOPLE_SQL + "select a.id as a, b.b, name, 1.0::double as score from a join (select name, max(id) as b from b group by 1) b using (name)")
