@@ -547,3 +547,117 @@ def refactoring_patterns(spark, sf_dir):
     """Patterns in clusters of changes of parts, brands as files."""
     found = refactor.patterns(_part_refactorings(spark, sf_dir))
     return found.groupBy("pattern").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+
+
+# More operators ------------------------------------------------------------------------------------------------
+
+
+@query(_CROSS_SQL + """, t as (select a, b, case lower(trim(a)) when 'algeria' then 'int' else lower(trim(a)) end as x, lower(trim(b)) as y from x, y)
+select a, b, 0.6 * (case when x = y then 1.0 else 0.0 end) + 0.3 + 0.1 as score from t where a not like '%[%' and b not like '%<%'""")
+def type_similarity(spark, sf_dir):
+    """Names taken as type names: unrelated ones share their (empty) arguments and dimensions only."""
+    return _name_pairs(spark, sf_dir).select("a", "b", similarity.type_similarity(F.col("a"), F.col("b")).alias("score"))
+
+
+@query("select p_partkey, 0.4 * 1.0 + 0.3 * 1.0 + 0.2 * (p_type = x)::int + 0.1 as score from (select *, case when p_partkey % 7 = 0 then 'X' else p_type end as x from part)")
+def signature_similarity(spark, sf_dir):
+    """A part as a function: its type is what it returns."""
+    p = table(spark, sf_dir, "part")
+    side = lambda t: F.struct(F.col("p_name").alias("name"), F.array(F.lit("a"), F.lit("b")).alias("params"), t.alias("return_type"), F.expr("cast(array() as array<string>)").alias("modifiers"))
+    other = F.when(F.col("p_partkey") % 7 == 0, "X").otherwise(F.col("p_type"))
+    return p.select("p_partkey", similarity.signature_similarity(side(F.col("p_type")), side(other)).alias("score"))
+
+
+@query("""with l as (select distinct l_suppkey as s, l_partkey as p, year(l_shipdate) % 2 as v from lineitem), a as (select s, list(p) as x from l where v = 0 group by 1), b as (select s, list(p) as y from l where v = 1 group by 1)
+select s as id, len(list_filter(x, lambda e: list_contains(y, e))) / greatest(len(x), len(y)) as overlap, len(list_filter(x, lambda e: list_contains(y, e))) / (len(x) + len(y) - len(list_filter(x, lambda e: list_contains(y, e)))) as jaccard from a join b using (s)""")
+def call_overlap(spark, sf_dir):
+    """Parts of a supplier in even and odd years as lists of calls."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("p"), (F.year("l_shipdate") % 2).alias("v"))
+    side = lambda v, n: l.where(F.col("v") == v).groupBy("id").agg(F.collect_set("p").alias(n))
+    x, y = F.col("x"), F.col("y")
+    return side(0, "x").join(side(1, "y"), "id").select("id", similarity.call_overlap(x, y).alias("overlap"), similarity.set_jaccard(x, y).alias("jaccard"))
+
+
+@query(_DIFF_SQL + """select p_partkey, case when not in_a then 'add' when not in_b then 'delete' when n1 <> n2 then 'rename' when s1 <> s2 then 'move' else 'modify' end as kind from (select m.*, a.p_name as n1, b.p_name as n2, a.p_size as s1, b.p_size as s2 from m left join part a using (p_partkey) left join part_b b using (p_partkey))""")
+def classified_changes(spark, sf_dir):
+    """The simple classifier on parts: sizes as lines, one file."""
+    side = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.col(f"{s}.p_name").alias("name"), F.lit("part").alias("file_path"), F.col(f"{s}.p_size").alias("start_line")))
+    own = part_changes(spark, sf_dir)
+    return own.select("p_partkey", classify.change_type(side("source"), side("target")).alias("kind"))
+
+
+@query(_TOKENS_SQL + "select count(*) as n, avg(score) as avg_score, count(*) filter (score > 0.95) as n_high, count(*) filter (score >= 0.7 and score <= 0.95) as n_medium, count(*) filter (score < 0.7) as n_low, arg_max(a, score * 1e9 - a) as most_similar, arg_min(a, score * 1e9 + a) as least_similar from j where score >= 0.5")
+def score_distribution(spark, sf_dir):
+    return reports.score_distribution(token_jaccard_pairs(spark, sf_dir))
+
+
+@query("with l as (select distinct l_partkey::varchar as name, l_returnflag as kind, 'f' || (l_suppkey % 50) as file_path, year(l_shipdate) % 2 as v from lineitem), a as (select * from l where v = 0), b as (select * from l where v = 1), gone as (select name, kind, file_path from a except select name, kind, file_path from b), new as (select name, kind, file_path from b except select name, kind, file_path from a), m as (select name, kind, gone.file_path as from_file, to_file from gone join (select name, kind, min(file_path) as to_file from new group by 1, 2) using (name, kind)), s as (select file_path as from_file, count(*) as n_symbols from (select distinct name, kind, file_path from a) group by 1) select from_file, to_file, count(*) as n, list_sort(list(name)) as names, n_symbols, count(*) / n_symbols as share from m join s using (from_file) group by from_file, to_file, n_symbols")
+def migrations_by_file(spark, sf_dir):
+    a, _ = _symbol_versions(spark, sf_dir)
+    return symbols.by_file_pair(symbol_migration(spark, sf_dir), a)
+
+
+@query(_TOKENS_SQL + ", f as (select 'g' || (a % 7) as x, 'g' || (b % 7) as y from j where score >= 0.5), u as (select x as file, 1 as o, 0 as i from f union all select y, 0, 1 from f) select file, sum(o)::bigint as moved_out, sum(i)::bigint as moved_in from u group by 1")
+def moves_per_file(spark, sf_dir):
+    p = token_jaccard_pairs(spark, sf_dir)
+    name = lambda c: F.concat(F.lit("g"), F.col(c) % 7)
+    return reports.per_file(p.select(name("a").alias("from_file"), name("b").alias("to_file")))
+
+
+@query("with recursive c as (select n_nationkey as id, n_regionkey as f, row_number() over (partition by n_regionkey order by n_nationkey) as r, count(*) over (partition by n_regionkey) as n from nation) select a.id as src, b.id as dst from c a join c b on a.f = b.f and a.id < b.id where a.n <= 10")
+def file_links(spark, sf_dir):
+    """Nations of a region linked to one another, as nodes of a small file."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("file_path"))
+    return graph.chain_links(n)
+
+
+@query("with n as (select 'n' || n_nationkey as node, ['r' || n_regionkey] as outgoing, (select coalesce(list_sort(list('c' || c_custkey)), []) from customer where c_nationkey = n_nationkey) as incoming from nation) select node, len(outgoing) as n_out, len(incoming) as n_in from n")
+def neighbour_lists(spark, sf_dir):
+    """How many neighbours each nation has either way."""
+    e = _edges(spark, sf_dir)
+    return graph.neighbours(e).where(F.col("node").rlike("^n")).select("node", F.size("outgoing").cast("long").alias("n_out"), F.size("incoming").cast("long").alias("n_in"))
+
+
+@query(_PARENTS_SQL + "select node, list(ancestor order by depth) as chain from (select node, ancestor, min(depth) as depth from a group by 1, 2) group by 1")
+def inheritance_chains(spark, sf_dir):
+    return hierarchy.chains(_parents(spark, sf_dir))
+
+
+@query("with a as (select n_regionkey as name, list('n' || n_nationkey) as old from nation where n_nationkey % 3 <> 0 group by 1), b as (select n_regionkey as name, list('n' || n_nationkey) as new from nation where n_nationkey % 3 <> 1 group by 1), m as (select * from a join b using (name)) select name, 'added' as change, unnest(list_filter(new, lambda x: not list_contains(old, x))) as value from m union all select name, 'removed', unnest(list_filter(old, lambda x: not list_contains(new, x))) from m")
+def interface_changes(spark, sf_dir):
+    """Regions as classes, their nations as interfaces, in two versions."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("name"), F.col("n_nationkey").alias("k"), F.concat(F.lit("n"), "n_nationkey").alias("v"))
+    side = lambda c: n.where(c).groupBy("name").agg(F.collect_list("v").alias("interfaces"))
+    return hierarchy.member_changes(side(F.col("k") % 3 != 0), side(F.col("k") % 3 != 1), "interfaces")
+
+
+@query("select coalesce(nullif(lower(regexp_extract(split_part(url, '/', -1), '.\\.([^.]+)$', 1)), ''), 'none') as extension, count(*) as n from pages group by 1")
+def by_extension(spark, sf_dir):
+    return reports.by_extension(table(spark, sf_dir, "pages"), "url")
+
+
+@query("select sum(s * w) / sum(w) as weighted_similarity from (select p_size as w, case when p_partkey % 7 = 0 then 0.5 else 1.0 end::double as s from part)")
+def weighted_similarity(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("w"), F.when(F.col("p_partkey") % 7 == 0, 0.5).otherwise(1.0).alias("s"))
+    return reports.weighted_similarity(p, "w", "s")
+
+
+@query(_TOKENS_SQL + "select a as doc, min(b) as first_partner, count(*) as n from j where score >= 0.5 and score >= 0.8 group by 1")
+def similar_above(spark, sf_dir):
+    """Documents with very similar partners."""
+    return candidates.k_nearest(token_jaccard_pairs(spark, sf_dir), 0.8, 1_000_000).groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("first_partner"), F.count("*").alias("n"))
+
+
+@query()
+def group_mappings(spark, sf_dir):
+    """Groups of documents of a source that map to groups of the same source."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("a"), F.col("source").alias("block"))
+    pairs = token_jaccard_pairs(spark, sf_dir).join(d, "a").select("block", "a", "b", "score")
+    return matching.group_mappings(pairs, 0.1)
+
+
+@query(_TURNS_SQL + f"select pair_id, count(*) as n_lines from (select pair_id, unnest({_LINES_SQL.format('source')}) as line from p) group by 1")
+def line_map_sources(spark, sf_dir):
+    """Lines of the source side as the look-ahead alignment lists them."""
+    rows = align.line_map(_turn_pairs(spark, sf_dir), mode="ahead")
+    return rows.where("source_line is not null").groupBy("pair_id").agg(F.count("*").alias("n_lines"))
