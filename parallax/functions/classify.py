@@ -39,7 +39,7 @@ def magnitude(kind: Column, similarity: Column) -> Column:
 
 
 #: Order of change types in reports (fixed values).
-PRIORITY = {"modified": 0, "renamed": 1, "added": 2, "deleted": 3, "moved": 4}
+PRIORITY = {"modified": 0, "added": 1, "deleted": 2, "renamed": 3, "moved": 4}
 
 
 def priority(kind: Column) -> Column:
@@ -50,7 +50,7 @@ def priority(kind: Column) -> Column:
 
 
 #: What each kind of change takes off the overall similarity (fixed values).
-PENALTY = {"added": 0.3, "deleted": 0.3, "renamed": 0.1, "modified": 0.2, "moved": 0.1, "split": 0.4, "merged": 0.4, "complex": 0.5}
+PENALTY = {"added": 0.3, "deleted": 0.3, "moved": 0.1, "renamed": 0.1, "modified": 0.2, "cross_file_move": 0.4, "split": 0.5, "merged": 0.5}
 
 
 def penalty(kind: Column) -> Column:
@@ -61,13 +61,13 @@ def penalty(kind: Column) -> Column:
 
 
 def line_tags(a: Column, b: Column) -> Column:
-    """Which of condition, return and assignment appear on one side only."""
-    flips = [F.when(a.contains(p) != b.contains(p), t) for p, t in (("if", "condition"), ("return", "return"), ("=", "assignment"))]
+    """Which of conditions, returns and assignments appear on one side only."""
+    flips = [F.when(a.contains(p) != b.contains(p), t) for p, t in (("if", "Control flow change"), ("return", "Return statement change"), ("=", "Assignment change"))]
     return F.array_compact(F.array(*flips))
 
 
 def move_ladder(similarity: Column) -> Column:
-    return F.when(similarity >= 0.95, "identical_move").when(similarity >= 0.85, "similar_move").when(similarity >= 0.75, "modified_move").otherwise("complex_move")
+    return F.when(similarity >= 0.95, "simple_move").when(similarity >= 0.85, "move_with_modification").when(similarity >= 0.75, "refactoring_move").otherwise("complex_move")
 
 
 def is_significant(kind: Column, score: Column) -> Column:

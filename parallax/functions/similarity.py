@@ -56,17 +56,27 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return 0.4 * edit_similarity(a["name"], b["name"]) + 0.3 * count_similarity(F.size(a["params"]), F.size(b["params"])) + 0.2 * same_return + 0.1 * common
 
 
-#: Names of types that different languages use for the same thing (fixed values).
-TYPE_GROUPS = {"int": ("int", "i32", "integer", "int32"), "long": ("long", "i64", "int64"), "float": ("float", "f32"), "double": ("double", "f64"), "bool": ("bool", "boolean"), "string": ("string", "str", "&str"), "void": ("void", "()", "none")}
-#: Pairs that are related though not the same (fixed values).
-RELATED_TYPES = (("list", "arraylist"), ("list", "vector"), ("list", "vec"), ("map", "hashmap"), ("set", "hashset"), ("int", "long"), ("float", "double"))
+# Names that different languages use for one type, and families of related types.
+TYPE_NAMES = {
+    "int": ("int", "Int32", "i32", "integer", "Integer"),
+    "long": ("long", "Int64", "i64", "Long"),
+    "float": ("float", "Float32", "f32", "Float"),
+    "double": ("double", "Float64", "f64", "Double"),
+    "string": ("str", "String", "string", "std::string"),
+    "bool": ("bool", "Boolean", "boolean"),
+    "char": ("char", "Character"),
+    "byte": ("byte", "Byte", "u8", "i8"),
+    "short": ("short", "Short", "i16", "u16"),
+    "void": ("void", "None", "null", "undefined"),
+}
+FAMILIES = (("int", "long", "float", "double", "byte", "short"), ("string", "String", "str", "char*"), ("List", "ArrayList", "Vector", "Array"))
 
 
 def normalised_type(t: Column) -> Column:
-    low = F.lower(F.trim(t))
-    out = low
-    for group, names in TYPE_GROUPS.items():
-        out = F.when(low.isin(*names), F.lit(group)).otherwise(out)
+    bare = F.trim(t)
+    out = bare
+    for name, same in TYPE_NAMES.items():
+        out = F.when(bare.isin(*same), F.lit(name)).otherwise(out)
     return out
 
 
@@ -84,19 +94,19 @@ def _dims(t: Column) -> Column:
 
 
 def type_base_similarity(a: Column, b: Column) -> Column:
-    x, y = normalised_type(a), normalised_type(b)
     related = F.lit(False)
-    for p, q in RELATED_TYPES:
-        related = related | ((x == p) & (y == q)) | ((x == q) & (y == p))
-    return F.when(x == y, 1.0).when(related, 0.7).otherwise(0.0)
+    for family in FAMILIES:
+        related = related | (a.isin(*family) & b.isin(*family))
+    return F.when(normalised_type(a) == normalised_type(b), 1.0).when(related, 0.7).otherwise(0.0)
 
 
 def type_similarity(a: Column, b: Column) -> Column:
-    """.6 base + .3 type arguments (a flat comparison of each; .3 of it if their numbers differ) + .1 array dimensions."""
+    """.6 base + .3 type arguments (a flat comparison of each; .3 of it if their numbers differ) + .1 array dimensions (half if both are arrays)."""
     g, h = _generics(a), _generics(b)
     inner = F.aggregate(F.zip_with(g, h, lambda x, y: 0.6 * type_base_similarity(_base(x), _base(y)) + 0.4), F.lit(0.0), lambda s, v: s + v) / F.greatest(F.lit(1), F.size(g))
     args = F.when(F.size(g) != F.size(h), 0.3).when(F.size(g) == 0, 1.0).otherwise(inner)
-    return 0.6 * type_base_similarity(_base(a), _base(b)) + 0.3 * args + 0.1 * (_dims(a) == _dims(b)).cast("double")
+    dims = F.when(_dims(a) == _dims(b), 1.0).when((_dims(a) > 0) & (_dims(b) > 0), 0.5).otherwise(0.0)
+    return 0.6 * type_base_similarity(_base(a), _base(b)) + 0.3 * args + 0.1 * dims
 
 
 def parameter_similarity(a: Column, b: Column) -> Column:

@@ -58,7 +58,7 @@ def version_diff_summary(spark, sf_dir):
     return reports.summary(part_changes(spark, sf_dir))
 
 
-_PRIORITY_SQL = "case change_type when 'modified' then 0 when 'renamed' then 1 when 'added' then 2 when 'deleted' then 3 when 'moved' then 4 else 5 end"
+_PRIORITY_SQL = "case change_type when 'modified' then 0 when 'added' then 1 when 'deleted' then 2 when 'renamed' then 3 when 'moved' then 4 else 5 end"
 
 
 @query(_DIFF_SQL + f"select p_partkey, name, change_type, magnitude from m where change_type <> 'same' order by {_PRIORITY_SQL}, magnitude desc, name, p_partkey limit 100")
@@ -552,11 +552,13 @@ def refactoring_patterns(spark, sf_dir):
 # More operators ------------------------------------------------------------------------------------------------
 
 
-@query(_CROSS_SQL + """, t as (select a, b, case lower(trim(a)) when 'algeria' then 'int' else lower(trim(a)) end as x, lower(trim(b)) as y from x, y)
-select a, b, 0.6 * (case when x = y then 1.0 else 0.0 end) + 0.3 + 0.1 as score from t where a not like '%[%' and b not like '%<%'""")
+@query("with t as (select distinct p_type as t from part), n as (select a.t || '<' || b.t || '>' as x, b.t || '<' || a.t || '>[]' as y, a.t as p, b.t as q from t a, t b) select x as a, y as b, case when p = q then 0.9 else 0.3 * 0.4 end::double as score from n")
 def type_similarity(spark, sf_dir):
-    """Names taken as type names: unrelated ones share their (empty) arguments and dimensions only."""
-    return _name_pairs(spark, sf_dir).select("a", "b", similarity.type_similarity(F.col("a"), F.col("b")).alias("score"))
+    """Part types as generic types of one another, one side an array."""
+    t = table(spark, sf_dir, "part").select(F.col("p_type").alias("t")).distinct()
+    pairs = t.select(F.col("t").alias("p")).join(F.broadcast(t.select(F.col("t").alias("q"))))  # a handful of types, whatever the scale
+    a, b = F.concat("p", F.lit("<"), "q", F.lit(">")), F.concat("q", F.lit("<"), "p", F.lit(">[]"))
+    return pairs.select(a.alias("a"), b.alias("b"), similarity.type_similarity(a, b).alias("score"))
 
 
 @query("select p_partkey, 0.4 * 1.0 + 0.3 * 1.0 + 0.2 * (p_type = x)::int + 0.1 as score from (select *, case when p_partkey % 7 = 0 then 'X' else p_type end as x from part)")

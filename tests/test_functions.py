@@ -86,4 +86,4 @@ def test_change_type(spark, other, want):
 
 
 def test_line_tags(spark):
-    assert value(spark, classify.line_tags(F.lit("x = 1"), F.lit("if y: return"))) == ["condition", "return", "assignment"]
+    assert value(spark, classify.line_tags(F.lit("x = 1"), F.lit("if y: return"))) == ["Control flow change", "Return statement change", "Assignment change"]
