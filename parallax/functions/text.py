@@ -56,8 +56,8 @@ def wanted(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...]
     return out
 
 
-#: Definitions whose names count as identifiers of a file.
-IDENTIFIERS = r"\b(?:class|interface|enum|struct|trait|function|fn|def|func|const|let|var|static|type)\s+([A-Za-z_][A-Za-z0-9_]*)"
+#: Definitions whose names count as identifiers of a file (fixed values).
+IDENTIFIERS = r"(?U)(?:class|interface|function|def|fn|const|let|var)[^\S\n]+(\w+)"
 
 
 def identifiers(text: Column) -> Column:

@@ -69,6 +69,28 @@ def _python(source: str):
     return node(tree, 1)
 
 
+#: Wrappers that a single child replaces (fixed values).
+WRAPPERS = frozenset(("Block", "ExpressionStatement"))
+
+
+def optimised(node):
+    """A nested tree without empty unknown leaves and wrappers of one child, neighbouring literals at most a line apart as one."""
+    children = []
+    for c in map(optimised, node[4]):
+        if c is None:
+            continue
+        last = children[-1] if children else None
+        if last and last[0] == c[0] == "Literal" and not last[4] and not c[4] and c[3] - last[3] <= 1:
+            children[-1] = [last[0], last[1], f"{last[2]} {c[2]}", last[3], []]
+        else:
+            children.append(c)
+    if not children and node[0] == "Unknown" and not node[2]:
+        return None
+    if node[0] in WRAPPERS and len(children) == 1:
+        return children[0]
+    return [*node[:4], children]
+
+
 def flat(file_id: str, root) -> pd.DataFrame:
     """Rows of a nested tree, without recursion."""
     rows: list[list] = []
@@ -90,14 +112,15 @@ def flat(file_id: str, root) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=_FIELDS).astype({"parent_pre": "Int32"})
 
 
-def parse(files: DataFrame, language: str = "html") -> DataFrame:
-    """Node rows of files (file_id, content)."""
+def parse(files: DataFrame, language: str = "html", *, optimise: bool = False) -> DataFrame:
+    """Node rows of files (file_id, content); optimise drops empty and wrapping nodes first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for f, content in zip(pdf["file_id"], pdf["content"]):
                 if language == "python":
-                    yield flat(f, _python(content or ""))
+                    root = _python(content or "")
+                    yield flat(f, (optimised(root) or root) if optimise else root)
                 else:
                     reader = _Markup()
                     reader.feed(content or "")

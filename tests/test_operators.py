@@ -192,6 +192,14 @@ def test_tree_tables(spark):
     assert got["f"].cyclomatic == 2 and got["f"].n_functions == 1 and got["bad"].n_nodes == 1
 
 
+def test_optimised_trees():
+    leaf = lambda kind, text="", line=1: [kind, kind, text, line, []]
+    tree = ["Program", "p", "", 1, [leaf("Unknown"), ["Block", "b", "", 1, [leaf("Identifier", "x")]], leaf("Literal", "1"), leaf("Literal", "2", 2), leaf("Literal", "3", 9), ["Block", "b", "", 3, [leaf("Unknown"), leaf("Unknown", "y")]]]]
+    got = trees.optimised(tree)
+    assert [(c[0], c[2]) for c in got[4]] == [("Identifier", "x"), ("Literal", "1 2"), ("Literal", "3"), ("Unknown", "y")]
+    assert trees.optimised(leaf("Unknown")) is None
+
+
 def test_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")], "src string, dst string")
     assert {(r.node, r.scc) for r in graph.cycles(e).collect()} == {("a", "a"), ("b", "a"), ("c", "a")}
