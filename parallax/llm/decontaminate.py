@@ -151,11 +151,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item
             rows.append((n, sum(hit), list(ids), [{"first": a, "last": b} for a, b in own], [{"start": a, "end": b} for a, b in original_spans(t, own)]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "runs", "spans"])
 
-    merged = merged.select("k0", "k1", "k2", joined("n", "t", "items", "runs").alias("merged_hits"))
+    merged = merged.select(*[F.col(f"k{i}").alias(f"__m{i}") for i in range(3)], joined("n", "t", "items", "runs").alias("__merged"))
     none = _scanner(docs.sparkSession.sparkContext.broadcast([]), "none", width)
     keyed = docs.withColumns({f"__k{i}": k for i, k in enumerate(key)})
-    out = keyed.join(merged, [keyed[f"__k{i}"].eqNullSafe(merged[f"k{i}"]) for i in range(3)], "left")
-    return out.withColumn(COLUMN, F.coalesce("merged_hits", none(F.col(text)))).drop("k0", "k1", "k2", "__k0", "__k1", "__k2", "merged_hits")
+    out = keyed.join(merged, F.expr(" and ".join(f"__k{i} <=> __m{i}" for i in range(3))), "left")
+    return out.withColumn(COLUMN, F.coalesce("__merged", none(F.col(text)))).drop(*[f"__{x}{i}" for x in "km" for i in range(3)], "__merged")
 
 
 def is_contaminated(hits: Column) -> Column:
