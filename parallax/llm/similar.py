@@ -2,10 +2,13 @@
 
 Different texts that are alike enough share some of the smallest hashes of their shingles. Texts meet in buckets of such
 hashes; within one, fingerprints span a minimum tree by Hamming distance, so that a bucket of any density gives one edge
-a text. Each edge is then verified on the shingle sets themselves, and what holds is joined into components.
+a text. Each edge is then verified on the shingle sets themselves, and what holds is joined into components. In this first
+part a bucket of more than SPLIT texts is dealt anew by pairs of hashes.
 
-The chance that two texts as similar as asked share none of KEYS smallest hashes is under 1e-5; texts of up to about 35 shingles
-share one for sure. A bucket of more than SPLIT texts is dealt anew by pairs of hashes.
+A second part makes the components complete. Two texts as similar as asked share a shingle among the first few of each, in any
+one order of shingles (prefixes; common shingles come last). Texts of different components that meet in a bucket of such a
+shingle are verified exactly, neighbours by size first, until no pair across components is left: the result is
+that of comparing all texts with all others.
 
 Defined cases: null, empty and blank texts have no shingles and count as copies of one another; texts with fewer words
 than a shingle are one shingle; equal texts and repeated rows are one node; a component is named by its smallest doc_id; empty tables give no rows.
@@ -19,6 +22,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallax.llm.common import bound_batches, cut
@@ -31,6 +35,10 @@ FAR = 22
 SPLIT, GROUP_ROWS = 20_000, 20_000
 #: Texts of a bucket up to which all of its edges are verified, not those of a tree only.
 FEW = 16
+#: Texts of which shingles are counted to put common ones last, and shingles so counted; they change the work, never the result.
+COUNTED, COMMON = 8000, 100_000
+#: Neighbours in a bucket that the first round of the second part compares, and pairs across components, for each text, up to which all are compared at once.
+SPAN, AT_ONCE = 16, 20
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -105,23 +113,116 @@ def edges(nodes: DataFrame) -> DataFrame:
     return dealt.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: _trees(pdf), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def components(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Per document: doc_id, component_id."""
-    bound_batches(docs)
-    own = cut(_nodes(docs, shingle))
-    nodes = cut(own.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    pairs = cut(edges(nodes))
-    wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles by count and hash, of which texts as similar as asked share one; common: sorted hashes, with their counts."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    length = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if not len(common):
+        return hashes[:length]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    seen = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, seen))[:length]]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = cut(docs.select(F.xxhash64(text).alias("th"), text.alias("t")).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("t").alias("t")))
+    return docs.select(F.xxhash64(text).alias("th"), text.alias("t"))
+
+
+def _common(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several of a few texts, sorted, and in how many texts they are."""
+
+    @F.pandas_udf("array<long>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, shingle).view(np.int64) for t in texts])
+
+    some = _texts(docs).where(F.pmod("th", F.lit(max(1, n // COUNTED))) == 0).groupBy("th").agg(F.first("t").alias("t"))
+    counted = some.select(F.explode(hashed("t")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    rows.sort(key=lambda r: r["h"] % (1 << 64))
+    return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+
+
+def _buckets(docs: DataFrame, n: int, shingle: int, similarity: float) -> DataFrame:
+    """key, th, size: texts by the shingles of their prefixes, without those alone in a bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, n, shingle))
+
+    @F.pandas_udf("size int, keys array<long>")
+    def prefixed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            hashes = [shingle_hashes(t, shingle) for t in texts]
+            yield pd.DataFrame({"size": np.array([len(h) for h in hashes], dtype=np.int32), "keys": [prefix(h, similarity, *shared.value).view(np.int64) for h in hashes]})
+
+    once = _texts(docs).select("th", prefixed("t").alias("p")).groupBy("th").agg(F.first("p").alias("p"))
+    dealt = once.select("th", F.col("p.size").alias("size"), F.explode("p.keys").alias("key"))
+    return dealt.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, ...) of texts that are as similar as asked."""
+    wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
+    texts = cut(_texts(docs).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("t").alias("t")))
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([jaccard(shingle_hashes(s, shingle), shingle_hashes(t, shingle)) >= similarity for s, t in zip(x, y)], dtype=bool)
 
     both = pairs.join(texts.select(F.col("th").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("th").alias("b"), F.col("t").alias("y")), "b")
-    roots = connect(both.where(alike("x", "y")).select("a", "b"))
-    named = nodes.join(roots, nodes["th"] == roots["node"], "left").select("th", "rep", F.coalesce("root", "th").alias("root"))
+    return both.where(alike("x", "y")).select(*pairs.columns)
+
+
+def completed(docs: DataFrame, roots: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(th, root) in which every two texts as similar as asked have one root; roots: th, root, joined of such texts only.
+
+    Each round compares neighbours by size within the buckets, farther ones than the round before, and joins what is alike. As soon
+    as few enough pairs across components are left in all, they are compared at once.
+    """
+    n = roots.count()
+    own = _buckets(docs, n, shingle, similarity).join(roots, "th")
+    mixed = own.withColumn("low", F.min("root").over(W.partitionBy("key"))).withColumn("high", F.max("root").over(W.partitionBy("key"))).where("low <> high")
+    dealt = cut(mixed.select("key", "th", "size", F.row_number().over(W.partitionBy("key").orderBy("size", "th")).alias("pos")))
+    span, before = SPAN, 0
+    while True:
+        live = dealt.join(roots, "th")
+        held = live.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main")).where("n * n > same")
+        held = cut(held)
+        left, most = held.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.max("n")).first()
+        if not left:
+            return roots
+        live = live.join(held.select("key", "main"), "key")
+        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in ("th", "size", "pos", "root")], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("th", "size", "pos", "root")])
+        apart = F.abs(F.col("pos_a") - F.col("pos_b"))
+        last = left <= AT_ONCE * n or span >= most
+        if last:  # each pair across components has a side outside its bucket's largest one
+            met = x.where("root_a <> main").join(y, "key").where(apart > before)
+        else:
+            block = F.floor(F.col("pos_a") / span)
+            met = x.withColumn("k", F.explode(F.array(block, block + 1))).join(y.withColumn("k", F.floor(F.col("pos_b") / span)), ["key", "k"]).where((F.col("pos_b") > F.col("pos_a")) & (apart > before) & (apart <= span))
+        # Sets of which one is smaller than the share asked of the other cannot be alike.
+        close = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+        order = F.col("th_a") < F.col("th_b")
+        pick = lambda c, d: F.when(order, F.col(c)).otherwise(F.col(d))
+        pairs = cut(met.where("root_a <> root_b").where(close).select(pick("th_a", "th_b").alias("a"), pick("th_b", "th_a").alias("b"), pick("root_a", "root_b").alias("p"), pick("root_b", "root_a").alias("q")).distinct())
+        links = cut(_verified(docs, pairs, shingle, similarity).select("p", "q").distinct())
+        if not links.isEmpty():
+            joined = connect(links.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+            roots = cut(roots.join(joined, "root", "left").select("th", F.coalesce("to", "root").alias("root")))
+        if last:
+            return roots
+        span, before = 16 * span, span
+
+
+def components(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Per document: doc_id, component_id."""
+    bound_batches(docs)
+    own = cut(_nodes(docs, shingle))
+    nodes = cut(own.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    pairs = cut(edges(nodes))
+    roots = connect(_verified(docs, pairs, shingle, similarity))
+    first = cut(nodes.join(roots, nodes["th"] == roots["node"], "left").select("th", F.coalesce("root", "th").alias("root")))
+    named = nodes.select("th", "rep").join(completed(docs, first, shingle=shingle, similarity=similarity), "th")
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     return own.select("doc_id", "th").join(named.select("th", "root").join(lowest, "root").select("th", "component_id"), "th").select("doc_id", "component_id")
 

@@ -63,3 +63,48 @@ def test_tree_spans():
         p, q = label[a], label[b]
         label = [p if v == q else v for v in label]
     assert len(edges) == 59 and len(set(label)) == 1
+
+
+def family(n, seed=1, changed=(2, 3), words=200):
+    """Copies of one text, a few words of each changed: many pairs are alike, many are not, and all share shingles."""
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in r.sample(range(words), r.randint(*changed)):
+            own[at] = f"c{i}_{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def all_pairs(texts):
+    """The smallest place that each text reaches, from the counts of shared shingles of all pairs."""
+    sets = [similar.shingle_hashes(t) for t in texts]
+    names = np.unique(np.concatenate(sets))
+    has = np.zeros((len(sets), len(names)), dtype=np.float32)
+    for i, x in enumerate(sets):
+        has[i, np.searchsorted(names, x)] = 1
+    common, size = has @ has.T, has.sum(axis=1)
+    alike = common / (size[:, None] + size[None, :] - common) >= 0.8
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(alike, label[None, :], len(sets)).min(axis=1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+@pytest.mark.parametrize("at_once, span", [(None, None), (0, 2)])
+def test_families_are_whole(spark, monkeypatch, at_once, span):
+    if at_once is not None:  # by rounds of neighbours
+        monkeypatch.setattr(similar, "AT_ONCE", at_once)
+        monkeypatch.setattr(similar, "SPAN", span)
+    r = random.Random(3)
+    base = " ".join(f"w{r.randint(0, 5000)}" for _ in range(300))
+    repeats = [base, base + " a b c" * 400]  # alike by shingles, however often a line is repeated, with fingerprints far apart
+    assert similar.jaccard(*map(similar.shingle_hashes, repeats)) >= 0.8
+    assert int(similar.hamming(*(np.array([similar.fingerprint(t, similar.SHINGLE)]).view(np.uint64) for t in repeats))[0]) > similar.FAR
+    texts = repeats + family(40) + family(150, seed=2) + family(500, seed=4) + family(60, seed=5, changed=(4, 9))
+    got = {x.doc_id: x.component_id for x in similar.components(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(all_pairs(texts)))
