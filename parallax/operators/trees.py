@@ -180,22 +180,28 @@ def edit_distance(a: list[str], left_a: list[int], b: list[str], left_b: list[in
     if not n or not m:
         return float(n + m)
     change = np.array([[0.0 if x == y else CHEAP.get((x, y), 1.0) for y in b] for x in a])
-    roots = lambda left: [i for i in range(len(left)) if left[i] not in left[i + 1 :]]
+    roots = lambda left: sorted({first: i for i, first in enumerate(left)}.values())
     tree = np.zeros((n, m))
+    from_a, from_b = np.array(left_a), np.array(left_b)
     for i in roots(left_a):
         for j in roots(left_b):
             s, t = left_a[i], left_b[j]
             f = np.zeros((i - s + 2, j - t + 2))
             f[:, 0], f[0, :] = np.arange(i - s + 2), np.arange(j - t + 2)
+            place = f[0]
+            own = from_b[t : j + 1] == t
+            before = from_b[t : j + 1] - t
             for x in range(s, i + 1):
-                for y in range(t, j + 1):
-                    p, q = x - s + 1, y - t + 1
-                    shorter = min(f[p - 1, q] + 1, f[p, q - 1] + 1)
-                    if left_a[x] == s and left_b[y] == t:
-                        f[p, q] = min(shorter, f[p - 1, q - 1] + change[x, y])
-                        tree[x, y] = f[p, q]
-                    else:
-                        f[p, q] = min(shorter, f[left_a[x] - s, left_b[y] - t] + tree[x, y])
+                p = x - s + 1
+                # A row at once: all but insertions come from rows before; those are a running minimum, as each costs 1.
+                least = f[p - 1, 1:] + 1
+                other = f[from_a[x] - s, before] + tree[x, t : j + 1]
+                if from_a[x] == s:
+                    other[own] = f[p - 1, :-1][own] + change[x, t : j + 1][own]
+                np.minimum(least, other, out=least)
+                f[p, 1:] = np.minimum(np.minimum.accumulate(least - place[1:]), p) + place[1:]
+                if from_a[x] == s:
+                    tree[x, t : j + 1][own] = f[p, 1:][own]
     return float(tree[n - 1, m - 1])
 
 
@@ -212,22 +218,28 @@ def positional_similarity(a: list[str], left_a: list[int], b: list[str], left_b:
             at = left[at] - 1
         return out[::-1]
 
-    def score(i: int, j: int, depth: int) -> float:
+    # Pairs of nodes from the roots down, however deep; then their scores from the leaves up.
+    todo, at = [(len(a) - 1, len(b) - 1, 0)], []
+    for i, j, depth in todo:
+        at.append((0.0, 0, 0, 1))
         if a[i] != b[j]:
-            return 0.0
-        if partial and depth > cap:
-            return 0.5
+            continue
         x, y = children(left_a, i), children(left_b, j)
-        if not x and not y:
-            return 1.0
-        if len(x) != len(y):
-            least = min(len(x), len(y))
-            if not partial:
-                return 0.5
-            return sum(score(p, q, depth + 1) for p, q in zip(x, y)) / least * least / max(len(x), len(y)) if least else 0.0
-        return sum(score(p, q, depth + 1) for p, q in zip(x, y)) / len(x)
-
-    return score(len(a) - 1, len(b) - 1, 0)
+        least, most = min(len(x), len(y)), max(len(x), len(y))
+        if partial and depth > cap:
+            at[-1] = (0.5, 0, 0, 1)
+        elif not most:
+            at[-1] = (1.0, 0, 0, 1)
+        elif least < most and not partial:
+            at[-1] = (0.5, 0, 0, 1)
+        elif least:
+            at[-1] = (0.0, len(todo), least, most)
+            todo += [(p, q, depth + 1) for p, q in zip(x, y)]
+    scores = [0.0] * len(at)
+    for k in range(len(at) - 1, -1, -1):
+        fixed, first, n, most = at[k]
+        scores[k] = sum(scores[first : first + n]) / n * n / most if n else fixed
+    return scores[0]
 
 
 def compare(pairs: DataFrame, nodes: DataFrame, *, min_ratio: float = 0.1) -> DataFrame:

@@ -389,21 +389,10 @@ def structural_duplicates(spark, sf_dir):
 
 @query()
 def tree_edit_distance(spark, sf_dir):
-    """Each page with the next: tree edit distance and positional similarity of their first elements."""
-    nodes = _page_nodes(spark, sf_dir).where("depth <= 3")
-    # Trees cut at a depth: intervals and post-orders are renumbered by ranks within the page.
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("file_id")
-    size = F.count("*").over(w.orderBy("pre").rangeBetween(W.currentRow, W.unboundedFollowing))
-    del size
-    small = nodes.withColumn("n_pre", F.row_number().over(w.orderBy("pre")) - 1).withColumn("n_post", F.row_number().over(w.orderBy("post")) - 1)
-    kept = small.select("file_id", F.col("pre").alias("p"), "n_pre")
-    ends = small.join(kept.withColumnsRenamed({"file_id": "f2", "n_pre": "q"}), F.expr("file_id = f2 and p between pre and subtree_end_pre")).groupBy("file_id", "pre").agg(F.max("q").alias("n_end"))
-    own = small.join(ends, ["file_id", "pre"]).select("file_id", F.col("n_pre").alias("pre"), F.col("n_post").alias("post"), "depth", F.col("n_end").alias("subtree_end_pre"), "kind")
+    """Each page with the next: tree edit distance and positional similarity of their whole trees."""
     ids = table(spark, sf_dir, "pages").select("page_id")
     pairs = ids.select(F.col("page_id").cast("string").alias("a"), (F.col("page_id") + 1).cast("string").alias("b")).join(ids.select(F.col("page_id").cast("string").alias("b")), "b", "left_semi").select("a", "b")
-    return trees.compare(pairs, own)
+    return trees.compare(pairs, _page_nodes(spark, sf_dir))
 
 
 # Graphs --------------------------------------------------------------------------------------------------------

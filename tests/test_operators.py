@@ -278,3 +278,22 @@ def test_refactorings(spark):
     got = {r.pattern: r for r in refactor.patterns(df).collect()}
     assert got["extract_method"].confidence == pytest.approx(1.0) and got["extract_method"].change_ids == [1, 2]
     assert got["rename"].change_ids == [3]
+
+
+def test_tree_edit_distance_of_whole_pages(spark, tmp_path):
+    """Pages that differ only below the third level, against brute force."""
+    from parallax.plans import catalogue
+
+    inner = ["<p>x</p>", "<b>x</b>", "<b><i>x</i></b>", "<p>x</p><p>y</p>"]
+    spark.createDataFrame([(i, "u", f"<html><body><div>{x}</div></body></html>") for i, x in enumerate(inner)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    text = ("text", ())
+    trees_of = [(("p", (text,)),), (("b", (text,)),), (("b", (("i", (text,)),)),), (("p", (text,)), ("p", (text,)))]
+    nested = [(("document", (("html", (("body", (("div", x),)),)),)),) for x in trees_of]
+    got = {int(r.a): r for r in catalogue.tree_edit_distance(spark, str(tmp_path)).collect()}
+    assert {k: r.distance for k, r in got.items()} == {k: brute_distance(nested[k], nested[k + 1]) for k in range(3)}
+    assert got[0].positional == 0 and got[2].positional == 0.5
+
+
+def test_tree_comparison_of_deep_trees():
+    labels, left = ["x"] * 3000, [0] * 3000
+    assert trees.positional_similarity(labels, left, labels, left) == 1 and trees.positional_similarity(labels, left, labels, left, partial=True) == 0.5
