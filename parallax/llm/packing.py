@@ -3,7 +3,8 @@
 Documents are routed by length to context-size tiers. Whole windows of the longest tier are cut off first; what is left
 goes to the smallest tier that holds it. Each tier is packed, the longest first; gaps of its windows are filled from
 shorter tiers, with whole remainders that fit best and at last with a cut one. What no full window takes at the end of
-a partition is laid out at powers of two, so that nothing is padded. Full windows are dealt into step groups of equal tokens.
+a partition is laid out at powers of two, so that nothing is padded. Windows of one size and of near attention cost (the sum of
+squares of their pieces) are dealt into step groups of equal tokens, so that the members of a step take alike long.
 
 Work is narrow: a partition packs its own documents in blocks of bounded tokens, and sequence numbers carry the
 partition's number. Nothing is shuffled.
@@ -15,6 +16,8 @@ needed; repeated rows are packed each on their own; empty input gives no pieces.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,8 +34,11 @@ TIERS = (256, 512, 1024)
 STEP_TOKENS = 8192
 #: Tokens that a block holds before it is packed.
 BLOCK_TOKENS = 2_000_000
-#: Splits text before merges of ranks (fixed value of this vocabulary).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A blank with a visible character on both sides (no kind of white space is in the class).
+_VISIBLE = "[\\x21-\\x7e\\u00a1-\\u167f\\u3001-\\U0010ffff]"
+_CUT = re.compile(f"(?<={_VISIBLE}) (?={_VISIBLE})")
+#: Parts of texts that a worker remembers with their ids.
+KNOWN = 200_000
 END = b"\0\0\0\0"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 PIECES_WITH_IDS = PIECES + ", ids array<int>"
@@ -40,23 +46,38 @@ _tokenizers: dict[str, Tokens] = {}
 
 
 class Tokens:
-    """Ids of whole texts, as little-endian unsigned 32-bit numbers; strings of special tokens are ordinary text."""
+    """Ids of whole texts by a tokenizer file, as little-endian unsigned 32-bit numbers.
+
+    A blank between two visible characters always begins a new word of a byte-level vocabulary, so that what lies between
+    such blanks is encoded apart and remembered; each distinct part goes through the tokenizer once.
+    """
 
     def __init__(self, path: str):
-        import base64
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-        import tiktoken
+        self.tokenizer = Tokenizer.from_file(path)
+        # Added tokens are found before words are; one with a blank in it would forbid the cuts.
+        self.whole = any(" " in t.content or t.lstrip or t.rstrip for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known: dict[str, bytes] = {}
-        for t in texts:
-            if t not in known:
-                known[t] = array("I", self.encoder.encode_ordinary(t)).tobytes() + END
-        return [known[t] for t in texts]
+        """Ids of each text and the end mark."""
+        own = list(dict.fromkeys(texts))
+        if self.whole:
+            done = [i + END for i in self.ids(own)]
+        else:
+            cuts = [_CUT.split(t) for t in own]
+            known = self.known
+            if new := list({p for _, *parts in cuts for p in parts}.difference(known)):
+                known.update(zip(new, self.ids([" " + p for p in new])))
+            done = [b"".join([first, *map(known.__getitem__, parts), END]) for first, (_, *parts) in zip(self.ids([c[0] for c in cuts]), cuts)]
+            if len(known) > KNOWN:
+                known.clear()
+        return list(map(dict(zip(own, done)).__getitem__, texts))
 
 
 def tokens(path: str) -> Tokens:
@@ -141,7 +162,7 @@ def _packed(tokenizer: str, with_ids: bool, block_tokens: int, tiers: tuple[int,
             nonlocal number, group, in_group
             lengths = [len(b) // 4 for b in ids]
             rows: list[tuple] = []
-            for size, window in sorted(pack_block(lengths, tiers), key=lambda x: -x[0]):
+            for size, window in sorted(pack_block(lengths, tiers), key=lambda x: (-x[0], sum(n * n for _, _, n in x[1]))):
                 at = 0
                 for d, s, n in window:
                     own = ids[d][4 * s : 4 * (s + n)]

@@ -51,10 +51,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    """The rank file of the byte-level vocabulary of 50,257 ids."""
+    """The byte-level tokenizer of 50,257 ids."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,14 +14,13 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("block", [2_000_000, 3000])
 def test_round_trip(spark, block):
     r = random.Random(0)
-    texts = [*ODD, "<|endoftext|> in text", *[" ".join(r.choice(["alpha", "be,ta.", "γάμμα", "\n\n", "12 3"]) for _ in range(r.randint(0, 3000))) for _ in range(25)]]
+    texts = [*ODD, "<|endoftext|> in text", "a <|endoftext|> b", "x<|endoftext|>y <|endoftext|>  z", "tab\t a \u00a0 b\u3000 c\x1c d\x85 e  f \n g 's it's ''s", "né à la\u2009mi \u200b x", *[" ".join(r.choice(["alpha", "be,ta.", "γάμμα", "\n\n", "12 3"]) for _ in range(r.randint(0, 3000))) for _ in range(25)]]
     ids = reference_ids(texts)
     rows = packing.pack(frame(spark, texts), tokenizer_path(), block_tokens=block, with_ids=True).collect()
     at = {}
@@ -58,3 +57,15 @@ def test_blocks_are_exact():
                 assert s == at and k > 0
                 at += k
             assert at == n
+
+
+def test_named_tokenizer():
+    t = packing.tokens(tokenizer_path())
+    assert np.frombuffer(t.encode(["a <|endoftext|> b"])[0], dtype="<u4").tolist() == [64, 220, 50256, 275, 0]
+
+
+def test_cuts_change_nothing():
+    r = random.Random(4)
+    t, odd = packing.tokens(tokenizer_path()), ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "9", "é", "ß", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "!", "日", "<|endoftext|>", "\u200d", "😀"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    assert t.encode(texts) == [i + packing.END for i in t.ids(texts)]
