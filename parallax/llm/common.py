@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,19 +40,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % HOLD_OUT_MOD == HOLD_OUT_REST
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for added columns that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_hash(text: Column) -> Column:
+    """128 bits that tell texts apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set a folder of our own only where none is set."""
+    """Use the cluster's spark.checkpoint.dir. Only where none is set and all runs in one process is a folder of our own used."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/parallax")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, *, clean: bool = True) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder; without ``clean`` old shuffle files go when the driver collects garbage."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
+    if not clean:
+        return out
     # Shuffle files that only the cut lineage used can go now, not when the driver happens to collect its garbage.
     del df
     gc.collect()

@@ -1,11 +1,15 @@
-"""SimHash near-duplicates, linked exactly with vantage-point partitions.
+"""SimHash near-duplicates, linked exactly with distributed vantage-point trees.
 
-Fingerprints are majorities over hashed word shingles. Two of them link if few bits differ. Any linked pair agrees on
-all but that many blocks of bits, so that distinct fingerprints meet in shards keyed by agreeing blocks. Shards that are
-too large are split by Hamming distance to two vantage points; members near a ring's boundary also enter the next
-ring, so that by the triangle inequality each linked pair meets. Within a shard a vantage-point tree does the same in memory: inner and
-outer halves are searched apart, and only members near the boundary are compared across it. A shard emits a spanning
-star of each group that it finds, never all pairs, and stars of all shards are joined into components in rounds with reliable checkpoints.
+Fingerprints are majorities over hashed word shingles; two of them link if few bits differ. A linked pair differs in at
+most half as many bits, rounded down, in one of the two halves of the fingerprint. For each half there is a vantage-point
+tree: a node cuts fingerprints by their Hamming distance, in that half, to its vantage point. The trees are built on a bounded
+sample; then each distinct fingerprint goes down to its leaf (its home shard), and by the triangle inequality it also asks
+every shard across a boundary that may hold a partner, and no other. A shard compares its members with one another and with those that ask, in blocks of
+bounded size, and emits links that connect what all its links connect, never all pairs. Links of all shards are joined
+into components in rounds with reliable checkpoints.
+
+A crowded shard (dense copies, which no distance tells apart) is not gathered: its members are dealt into pieces that share some
+pivots, pieces are linked alone, and then only members outside the shard's largest component are compared with all, piece by piece.
 
 Defined cases: null, empty and blank texts have fingerprint zero, linked like any other; texts with fewer words than a
 shingle are one shingle; repeated rows share a fingerprint; a component is named by its smallest doc_id (null ids count
@@ -15,24 +19,27 @@ only where there is no other); an empty table gives no rows. Columns other than
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import bound_batches, cut
+from parallax.llm.common import bound_batches, cut, fresh, text_hash
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Distinct fingerprints up to which 4, 5 or 6 blocks are used: the more there are, the longer the agreeing keys.
-BLOCKS = ((1 << 23, 4), (1 << 31, 5), (1 << 63, 6))
-#: Members of a shard beyond which it is split by vantage points, and rows that a task's group of shards should hold.
-SPLIT, GROUP_ROWS = 20_000, 20_000
-#: Members below which a node of the tree compares all, and cells of one such comparison across a boundary.
-LEAF, CELLS = 128, 1 << 21
+HALVES = (0x00000000FFFFFFFF, 0xFFFFFFFF00000000)
+#: Fingerprints that the trees are built on, at most about; fingerprints of a leaf; leaves of a tree (leaves grow beyond).
+SAMPLE, LEAF, LEAVES = 200_000, 512, 1 << 20
+#: Members of a shard from which it counts as crowded, as a multiple of a leaf, and rows of a task's group of shards.
+CROWD, GROUP_ROWS = 16, 40_000
+#: Cells of one comparison, and vantage points that a node tries.
+CELLS, TRIES = 1 << 21, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -78,126 +85,190 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _near(x: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links between members i and members j, compared in blocks."""
+@dataclass(frozen=True)
+class Tree:
+    """Nodes: vantage point, cut (inner if at most so far), and both children, as ~number where they are leaves."""
+
+    mask: int
+    near: int
+    vantage: np.ndarray
+    cut: np.ndarray
+    inner: np.ndarray
+    outer: np.ndarray
+    leaves: int
+
+
+def build(sample: np.ndarray, n: int, mask: int, near: int, leaf: int, seed: int = 1) -> Tree:
+    """A tree for n fingerprints from a sample of them."""
+    rng = np.random.default_rng(seed)
+    bits, m = mask.bit_count(), np.uint64(mask)
+    vantage, cuts, children = [], [], []
+    leaves = 0
+    todo = [(sample, float(n), None)]  # a node's sample, how many fingerprints it stands for, and whose child it is
+    while todo:
+        own, size, parent = todo.pop()
+        best = None
+        if size > leaf and len(own) >= 16:
+            for v in own[rng.integers(0, len(own), TRIES)]:
+                hist = np.bincount(hamming(own & m, v & m), minlength=bits + 1 + near)
+                inner = np.cumsum(hist)[:bits]
+                outer = len(own) - inner
+                asks = np.cumsum(hist)[near : bits + near] - inner
+                work = (inner.astype(float) ** 2 + outer.astype(float) ** 2 + 2.0 * asks * inner) / len(own) ** 2
+                c = int(work.argmin())
+                if best is None or work[c] < best[0]:
+                    best = (work[c], v, c)
+            best = best if best[0] < 0.9 else None
+        elif size > leaf:  # too few to measure by: as if bits were drawn at random
+            best = (0.5, own[0] if len(own) else rng.integers(0, 1 << 64, dtype=np.uint64), bits // 2)
+        if best is None:
+            at, leaves = ~leaves, leaves + 1
+        else:
+            at = len(vantage)
+            _, v, c = best
+            vantage.append(v)
+            cuts.append(c)
+            children.append([0, 0])
+            near_v = hamming(own & m, v & m) <= c
+            share = near_v.mean() if len(own) >= 16 else 0.5
+            todo += [(own[near_v], size * share, (at, 0)), (own[~near_v], size * (1 - share), (at, 1))]
+        if parent:
+            children[parent[0]][parent[1]] = at
+    both = np.array(children, dtype=np.int64).reshape(-1, 2)
+    return Tree(mask, near, np.array(vantage, dtype=np.uint64), np.array(cuts, dtype=np.int64), both[:, 0], both[:, 1], leaves)
+
+
+def route(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, leaf, whether it asks there): each fingerprint's home, and the leaves across boundaries that may hold a partner."""
+    who, node, asks = np.arange(len(x)), np.full(len(x), 0 if len(tree.vantage) else -1), np.zeros(len(x), dtype=bool)
     found = []
-    rows = max(1, CELLS // max(1, len(j)))
-    for at in range(0, len(i), rows):
-        a, b = np.nonzero(hamming(x[i[at : at + rows], None], x[j][None, :]) <= radius)
-        found.append((i[at + a], j[b]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-
-
-def vp_links(x: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between distinct fingerprints that connect what all links connect, by a vantage-point tree."""
-
-    def within(own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if len(own) <= LEAF:
-            if len(own) > 1:
-                yield _near(x, own, own, radius)
-            return
-        d = hamming(x[own], x[own[0]]).astype(np.int16)
-        middle = np.median(d)
-        inner, outer = own[d <= middle], own[d > middle]
-        if not len(outer):  # at least half of all lie on the outermost ring: take the vantage point and its sphere apart
-            middle = d.max() - 1
-            inner, outer = own[d <= middle], own[d > middle]
-        yield from within(inner) if len(inner) < len(own) else [_near(x, own, own, radius)]
-        if len(outer) < len(own):
-            yield from within(outer)
-        yield from across(own[(d <= middle) & (d > middle - radius)], own[(d > middle) & (d <= middle + radius)])
-
-    def across(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not len(i) or not len(j):
-            return
-        if len(i) * len(j) <= CELLS:
-            yield _near(x, i, j, radius)
-            return
-        di, dj = hamming(x[i], x[i[0]]).astype(np.int16), hamming(x[j], x[i[0]]).astype(np.int16)
-        middle = np.median(np.concatenate([di, dj]))
-        if not (middle < max(di.max(), dj.max())):
-            middle = max(di.max(), dj.max()) - 1
-        if middle < min(di.min(), dj.min()):
-            yield _near(x, i, j, radius)
-            return
-        yield from across(i[di <= middle], j[dj <= middle])
-        yield from across(i[di > middle], j[dj > middle])
-        yield from across(i[(di <= middle) & (di > middle - radius)], j[(dj > middle) & (dj <= middle + radius)])
-        yield from across(i[(di > middle) & (di <= middle + radius)], j[(dj <= middle) & (dj > middle - radius)])
-
-    yield from within(np.arange(len(x)))
-
-
-def stars(fps: np.ndarray, key: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """For each group of linked fingerprints with equal keys, its members other than the first, and the first."""
-    order = np.lexsort((fps, key))
-    x, key = fps[order].view(np.uint64), key[order]
-    new = np.ones(len(x), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (x[1:] != x[:-1])
-    x, key = x[new], key[new]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(x)))
-    left, right = [], []
-    # Small shards are compared side by side: each member with the next, the one after it, and so on.
-    small = np.repeat(sizes <= LEAF, sizes)
-    at = np.flatnonzero(small)
-    rest = np.repeat(starts + sizes, sizes)[at] - at - 1  # members after each in its shard
-    shift = 1
-    while len(at := at[rest >= shift]):
-        rest = rest[rest >= shift]
-        hit = at[hamming(x[at], x[at + shift]) <= radius]
-        left.append(hit)
-        right.append(hit + shift)
-        shift += 1
-    for s, n in zip(starts[sizes > LEAF], sizes[sizes > LEAF]):
-        local = np.arange(n)
-        for a, b in vp_links(x[s : s + n], radius):
-            # Links of one comparison shrink to what connects, before the next is made.
-            group = _labels(n, a, b)
-            keep = group != local
-            left.append(s + local[keep])
-            right.append(s + group[keep])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    group = _labels(len(x), np.concatenate(left), np.concatenate(right))
-    moved = np.flatnonzero(group != np.arange(len(x)))
-    return x[moved].view(np.int64), x[group[moved]].view(np.int64)
-
-
-def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
-    """Masks of which a pair within the radius agrees on at least one, as signed integers."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    whole = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(whole, blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def links(nodes: DataFrame, *, radius: int = RADIUS) -> DataFrame:
-    """(a, b): spanning stars of linked fingerprints; nodes has distinct ``fp``."""
-    n = nodes.count()
-    blocks = next(b for most, b in BLOCKS if n <= most)
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(block_masks(blocks, radius))])).alias("k")).select("fp", "k.i", "k.key")
-    heads = keyed.groupBy("i", "key").agg(F.count("*").alias("n"), F.min("fp").alias("v"), F.max("fp").alias("w"))
-    shared = cut(heads.where(F.col("n") > 1))
-    ring = radius + 1
-    # Fingerprints alone in their shard have no link there and go no further.
-    own = keyed.join(shared, ["i", "key"])
-
-    def rings(v: str) -> Column:
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col(v)))
-        return F.array_distinct(F.array(F.floor(d / ring), F.floor((d + radius) / ring)))
-
-    large = F.col("n") > SPLIT
-    none = F.array(F.lit(-1).cast("long"))
-    dealt = own.withColumn("r", F.explode(F.when(large, rings("v")).otherwise(none))).withColumn("q", F.explode(F.when(large, rings("w")).otherwise(none)))
-    groups = max(1, -(-n * len(block_masks(blocks, radius)) // GROUP_ROWS))
-    shard = F.xxhash64("i", "key", "r", "q")
+    while len(who):
+        ended = node < 0
+        found.append((who[ended], ~node[ended], asks[ended]))
+        who, node, asks = who[~ended], node[~ended], asks[~ended]
+        d = hamming(x[who] & np.uint64(tree.mask), tree.vantage[node] & np.uint64(tree.mask)).astype(np.int64)
+        c = tree.cut[node]
+        # Both sides keep their own; those just outside ask inside, as pairs across the boundary need one direction only.
+        to_inner, to_outer = d <= np.where(asks, c + tree.near, c), d > np.where(asks, c - tree.near, c)
+        more = ~asks & (d > c) & (d <= c + tree.near)
+        who, asks = np.concatenate([who[to_inner], who[to_outer], who[more]]), np.concatenate([asks[to_inner], asks[to_outer], np.ones(more.sum(), dtype=bool)])
+        node = np.concatenate([tree.inner[node[to_inner]], tree.outer[node[to_outer]], tree.inner[node[more]]])
+    return tuple(np.concatenate(f) for f in zip(*found)) if found else (who, node, asks)
+
+
+def spanning(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links among distinct fingerprints that connect what all links connect: each is compared once with those not reached yet."""
+    if len(x) ** 2 <= CELLS:
+        i, j = np.nonzero(np.triu(hamming(x[:, None], x[None, :]) <= radius, 1))
+        if len(i) <= 8 * len(x):
+            return i, j
+    left, a, b = np.arange(len(x)), [], []
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            step = max(1, CELLS // len(left))
+            now, front = front[:step], front[step:]
+            hits = hamming(x[now, None], x[left][None, :]) <= radius
+            got = hits.any(axis=0)
+            if got.any():
+                new = left[got]
+                a.append(now[hits[:, got].argmax(axis=0)])
+                b.append(new)
+                left, front = left[~got], np.concatenate([front, new])
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def shard_links(home: np.ndarray, ask: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard's members with one another and with those that ask, as fingerprints; as few as connect the same."""
+    home, ask = np.unique(home), np.unique(ask)
+    if not len(home):
+        return home, home
+    i, j = spanning(home, radius)
+    group = _labels(len(home), i, j)
+    a, b = [home[i]], [home[j]]
+    rows = max(1, CELLS // len(home))
+    for at in range(0, len(ask), rows):
+        own = ask[at : at + rows]
+        p, q = np.nonzero(hamming(own[:, None], home[None, :]) <= radius)
+        _, once = np.unique(p * len(home) + group[q], return_index=True)  # one member of each group
+        a.append(own[p[once]])
+        b.append(home[q[once]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+
+def links(nodes: DataFrame, *, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """(a, b): links that connect what all links connect; nodes has distinct ``fp``."""
+    spark, n = nodes.sparkSession, nodes.count()
+    leaf = max(leaf, n // LEAVES)
+    crowd = CROWD * leaf
+    part = F.pmod(F.xxhash64("fp"), F.lit(1 << 30))
+    # At most about SAMPLE of all.
+    sample = nodes.where(part < min(1 << 30, int(SAMPLE / max(1, n) * (1 << 30)))).select("fp").toPandas()["fp"].to_numpy(dtype=np.int64)
+    trees = [build(np.sort(sample).view(np.uint64), n, mask, radius // len(HALVES), leaf) for mask in HALVES]
+    shared = spark.sparkContext.broadcast(trees)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("fp").to_numpy().view(np.uint64)
+            for at in range(0, len(x), 10_000):
+                for t, tree in enumerate(shared.value):
+                    who, shard, asks = route(tree, x[at : at + 10_000])
+                    yield pa.record_batch([pa.array(shard * len(HALVES) + t), pa.array(asks), pa.array(x[at + who].view(np.int64))], names=["shard", "asks", "fp"])
+
+    rows = cut(nodes.select("fp").mapInArrow(routed, "shard long, asks boolean, fp long"))
+    # As many rows as there are leaves, at most.
+    held = rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(~F.col("asks")).alias("homes"))
+    total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    crowded = held.where(F.col("homes") > crowd)
+    full = crowded.select("shard", F.ceil(F.col("homes") / crowd).alias("pieces")).collect()
+    quiet = rows.where(~F.col("shard").isin([r["shard"] for r in full])) if full else rows
+    groups = max(1, -(-total // GROUP_ROWS))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = stars(pdf["fp"].to_numpy(), pdf["shard"].to_numpy(), radius)
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.select("fp", shard.alias("shard"), F.pmod(shard, F.lit(groups)).alias("g")).groupBy("g").applyInPandas(local, "a long, b long").distinct()
+        out = [_pairs(*shard_links(own.loc[~own["asks"], "fp"].to_numpy().view(np.uint64), own.loc[own["asks"], "fp"].to_numpy().view(np.uint64), radius)) for _, own in pdf.groupby("shard")]
+        return pd.concat(out)
+
+    found = quiet.withColumn("g", F.pmod(F.xxhash64("shard"), F.lit(groups))).groupBy("g").applyInPandas(local, "a long, b long")
+    if full:
+        pieces = spark.createDataFrame([(r["shard"], r["pieces"]) for r in full], "shard long, pieces long")
+        found = found.unionByName(crowded_links(rows.join(pieces, "shard"), radius, crowd))
+    return found.distinct()
+
+
+def crowded_links(rows: DataFrame, radius: int, crowd: int) -> DataFrame:
+    """(a, b) of shards that are too large for one task; rows: shard, asks, fp, pieces."""
+    dealt = rows.where("not asks").withColumn("piece", F.pmod(F.xxhash64("fp"), "pieces"))
+    pivots = dealt.groupBy("shard", "piece").agg(F.min("fp").alias("v")).groupBy("shard").agg(F.collect_list("v").alias("pivots"))
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _pairs(*shard_links(np.concatenate([np.array(pdf["pivots"].iloc[0], dtype=np.int64), pdf["fp"].to_numpy()]).view(np.uint64), np.empty(0, np.uint64), radius))
+
+    first = cut(dealt.join(pivots, "shard").groupBy("shard", "piece").applyInPandas(alone, "a long, b long").distinct())
+    grouped = rows.join(connect(first).withColumnRenamed("node", "fp"), "fp", "left").select("shard", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = grouped.groupBy("shard", "root").agg(F.count("*").alias("c")).groupBy("shard").agg(F.sum("c").alias("n"), F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most")).where("n > most")
+    own = cut(grouped.join(sizes, "shard").select("shard", "fp", "root", F.col("root") != F.col("main"), F.ceil((F.col("n") - F.col("most")) / crowd).alias("p"), F.ceil(F.col("n") / crowd).alias("q")).toDF("shard", "fp", "root", "other", "p", "q"))
+    at = F.xxhash64("fp")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    x = own.where("other").select("shard", "fp", "root", F.pmod(at, "p").alias("i"), every("q").alias("j"), F.lit(True).alias("outside"))
+    y = own.select("shard", "fp", "root", every("p").alias("i"), F.pmod(at, "q").alias("j"), F.lit(False).alias("outside"))
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp, root, outside = pdf["fp"].to_numpy().view(np.uint64), pdf["root"].to_numpy(), pdf["outside"].to_numpy()
+        some, all_ = np.flatnonzero(outside), np.flatnonzero(~outside)
+        out, rows_at_once = [], max(1, CELLS // max(1, len(all_)))
+        for k in range(0, len(some), rows_at_once):
+            now = some[k : k + rows_at_once]
+            a, b = np.nonzero((hamming(fp[now, None], fp[all_][None, :]) <= radius) & (root[now, None] != root[all_][None, :]))
+            pairs = pd.DataFrame({"r": root[now[a]], "s": root[all_[b]], "a": fp[now[a]].view(np.int64), "b": fp[all_[b]].view(np.int64)})
+            out.append(pairs.drop_duplicates(["r", "s"]))  # one link of two groups
+        return pd.concat(out)[["a", "b"]] if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+
+    return first.unionByName(x.unionByName(y).groupBy("shard", "i", "j").applyInPandas(across, "a long, b long"))
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -212,20 +283,25 @@ def connect(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # Small star: smaller neighbours of a node, and itself, move to the smallest of them.
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("a").alias("x"), "m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        e = cut(small)
+        e = cut(small, clean=False)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_033)).first())
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
 
 
-def components(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Per document: doc_id, fp, component_id."""
+def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, fp) of each document, and (fp, root, rep): its component and smallest doc_id."""
     bound_batches(docs)
-    own = cut(docs.select("doc_id", fingerprints(F.col("text").cast("string"), shingle).alias("fp")))
+    own = cut(docs.select("doc_id", text_hash(F.col("text")).alias("th"), fingerprints(F.col("text").cast("string"), shingle).alias("fp")))
     nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = connect(links(nodes, radius=radius))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return own, nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
+
+
+def components(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Per document: doc_id, fp, component_id."""
+    own, named = grouped(docs, shingle, radius)
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = named.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
@@ -237,9 +313,24 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component, once; columns as they were."""
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    kept = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    # One key for the join and for repeated ids, so that texts are dealt once.
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+def survivors(own: DataFrame) -> DataFrame:
+    """One (doc_id, th) of each component: the smallest id, a null one last, and of equal ids the smallest hash; own: doc_id, th, component."""
+    least = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("s"))
+    return least.select("s.none", F.coalesce("s.doc_id", F.lit(0)).alias("id"), "s.th")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose id and text are among survivors, each once; columns as they were."""
+    none, id_, th = fresh(docs, "none", "id", "th")
+    keyed = docs.withColumns({none: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id"), F.lit(0)), th: text_hash(F.col("text"))})
+    # The join and the dropping of repeated rows share one dealing of the texts.
+    return keyed.join(kept.toDF(none, id_, th), [none, id_, th], "left_semi").dropDuplicates([none, id_, th]).drop(none, id_, th)
+
+
+def keep_one(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, once; columns as they were.
+
+    The smallest id stays (a null id only where there is no other); of different texts with that id the one with the smallest hash.
+    """
+    own, by_fp = grouped(docs, shingle, radius)
+    return only(docs, survivors(own.join(by_fp, "fp").select("doc_id", "th", F.col("root").alias("component"))))

@@ -1,11 +1,10 @@
-"""Near copies by exact similarity of word shingles, found through SimHash fingerprints.
+"""Near copies by exact similarity of word shingles, on top of SimHash links.
 
-Different texts that are alike enough share some of the smallest hashes of their shingles. Texts meet in buckets of such
-hashes; within one, fingerprints span a minimum tree by Hamming distance, so that a bucket of any density gives one edge
-a text. Each edge is then verified on the shingle sets themselves, and what holds is joined into components. In this first
-part a bucket of more than SPLIT texts is dealt anew by pairs of hashes.
+Fingerprints of the shingles are linked by the vantage-point trees of ``simhash``; each link between two texts, and each text with
+the fingerprint of another, is then verified on the shingle sets themselves, and what holds is joined into components.
 
-A second part makes the components complete. Two texts as similar as asked share a shingle among the first few of each, in any
+Few differing bits find only part of the pairs that share the asked-for part of their shingles. A second part makes the components
+complete. Two texts as similar as asked share a shingle among the first few of each, in any
 one order of shingles (prefixes; common shingles come last). Texts of different components that meet in a bucket of such a
 shingle are verified exactly, neighbours by size first, until no pair across components is left: the result is
 that of comparing all texts with all others.
@@ -25,16 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parallax.llm.common import bound_batches, cut
-from parallax.llm.simhash import SEED, connect, fingerprint, hamming
+from parallax.llm.common import bound_batches, cut, text_hash
+from parallax.llm.simhash import RADIUS, SEED, connect, fingerprints, links, only, survivors
 
 SHINGLE, SIMILARITY = 5, 0.8
-KEYS = 8
-#: Fingerprints of texts as similar as asked differ in about 10 bits of 64, hardly ever in more than these.
-FAR = 22
-SPLIT, GROUP_ROWS = 20_000, 20_000
-#: Texts of a bucket up to which all of its edges are verified, not those of a tree only.
-FEW = 16
 #: Texts of which shingles are counted to put common ones last, and shingles so counted; they change the work, never the result.
 COUNTED, COMMON = 8000, 100_000
 #: Neighbours in a bucket that the first round of the second part compares, and pairs across components, for each text, up to which all are compared at once.
@@ -59,58 +52,14 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def tree(fps: np.ndarray, far: int = FAR) -> list[tuple[int, int]]:
-    """A minimum spanning forest by Hamming distance, without edges beyond ``far``; of few fingerprints all such edges. Linear memory."""
-    n = len(fps)
-    if n <= FEW:
-        i, j = np.nonzero(np.triu(hamming(fps[:, None], fps[None, :]) <= far, 1))
-        return list(zip(i.tolist(), j.tolist()))
-    near, parent = np.full(n, 255, dtype=np.uint8), np.zeros(n, dtype=np.int64)
-    out = np.zeros(n, dtype=bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        out[at] = True
-        d = hamming(fps, fps[at])
-        better = ~out & (d < near)
-        near[better], parent[better] = d[better], at
-        at = int(np.argmin(np.where(out, 255, near)))
-        if near[at] <= far:
-            edges.append((int(parent[at]), at))
-    return edges
-
-
-def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["key", "th"], kind="stable")
-    key, th, fp = pdf["key"].to_numpy(), pdf["th"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    a, b = [], []
-    for s, e in zip(starts, np.append(starts[1:], len(key))):
-        for i, j in tree(fp[s:e]) if e - s > 1 else ():
-            a.append(th[s + i])
-            b.append(th[s + j])
-    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
-
-
-def _nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    @F.pandas_udf("fp long, keys array<long>")
-    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            hashes = [shingle_hashes(t, shingle) for t in texts]
-            yield pd.DataFrame({"fp": np.array([fingerprint(t, shingle) for t in texts], dtype=np.int64), "keys": [list(h[:KEYS].view(np.int64)) if len(h) else [0] for h in hashes]})
-
-    text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), sketched(text).alias("s")).select("doc_id", "th", "s.fp", "s.keys")
-
-
-def edges(nodes: DataFrame) -> DataFrame:
-    """(a, b) of texts to be verified; nodes: th, fp, keys."""
-    keyed = nodes.select("th", "fp", "keys", F.explode("keys").alias("key"))
-    heads = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    own = keyed.join(heads, "key")
-    pairs = F.when(F.col("n") > SPLIT, F.transform(F.filter("keys", lambda k: k != F.col("key")), lambda k: F.xxhash64(F.least(k, "key"), F.greatest(k, "key")))).otherwise(F.array("key"))
-    dealt = own.select("th", "fp", F.explode(pairs).alias("key"))
-    groups = max(1, -(-nodes.count() * KEYS // GROUP_ROWS))
-    return dealt.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: _trees(pdf), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+def edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b) of texts to be verified; nodes: th, fp. Texts of one fingerprint go with the first of them."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("th").alias("head"), F.count("*").alias("n")))
+    same = nodes.join(heads.where("n > 1"), "fp").where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
+    by = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"th_{c}"))
+    near = links(heads, radius=radius).join(by("a"), "a").join(by("b"), "b").select(F.col("th_a").alias("a"), F.col("th_b").alias("b"))
+    both = same.unionByName(near)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -128,7 +77,7 @@ def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("th"), text.alias("t"))
+    return docs.select(text_hash(F.col("text")).alias("th"), text.alias("t"))
 
 
 def _common(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +87,7 @@ def _common(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, shingle).view(np.int64) for t in texts])
 
-    some = _texts(docs).where(F.pmod("th", F.lit(max(1, n // COUNTED))) == 0).groupBy("th").agg(F.first("t").alias("t"))
+    some = _texts(docs).where(F.pmod(F.xxhash64("th"), F.lit(max(1, n // COUNTED))) == 0).groupBy("th").agg(F.first("t").alias("t"))
     counted = some.select(F.explode(hashed("t")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()
     rows.sort(key=lambda r: r["h"] % (1 << 64))
@@ -167,7 +116,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(shingle_hashes(s, shingle), shingle_hashes(t, shingle)) >= similarity for s, t in zip(x, y)], dtype=bool)
+        known = {t: shingle_hashes(t, shingle) for t in {*x, *y}}
+        return pd.Series([jaccard(known[s], known[t]) >= similarity for s, t in zip(x, y)], dtype=bool)
 
     both = pairs.join(texts.select(F.col("th").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("th").alias("b"), F.col("t").alias("y")), "b")
     return both.where(alike("x", "y")).select(*pairs.columns)
@@ -214,21 +164,24 @@ def completed(docs: DataFrame, roots: DataFrame, *, shingle: int = SHINGLE, simi
         span, before = 16 * span, span
 
 
-def components(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Per document: doc_id, component_id."""
+def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Per document: doc_id, th, component (some name of it)."""
     bound_batches(docs)
-    own = cut(_nodes(docs, shingle))
-    nodes = cut(own.groupBy("th").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    pairs = cut(edges(nodes))
-    roots = connect(_verified(docs, pairs, shingle, similarity))
+    own = cut(docs.select("doc_id", text_hash(F.col("text")).alias("th"), fingerprints(F.col("text").cast("string"), shingle).alias("fp")))
+    nodes = cut(own.groupBy("th").agg(F.first("fp").alias("fp")))
+    roots = connect(_verified(docs, cut(edges(nodes)), shingle, similarity))
     first = cut(nodes.join(roots, nodes["th"] == roots["node"], "left").select("th", F.coalesce("root", "th").alias("root")))
-    named = nodes.select("th", "rep").join(completed(docs, first, shingle=shingle, similarity=similarity), "th")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return own.select("doc_id", "th").join(named.select("th", "root").join(lowest, "root").select("th", "component_id"), "th").select("doc_id", "component_id")
+    named = completed(docs, first, shingle=shingle, similarity=similarity)
+    return own.select("doc_id", "th").join(named.select("th", F.col("root").alias("component")), "th").select("doc_id", "th", "component")
+
+
+def components(docs: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Per document: doc_id, component_id."""
+    own = cut(grouped(docs, shingle, similarity))
+    lowest = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return own.join(lowest, "component").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The document with the smallest id of each component, once; columns as they were."""
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    kept = components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
-    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """One document of each component, once, chosen as ``simhash.keep_one`` does; columns as they were."""
+    return only(docs, survivors(grouped(docs, **options)))

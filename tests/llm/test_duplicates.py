@@ -12,7 +12,7 @@ from helpers import ODD, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parallax.llm import repeats, simhash
+from parallax.llm import repeats, similar, simhash
 
 
 def mixed_texts():
@@ -124,31 +124,85 @@ def test_simhash(spark):
     assert simhash.report(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_links_connect_the_same(spark, seed, monkeypatch):
-    monkeypatch.setattr(simhash, "SPLIT", 30)
-    monkeypatch.setattr(simhash, "LEAF", 8)
-    rng = np.random.default_rng(seed)
-    x = rng.integers(-(2**63), 2**63 - 1, 4)[rng.integers(0, 4, 400)]
-    for _ in range(2 + 2 * seed):
-        x = x ^ np.where(rng.random(400) < 0.7, np.int64(1) << rng.integers(0, 63, 400), 0)
-    x = np.unique(x)
+def same_groups(spark, x, **options):
     nodes = spark.createDataFrame([(int(v),) for v in x], "fp long")
-    roots = {r.node: r.root for r in simhash.connect(simhash.links(nodes)).collect()}
+    roots = {r.node: r.root for r in simhash.connect(simhash.links(nodes, **options)).collect()}
     got = [roots.get(int(v), int(v)) for v in x]
-    want = brute_components(x.view(np.uint64))
-    assert len({(g, w) for g, w in zip(got, want)}) == len(set(got)) == len(set(want.tolist()))
-
-
-@pytest.mark.parametrize("blocks", [4, 5, 6])
-def test_blocks_meet_all_pairs(blocks):
-    rng = np.random.default_rng(0)
-    masks = np.array(simhash.block_masks(blocks), dtype=np.int64)
-    x = rng.integers(-(2**63), 2**63 - 1, 500)
-    y = x.copy()
-    for _ in range(3):
-        y ^= np.int64(1) << rng.integers(0, 63, 500)
-    assert (((x[:, None] & masks) == (y[:, None] & masks)).any(axis=1)).all()
+    want = brute_components(x.view(np.uint64)).tolist()
+    assert len({(g, w) for g, w in zip(got, want)}) == len(set(got)) == len(set(want))
+    return set(want)
+
+
+def clusters(seed, n, centres):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-(2**63), 2**63 - 1, centres)[rng.integers(0, centres, n)]
+    for _ in range(2 + 2 * seed):
+        x = x ^ np.where(rng.random(n) < 0.7, np.int64(1) << rng.integers(0, 63, n), 0)
+    return np.unique(x)
+
+
+@pytest.mark.parametrize("seed, leaf, crowd", [(0, 512, 16), (1, 16, 16), (3, 16, 16), (2, 16, 1)])
+def test_links_connect_the_same(spark, seed, leaf, crowd, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    same_groups(spark, clusters(seed, 400, 4), leaf=leaf)
+
+
+def test_trees_at_their_limits(spark):
+    """Many fingerprints at random with planted links, at the limits as they are: the trees have nodes and ask across them."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-(2**63), 2**63 - 1, 9000)
+    y = x[:3000].copy()
+    for k in range(4):  # some of them too far
+        y[: 3000 if k < 3 else 1500] ^= np.int64(1) << rng.integers(0, 63, 3000)[: 3000 if k < 3 else 1500]
+    x = np.unique(np.concatenate([x, y]))
+    trees = [simhash.build(x.view(np.uint64), len(x), m, 1, simhash.LEAF) for m in simhash.HALVES]
+    assert all(t.leaves >= 16 for t in trees)
+    who, _, asks = simhash.route(trees[0], x.view(np.uint64))
+    assert (~asks).sum() == len(x) and asks.any() and len(who) < 6 * len(x)
+    assert len(same_groups(spark, x)) < len(x) - 500
+
+
+@pytest.mark.parametrize("crowd", [16, 1])
+def test_dense_ball(spark, crowd, monkeypatch):
+    """All fingerprints within two bits of one, and 1,500 at three bits: no distance tells them apart."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(2)
+    bit = [1 << i for i in range(63)]
+    ball = {0, *bit, *(a | b for a in bit for b in bit)}
+    while len(ball) < 3500:
+        ball.add(sum(bit[i] for i in rng.choice(63, 3, replace=False)))
+    far = [((1 << 62) - 1) ^ v for v in bit[:40]]  # a second, small group in the same table
+    x = np.array(sorted(ball | set(far)), dtype=np.int64)
+    assert len(same_groups(spark, x, leaf=512)) == 2
+
+
+def test_homes_and_asks_meet_all_pairs():
+    x = clusters(3, 3000, 40).view(np.uint64)
+    for mask in simhash.HALVES:
+        tree = simhash.build(x, len(x), mask, 1, 32)
+        who, leaf, asks = simhash.route(tree, x)
+        home = np.empty(len(x), dtype=np.int64)
+        home[who[~asks]] = leaf[~asks]
+        visits = set(zip(who.tolist(), leaf.tolist()))
+        a, b = np.nonzero(np.triu(simhash.hamming(x[:, None] & np.uint64(mask), x[None, :] & np.uint64(mask)) <= 1, 1))
+        assert len(a) > 100 and all((i, home[j]) in visits or (j, home[i]) in visits for i, j in zip(a.tolist(), b.tolist()))
+
+
+def test_tree_beyond_its_sample():
+    x = np.random.default_rng(0).integers(0, 1 << 64, 50, dtype=np.uint64)
+    tree = simhash.build(x, 100_000, simhash.HALVES[0], 1, 512)
+    assert tree.leaves >= 64 and len(simhash.route(tree, x)[0]) >= 50
+
+
+def test_nothing_is_lost(spark):
+    """Rows without an id, or with one id and different text, are documents of their own; only copies go."""
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(None, texts[0], 1, "k"), (None, texts[1], 2, "k"), (5, texts[2], 3, "k"), (5, texts[3], 4, "k"), (5, texts[3], 4, "k"), (9, texts[0], 5, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, none int, __key string")
+    for module in (simhash, similar):
+        kept = module.keep_one(docs)
+        assert kept.columns == docs.columns
+        assert sorted(x.none for x in kept.collect()) == [2, 3, 4, 5]
 
 
 def test_star_contraction(spark):
