@@ -20,15 +20,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import bound_batches
+from parallax.llm.common import bound_batches, fresh
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 #: Bytes of benchmark text that one automaton (and one broadcast) may hold; more text is scanned in several passes.
 MAX_ITEM_BYTES = 32 << 20
-#: Name of the added column; it may not clash with one of the documents.
-COLUMN = "__hits"
 HITS = "n_words long, n_hit long, items array<long>, runs array<struct<first:int,last:int>>, spans array<struct<start:int,end:int>>"
 #: A word of the text as it was, before lower-casing.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -113,8 +111,8 @@ def _collected(items: DataFrame, width: int):
     return _scanner(shared, key, width)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), width: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """docs with a struct column ``__hits``: n_words, n_hit, items, runs (in words) and spans (in characters).
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_texts: tuple[str, ...] = ("text",), width: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, column: str = "hits") -> DataFrame:
+    """docs with a struct column of the given name (which docs may not have): n_words, n_hit, items, runs (in words) and spans (in characters).
 
     The benchmark's size is measured first. Up to ``max_item_bytes`` it is broadcast and documents are scanned in
     place, without a shuffle. Beyond it, items are dealt into parts of that size, each part scans the documents in a
@@ -128,7 +126,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item
     items = items.where("i is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     if size <= max_item_bytes:
-        return docs.withColumn(COLUMN, _collected(items, width)(F.col(text)))
+        return docs.withColumn(column, _collected(items, width)(F.col(text)))
     n = -(-size // max_item_bytes) + 1
     key = [F.xxhash64(text), F.hash(text), F.length(text)]
     texts = docs.select(F.col(text).alias("t"), *[k.alias(f"k{i}") for i, k in enumerate(key)]).dropDuplicates(["k0", "k1", "k2"])
@@ -151,11 +149,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item
             rows.append((n, sum(hit), list(ids), [{"first": a, "last": b} for a, b in own], [{"start": a, "end": b} for a, b in original_spans(t, own)]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "runs", "spans"])
 
-    merged = merged.select(*[F.col(f"k{i}").alias(f"__m{i}") for i in range(3)], joined("n", "t", "items", "runs").alias("__merged"))
+    names = fresh(docs, *[f"{x}{i}" for x in "km" for i in range(3)], "merged")
+    own, other, whole = names[:3], names[3:6], names[6]
+    merged = merged.select(*[F.col(f"k{i}").alias(m) for i, m in enumerate(other)], joined("n", "t", "items", "runs").alias(whole))
     none = _scanner(docs.sparkSession.sparkContext.broadcast([]), "none", width)
-    keyed = docs.withColumns({f"__k{i}": k for i, k in enumerate(key)})
-    out = keyed.join(merged, F.expr(" and ".join(f"__k{i} <=> __m{i}" for i in range(3))), "left")
-    return out.withColumn(COLUMN, F.coalesce("__merged", none(F.col(text)))).drop(*[f"__{x}{i}" for x in "km" for i in range(3)], "__merged")
+    keyed = docs.withColumns(dict(zip(own, key)))
+    same = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(own, other)]
+    out = keyed.join(merged, same[0] & same[1] & same[2], "left")
+    return out.withColumn(column, F.coalesce(whole, none(F.col(text)))).drop(*names)
 
 
 def is_contaminated(hits: Column) -> Column:
@@ -164,15 +165,15 @@ def is_contaminated(hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated documents; columns as they were."""
-    columns = docs.columns
-    return find_hits(docs, benchmark, **options).where(~is_contaminated(F.col(COLUMN))).select(*columns)
+    (hits,) = fresh(docs, "hits")
+    return find_hits(docs, benchmark, column=hits, **options).where(~is_contaminated(F.col(hits))).drop(hits)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     hits = find_hits(docs.select("doc_id", "text"), benchmark, **options)
-    ids = F.array_sort(F.transform(f"{COLUMN}.items", lambda x: x.cast("string")))
-    return hits.select("doc_id", F.col(f"{COLUMN}.n_words").alias("n_words"), F.col(f"{COLUMN}.n_hit").alias("n_hit"), F.size(f"{COLUMN}.items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), is_contaminated(F.col(COLUMN)).alias("contaminated"))
+    ids = F.array_sort(F.transform("hits.items", lambda x: x.cast("string")))
+    return hits.select("doc_id", F.col("hits.n_words").alias("n_words"), F.col("hits.n_hit").alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), is_contaminated(F.col("hits")).alias("contaminated"))
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

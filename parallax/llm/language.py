@@ -20,16 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import bound_batches, held_out
+from parallax.llm.common import bound_batches, fresh, held_out
 
 WINDOW = 192
 WIDTHS = (2, 4, 6)
 FILTERS = 16
 EMBED = 8
-#: The network is fitted on at most about so many labelled documents of each language, chosen by a hash of their id,
-SAMPLE_DOCS = 1500
-#: and on at most so many windows of each, spread evenly over the whole text.
-SAMPLE_WINDOWS = 4
+#: The network is fitted on at most about so many windows of each language, chosen by a hash from all windows of the whole texts.
+SAMPLE_WINDOWS = 6000
 UNKNOWN = "und"
 RESULT = "lang string, score double"
 
@@ -173,28 +171,29 @@ def predict(model: Model, texts: list[str | None], max_bytes: int = 4 << 20) ->
     return langs, scores
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Model:
-    """Fit on rows outside the held-out third. The sample is bounded by counting each language first."""
+def fit(docs: DataFrame, *, sample_windows: int = SAMPLE_WINDOWS) -> Model:
+    """Fit on windows of rows outside the held-out third. The sample is bounded by counting each language's windows first."""
     bound_batches(docs)
-    labelled = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW)).cast("long")
+    labelled = docs.select("doc_id", "text", "lang", n.alias("n")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return Model(())
     langs = tuple(sorted(counts))
-    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1 << 30, int(sample_docs / counts[k] * (1 << 30))))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
+    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1 << 30, int(sample_windows / counts[k] * (1 << 30))))])
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.pmod(F.xxhash64("doc_id", i), F.lit(1 << 30)) < share[F.col("lang")])
+    chosen = labelled.withColumn("at", drawn).where(F.size("at") > 0)
 
     @F.pandas_udf("array<binary>")
-    def spread(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+    def taken(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, places in batches:
             out = []
-            for t in texts:
+            for t, at in zip(texts, places):
                 x, _ = windows_of([t.encode("utf-8", "replace")])
-                at = np.unique(np.linspace(0, len(x) - 1, sample_windows).astype(int))
                 out.append([x[i].tobytes() for i in at] if has_letter(t) else [])
             yield pd.Series(out)
 
-    rows = chosen.select("doc_id", "lang", spread("text").alias("w")).collect()
+    rows = chosen.select("doc_id", "lang", taken("text", "at").alias("w")).collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["w"]))
     x = [np.frombuffer(bytes(w), dtype=np.uint8) for r in rows for w in r["w"]]
     y = [langs.index(r["lang"]) for r in rows for _ in r["w"]]
@@ -224,6 +223,6 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model | None = None, *, min_score: float = 0.3) -> DataFrame:
     """docs without those whose language is unknown or scores under min_score; columns as they were."""
-    columns = docs.columns
+    (found,) = fresh(docs, "found")
     p = predictor(docs, model or fit(docs))
-    return docs.withColumn("__p", p(F.col("text"))).where((F.col("__p.lang") != UNKNOWN) & (F.col("__p.score") >= min_score)).select(*columns)
+    return docs.withColumn(found, p(F.col("text"))).where((F.col(found)["lang"] != UNKNOWN) & (F.col(found)["score"] >= min_score)).drop(found)

@@ -1,15 +1,18 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-Strict patterns give the base spans, which always stay. High-recall generators propose further, overlapping spans; small
-binned features of their format and context are counted over a bounded sample of documents, and boosted trees are
+Strict patterns give the base spans, which always stay. High-recall generators propose further, overlapping spans: addresses
+with any letters, numbers in any grouping, dotted quads with brackets, long strings of letters and digits. Small binned features of
+their format and context are counted over all documents, and boosted trees are
 grown on those counts (cells of equal features, never rows). The trees become a SQL expression. A threshold for each
-generator is the lowest whose held-back candidates are right often enough; a generator without such a threshold adds nothing. Candidates count
-as right, for training, if their text passes a strict validator; the validators' own test (a check sum, say) is no
-feature, so that trees judge by form and surroundings.
+generator is the lowest whose held-back candidates are right often enough; a generator without such a threshold adds nothing.
+
+Candidates count as right, for training, by weak rules that are not the strict patterns: the layout of a card number, whatever
+its check digit; a phone's groups, or a cue word before fewer of them; four parts that fit an address, however dotted; letters before and a named domain
+after an at sign; a long string after a cue or a sign of assignment.
 
 Defined cases: a null text is empty and has no spans; offsets are code points; base matches that fail validation are
 dropped, without a second try; added spans that overlap a base span are left out; repeated rows are judged alike;
-an empty table gives a model that adds nothing. Extra columns are ignored (``redact`` keeps them).
+an empty table gives a model that adds nothing. Extra columns are ignored (``redact`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -17,10 +20,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parallax.llm.common import fresh
+
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans; the last has no strict pattern.
+NAMES = (*KINDS, "secret")
 #: Possessive forms of the strict patterns. A match begins where a run begins or where the last match ended.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -36,15 +44,17 @@ IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 WIDE = {
     "address": r"(?:(?<![^\s@<>,;])|\G)[^\s@<>,;]++@[^\s@<>,;]++",
     "number": r"(?:\+|\()?[0-9](?:[ ().\-/]{0,2}[0-9])++",
+    "quad": r"(?:(?<![0-9.])|\G)[0-9]{1,4}+(?:[ \[(]{0,2}\.[ \])]{0,2}[0-9]{1,4}+){3}",
+    "secret": r"(?:(?<![A-Za-z0-9_+/=-])|\G)[A-Za-z0-9_+/=-]{20,}+",
 }
-WIDE_NEEDS = {"address": "@", "number": None}
+WIDE_NEEDS = {"address": "@", "number": None, "quad": ".", "secret": None}
 CONTEXT = 24
-CUES = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|pay)"
-#: Documents whose candidates train the trees, at most about; chosen by a hash of their id.
-SAMPLE_DOCS = 20_000
+CUES = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|pay|token|secret|key|passw|bearer)"
 PRECISION = 0.98
 TREES, DEPTH, RATE = 24, 3, 0.3
-FEATURES = ("gen", "digits", "plus", "seps", "paren", "before", "after", "cue", "dots")
+FEATURES = ("gen", "digits", "plus", "seps", "paren", "before", "after", "cue", "dots", "lead", "mix")
+#: Matches of a text whose offsets are summed at a time.
+STRETCH = 256
 
 
 def _digits(s: Column) -> Column:
@@ -78,16 +88,22 @@ def _matches(text: Column, pattern: str, need: str | None) -> Column:
     """Spans (m, s, e) of all matches: lengths of what lies between them, and of themselves, summed from the left."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)")
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["b"])
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))).alias("out"))
 
-    spans = F.aggregate(both, start, step, lambda acc: acc["out"])
+    def stretch(acc: Column, k: Column) -> Column:  # so that a growing array is not copied for each of many matches
+        own = F.aggregate(F.slice(both, k * STRETCH + 1, F.lit(STRETCH)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.concat(acc["out"], own["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    few = F.aggregate(both, start, step, lambda acc: acc["out"])
+    many = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / STRETCH).cast("int")), start, stretch, lambda acc: acc["out"])
     there = text.contains(need) if need else text.rlike("[0-9]")
-    return F.when(there, spans).otherwise(F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)"))
+    return F.when(there, F.when(F.size(both) <= STRETCH, few).otherwise(many)).otherwise(none)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -97,7 +113,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _featured(text: Column, g: int):
-    """A span's binned features and whether a strict validator accepts it."""
+    """A span's binned features, and whether the weak rules take it for personal data."""
 
     def featured(x: Column) -> Column:
         m = x["m"]
@@ -106,20 +122,43 @@ def _featured(text: Column, g: int):
         left = F.substring(text, F.greatest(F.lit(1), x["s"] - CONTEXT + 1), F.least(F.lit(CONTEXT), x["s"]))
         right = F.substring(text, x["e"] + 1, F.lit(1))
         kind = lambda c: F.when(c == "", 0).when(c.rlike(r"^\s"), 1).when(c.rlike("^[0-9]"), 2).when(c.rlike(r"^\p{L}"), 3).otherwise(4)
+        count = lambda c, signs: F.length(F.regexp_replace(c, f"[^{signs}]", ""))
+        cue, plus = left.rlike(CUES), m.startswith("+")
+        seps, dots = F.lit(0), F.lit(0)
+        lead, mix = F.lit(0), F.lit(0)
         if g == 0:
-            accepted = m.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+$")
+            dots = count(F.substring_index(m, "@", -1), ".")
+            mix = F.when(m.rlike(r"\p{L}[^@]*@"), 1).otherwise(0) + F.when(m.rlike(r"\.\p{L}{2,24}\W*$"), 2).otherwise(0)
+            accepted = mix == 3
+        elif g == 1:
+            seps = F.size(F.split(m, "[^0-9]+")) - 1
+            dots = count(m, ".")
+            lead = F.when(m.rlike("^(?:19|20)[0-9]{2}[-/.]"), 3).when(d.rlike("^[2-6]"), 2).when(d.rlike("^0"), 1).otherwise(0)
+            card = n.between(16, 19) & (seps <= 4) & (lead == 2)
+            phone = (dots < 3) & (lead != 3) & ((n.between(10, 15) & (seps >= 2)) | (n.between(8, 15) & plus) | (n.between(7, 15) & cue))
+            accepted = (card | phone) & ~left.rlike(r"\p{L}$") & ~right.rlike(r"^\p{L}")
+        elif g == 2:
+            seps = count(m, r"\[\]() ")
+            fits = F.forall(F.split(F.regexp_replace(m, "[^0-9.]", ""), r"\."), lambda q: q.cast("int") <= 255)
+            mix = F.when(fits, 1).otherwise(0)
+            accepted = fits
         else:
-            accepted = (m.startswith("+") & n.between(8, 15)) | (~m.startswith("+") & n.between(16, 19) & m.rlike("^[0-9](?:[ -]?[0-9])+$") & luhn(d))
+            seps = count(m, "_+/=-")
+            mix = F.when(m.rlike("[0-9]"), 1).otherwise(0) + F.when(m.rlike("[A-Za-z]"), 2).otherwise(0)
+            lead = F.when(left.rlike("[=:] ?[\"']?$"), 2).when(left.rlike("[\"']$"), 1).otherwise(0)
+            accepted = (mix == 3) & (n >= 4) & (cue | (lead == 2))
         bins = {
             "gen": F.lit(g),
             "digits": F.least(n, F.lit(20)),
-            "plus": m.startswith("+").cast("int"),
-            "seps": F.least(F.length(m) - n, F.lit(4)) if g else F.lit(0),
+            "plus": plus.cast("int"),
+            "seps": F.least(seps, F.lit(4)),
             "paren": m.contains("(").cast("int"),
             "before": kind(F.substring(left, -1, 1)),
             "after": kind(right),
-            "cue": left.rlike(CUES).cast("int"),
-            "dots": F.least(F.length(F.regexp_replace(F.substring_index(m, "@", -1), "[^.]", "")), F.lit(3)) if g == 0 else F.lit(0),
+            "cue": cue.cast("int"),
+            "dots": F.least(dots, F.lit(3)),
+            "lead": lead,
+            "mix": mix,
         }
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), *[bins[f].cast("int").alias(f) for f in FEATURES], accepted.cast("int").alias("right"))
 
@@ -146,23 +185,19 @@ class Model:
     thresholds: dict[int, float] = field(default_factory=dict)
 
 
-def grow(cells: list[tuple[dict[str, int], float, float]], depth: int):
-    """A regression tree on cells (features, gradient sum, hessian sum)."""
-    g, h = sum(c[1] for c in cells), sum(c[2] for c in cells)
+def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+    """A regression tree on cells: features (a column each), gradient sums, hessian sums."""
+    all_g, all_h = g.sum(), h.sum()
     best, gain = None, 1e-6
-    if depth:
-        for f in FEATURES:
-            for v in sorted({c[0][f] for c in cells})[:-1]:
-                gl, hl = sum(c[1] for c in cells if c[0][f] <= v), sum(c[2] for c in cells if c[0][f] <= v)
-                if min(hl, h - hl) < 0.5:
-                    continue
-                better = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                if better > gain:
-                    best, gain = (f, v), better
+    for f in range(len(FEATURES) if depth else 0):
+        gl, hl = np.cumsum(np.bincount(x[:, f], weights=g))[:-1], np.cumsum(np.bincount(x[:, f], weights=h))[:-1]
+        better = np.where(np.minimum(hl, all_h - hl) < 0.5, 0, gl**2 / (hl + 1) + (all_g - gl) ** 2 / (all_h - hl + 1) - all_g**2 / (all_h + 1))
+        if len(better) and better.max() > gain:
+            best, gain = (f, int(better.argmax())), better.max()
     if best is None:
-        return -RATE * g / (h + 1)
-    f, v = best
-    return f, v, grow([c for c in cells if c[0][f] <= v], depth - 1), grow([c for c in cells if c[0][f] > v], depth - 1)
+        return float(-RATE * all_g / (all_h + 1))
+    left = x[:, best[0]] <= best[1]
+    return FEATURES[best[0]], best[1], grow(x[left], g[left], h[left], depth - 1), grow(x[~left], g[~left], h[~left], depth - 1)
 
 
 def value(tree, x: dict[str, int]) -> float:
@@ -178,15 +213,14 @@ def boost(cells: list[tuple[dict[str, int], int, int]]) -> tuple[tuple, float]:
         return (), 0.0
     p = min(max(right / n, 1e-3), 1 - 1e-3)
     bias, trees = math.log(p / (1 - p)), []
-    score = [bias] * len(cells)
+    x = np.array([[c[0][f] for f in FEATURES] for c in cells])
+    count, ok = np.array([c[1] for c in cells], dtype=float), np.array([c[2] for c in cells], dtype=float)
+    score = np.full(len(cells), bias)
     for _ in range(TREES):
-        own = []
-        for (x, count, ok), s in zip(cells, score):
-            q = 1 / (1 + math.exp(-s))
-            own.append((x, count * q - ok, count * q * (1 - q)))
-        tree = grow(own, DEPTH)
+        q = 1 / (1 + np.exp(-score))
+        tree = grow(x, count * q - ok, count * q * (1 - q), DEPTH)
         trees.append(tree)
-        score = [s + value(tree, x) for s, (x, _, _) in zip(score, cells)]
+        score += [value(tree, c[0]) for c in cells]
     return tuple(trees), bias
 
 
@@ -205,12 +239,10 @@ def calibrated(trees: tuple, bias: float, cells: list[tuple[dict[str, int], int,
     return found
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Model:
-    """Count cells over a bounded sample; two thirds of it train, the rest sets thresholds."""
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = docs.where(part < min(1 << 30, int(sample_docs / max(1, n) * (1 << 30)))).select((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("held"), F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c"))
-    # No more rows than there are combinations of bins.
+def fit(docs: DataFrame, *, precision: float = PRECISION) -> Model:
+    """Count cells over all documents; two thirds of the documents train, the rest sets thresholds."""
+    chosen = docs.select((F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("held"), F.explode(candidates(F.coalesce(F.col("text"), F.lit("")))).alias("c"))
+    # No more rows than there are combinations of bins, however many documents.
     rows = chosen.groupBy("held", *[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum("c.right").alias("ok")).collect()
     rows.sort(key=lambda r: tuple(r))
     cells = {h: [({f: r[f] for f in FEATURES}, r["n"], r["ok"]) for r in rows if r["held"] == h] for h in (False, True)}
@@ -232,58 +264,60 @@ def score(model: Model, c: Column) -> Column:
     return total
 
 
-def find(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``__base`` and ``__all``: arrays of (kind number, s, e), by kind, then start."""
+def find(docs: DataFrame, model: Model, base: str, every: str) -> DataFrame:
+    """docs with two more columns: base spans and all spans, as arrays of (kind number, s, e), by kind, then start."""
     text = F.coalesce(F.col("text"), F.lit(""))
     pair = lambda k: lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
     spans = base_spans(text)
-    out = docs.withColumn("__base", F.concat(*[F.transform(spans[k], pair(i)) for i, k in enumerate(KINDS)]))
+    out = docs.withColumn(base, F.concat(*[F.transform(spans[k], pair(i)) for i, k in enumerate(KINDS)]))
     none = F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")
     if not model.thresholds:
-        return out.withColumn("__all", F.col("__base"))
-    out = out.withColumn("__c", candidates(text))
+        return out.withColumn(every, F.col(base))
+    (wide,) = fresh(out, "wide")
+    out = out.withColumn(wide, candidates(text))
 
     def taken(c: Column) -> Column:
         enough = F.lit(False)
         for g, t in model.thresholds.items():
             enough = enough | ((c["gen"] == g) & (score(model, c) >= t))
-        return enough & ~F.exists("__base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+        return enough & ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
 
-    kind = lambda c: F.when(c["gen"] == 0, 0).when((c["plus"] == 1) | (c["digits"] < 16), 3).otherwise(2)
-    added = F.transform(F.filter("__c", taken), lambda c: F.struct(kind(c).alias("k"), c["s"].alias("s"), c["e"].alias("e")))
-    return out.withColumn("__all", F.array_sort(F.array_distinct(F.concat("__base", F.coalesce(added, none))))).drop("__c")
+    kind = lambda c: F.when(c["gen"] == 0, 0).when(c["gen"] == 2, 1).when(c["gen"] == 3, 4).when(c["digits"] < 16, 3).otherwise(2)
+    added = F.transform(F.filter(wide, taken), lambda c: F.struct(kind(c).alias("k"), c["s"].alias("s"), c["e"].alias("e")))
+    return out.withColumn(every, F.array_sort(F.array_distinct(F.concat(base, F.coalesce(added, none))))).drop(wide)
 
 
 def joined(spans: str) -> Column:
-    name = lambda x: F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1)
+    name = lambda x: F.element_at(F.array(*map(F.lit, NAMES)), x["k"] + 1)
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x), x["s"], x["e"])), ",")
 
 
 def report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document: doc_id, numbers of base spans, their digest, and all spans."""
     docs = docs.select("doc_id", "text")
-    found = find(docs, model or fit(docs))
-    count = lambda i: F.size(F.filter("__base", lambda x: x["k"] == i)).cast("long")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined("__base").cast("binary"), 256).alias("base_sha256"), joined("__all").alias("spans"))
+    found = find(docs, model or fit(docs), "base", "every")
+    count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)], F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("every").alias("spans"))
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs with spans replaced by their kind in angle brackets, and n_chars (if there) brought up to date.
 
-    Overlapping spans become one, named by the first. Texts without spans stay as they are, null included.
+    Overlapping spans become one, named by the first, or the longest of those that begin there. Texts without spans stay as they are, null included.
     """
-    found = find(docs, model or fit(docs))
-    by_start = F.array_sort(F.transform("__all", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    base, every = fresh(docs, "base", "every")
+    found = find(docs, model or fit(docs), base, every)
+    by_start = F.array_sort(F.transform(every, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         clear = F.substring(F.col("text"), acc["at"] + 1, F.greatest(F.lit(0), x["s"] - acc["at"]))
-        tag = F.when(x["s"] >= acc["at"], F.concat(clear, F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), F.lit(">"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], tag).alias("out"))
+        tag = F.when(x["s"] >= acc["at"], F.concat(clear, F.lit("<"), F.element_at(F.array(*map(F.lit, NAMES)), x["k"] + 1), F.lit(">"))).otherwise("")
+        return F.struct(F.greatest(acc["at"], -x["e"]).alias("at"), F.concat(acc["out"], tag).alias("out"))
 
     clean = F.aggregate(by_start, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    text = F.when(F.size("__all") > 0, clean).otherwise(F.col("text"))
+    text = F.when(F.size(every) > 0, clean).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return out.drop(base, every)

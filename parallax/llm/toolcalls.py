@@ -1,13 +1,15 @@
 """Tool-call linking in DataFrame functions only.
 
-Calls and results are joined by identifier (of a conversation and a call). A call may name the call it follows; its level
-is its distance from the first of its chain, found by doubling pointers, so that a chain of any length takes a
-logarithmic number of rounds and no conversation is gathered anywhere. Arguments are parsed as JSON, checked against the fields of
-the tool's schema, and written as canonical JSON: keys sorted, no blanks.
-
-Defined cases: null identifiers match nothing; of repeated calls or results the first by order stays; a call whose
-predecessor is missing begins a chain; calls on a cycle have level null; arguments that are not a JSON object are
-invalid and canonical null; a tool without schema accepts no call; results without a call are left out; empty tables give no rows. Extra columns are ignored.
+Calls and results are joined by identifier (of a conversation and a call). A call may name the calls it follows, one or
+several; its level in topological order is one more than the highest of theirs. Stretches of calls that follow one call each are
+measured by doubling pointers, in a logarithmic number of rounds; only calls that follow several take a round for each layer of
+such calls. No conversation is gathered anywhere. Arguments are parsed as JSON, checked against the fields of
+the tool's schema (a field may be a path into nested objects and arrays), and written as canonical JSON: keys sorted, no blanks.
+
+Defined cases: null identifiers match nothing; of repeated calls or results the first by order stays, and of equal order the
+smallest by content, nulls first; a predecessor that is missing does not count; calls on a cycle, or after one, have level null; arguments that
+are not a JSON object are invalid and canonical null; a tool without schema accepts no call; results without a call are left out;
+empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,36 +29,52 @@ def canonical(json: Column) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) from (conv_id, call_id, after); null on cycles."""
-    own = calls.select("conv_id", "call_id", "after")
-    there = own.select("conv_id", F.col("call_id").alias("after")).withColumn("__there", F.lit(True))
-    first = own.join(there, ["conv_id", "after"], "left").select("conv_id", "call_id", F.when(F.col("__there"), F.col("after")).alias("to"))
-    state = cut(first.withColumn("level", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long")))
-    rounds = max(1, state.count()).bit_length() + 1
-    for _ in range(rounds):
-        if state.where("to is not null").isEmpty():
+    """(conv_id, call_id, level) from (conv_id, call_id, after: an identifier or an array of them); null on cycles and after them."""
+    after = F.col("after") if dict(calls.dtypes)["after"].startswith("array") else F.array("after")
+    nodes = calls.select("conv_id", "call_id").distinct()
+    named = calls.select("conv_id", "call_id", F.explode(after).alias("before")).distinct()
+    edges = named.join(nodes.withColumnRenamed("call_id", "before"), ["conv_id", "before"], "left_semi")
+    single = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    # Each call looks back to the nearest one that follows none or several.
+    own = nodes.join(single, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("n", F.lit(0)).alias("n"), "before")
+    one = F.col("n") == 1
+    state = cut(own.select("conv_id", "call_id", "n", F.when(one, F.col("before")).otherwise(F.col("call_id")).alias("at"), one.cast("long").alias("far"), (~one).alias("ended")))
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        if state.where("not ended").isEmpty():
             break
-        other = state.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("level").alias("more"))
-        moved = state.join(other, ["conv_id", "to"], "left")
-        state = cut(moved.select("conv_id", "call_id", F.when(F.col("to").isNotNull(), F.col("next")).alias("to"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
-    return state.select("conv_id", "call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"))
+        other = state.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"), F.col("ended").alias("there"))
+        state = cut(state.join(other, ["conv_id", "at"]).select("conv_id", "call_id", "n", F.col("next").alias("at"), (F.col("far") + F.col("more")).alias("far"), F.col("there").alias("ended")))
+    looked = state.where("ended").select("conv_id", "call_id", "at", "far")
+    known = state.where("n = 0").select("conv_id", F.col("call_id").alias("at"), F.lit(0).cast("long").alias("level"))
+    # Calls that follow several, as edges to those nearest ones; what leads to a cycle has no such end and is never known.
+    several = edges.join(state.where("n > 1").select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi")
+    if not several.isEmpty():
+        back = looked.select("conv_id", F.col("call_id").alias("before"), "at", (F.col("far") + 1).alias("far"))
+        wanted = cut(several.join(back, ["conv_id", "before"], "left").select("conv_id", "call_id", "at", "far"))
+        known = cut(known)
+        while True:
+            met = wanted.join(known, ["conv_id", "at"], "left").groupBy("conv_id", "call_id").agg(F.count("*").alias("all"), F.count("level").alias("some"), F.max(F.col("level") + F.col("far")).alias("level")).where(F.col("all") == F.col("some"))
+            new = cut(met.select("conv_id", F.col("call_id").alias("at"), "level"))
+            if new.isEmpty():
+                break
+            known = cut(known.unionByName(new))
+            wanted = cut(wanted.join(new.select("conv_id", F.col("at").alias("call_id")), ["conv_id", "call_id"], "left_anti"))
+    found = looked.join(known, ["conv_id", "at"], "left").select("conv_id", "call_id", (F.col("level") + F.col("far")).alias("level"))
+    return nodes.join(found, ["conv_id", "call_id"], "left")
 
 
 def validity(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """calls with ``valid``: each field of the tool's schema is there if required and of its type."""
-    fields = schemas.groupBy("name").agg(F.collect_list(F.struct("field", "type", "required")).alias("__fields"))
+    """calls with ``valid``: each field of the tool's schema is there if required and of its type. A field is a name or a path such as a.b or a[0].b."""
+    fields = schemas.groupBy("name").agg(F.collect_list(F.struct("field", "type", "required")).alias("fields"))
     v = F.try_parse_json("arguments")
 
     def good(f: Column) -> Column:
-        kind = F.element_at("__kinds", f["field"])
+        kind = F.schema_of_variant(F.try_variant_get(v, F.concat(F.lit("$."), f["field"]), "variant"))
         return F.when(kind.isNull() | (kind == "VOID"), ~f["required"]).otherwise(F.regexp_extract(kind, "^[A-Z]+", 0) == f["type"])
 
-    # Top-level types of the arguments: from text, as the fields to look for are data.
-    raw = F.from_json("arguments", "map<string,variant>")
-    kinds = F.transform_values(raw, lambda k, x: F.schema_of_variant(x))
-    joined = calls.join(F.broadcast(fields), "name", "left").withColumn("__kinds", kinds)
+    joined = calls.join(fields, "name", "left")
     whole = F.schema_of_variant(v).startswith("OBJECT")
-    return joined.withColumn("valid", F.coalesce(whole & F.col("__fields").isNotNull() & F.forall("__fields", good), F.lit(False))).drop("__fields", "__kinds")
+    return joined.withColumn("valid", F.coalesce(whole & F.col("fields").isNotNull() & F.forall("fields", good), F.lit(False))).drop("fields")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -65,8 +83,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     calls: conv_id, call_id, order, name, arguments, after; results: conv_id, call_id, order, content;
     schemas (a few rows for each tool): name, field, type, required.
     """
-    calls = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min_by(F.struct("name", "arguments", "after"), "order").alias("c")).select("conv_id", "call_id", "c.*")
-    results = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.col("order")).alias("result_order"), F.min_by("content", "order").alias("content"))
+    identified = "conv_id is not null and call_id is not null"
+    first = F.min(F.struct("order", "name", "arguments", "after")).alias("c")
+    calls = calls.where(identified).groupBy("conv_id", "call_id").agg(first).select("conv_id", "call_id", "c.name", "c.arguments", "c.after")
+    answer = F.min(F.struct("order", "content")).alias("r")
+    results = results.where(identified).groupBy("conv_id", "call_id").agg(answer).select("conv_id", "call_id", F.col("r.order").alias("result_order"), "r.content")
     judged = validity(calls, schemas)
     linked = judged.join(results, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"])
     text = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})

@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-A text's lower-cased UTF-8 bytes give hashed n-grams of several lengths, each counted once a document. On labelled
+A text's lower-cased characters (code points) give hashed n-grams of several lengths, each counted once a document. On labelled
 rows outside the held-out third, the log of the ratio of their smoothed shares in toxic and other documents scales each
 feature; logistic regression on the scaled features, with a quadratic penalty, gives the score of whole texts.
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parallax.llm.common import bound_batches, held_out
+from parallax.llm.common import bound_batches, cut, held_out
 
 SIZES = (4, 6, 8)
 BITS = 20
@@ -40,11 +40,12 @@ class Model:
 
 
 def _prepared(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, each with an end mark, and where each begins."""
-    own = [(t or "").lower().encode("utf-8", "replace") + bytes(max(SIZES)) for t in texts]
+    """Code points of all texts, each with an end mark, and where each begins."""
+    end = "\0" * max(SIZES)
+    own = [(t or "").lower() + end for t in texts]
     starts = np.zeros(len(own) + 1, dtype=np.int64)
     np.cumsum([len(b) for b in own], out=starts[1:])
-    return np.frombuffer(b"".join(own) + bytes(max(SIZES)), dtype=np.uint8).astype(np.uint32), starts
+    return np.frombuffer("".join([*own, end]).encode("utf-32-le", "surrogatepass"), dtype="<u4"), starts
 
 
 def hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -70,7 +71,9 @@ def present(texts: list[str | None], places: np.ndarray | None = None) -> tuple[
             f = places[h]
             at = np.flatnonzero(f)
             f = f[at].astype(np.int64)
-        pairs.append((np.searchsorted(starts, at, side="right") - 1) << BITS | f)
+        doc = np.searchsorted(starts, at, side="right") - 1
+        own = at < starts[doc + 1] - max(SIZES)  # begins in the text, not in its end mark
+        pairs.append(doc[own] << BITS | f[own])
     both = np.unique(np.concatenate(pairs))
     return both >> BITS, both & ((1 << BITS) - 1)
 
@@ -124,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, f
     share = F.when(F.col("y") == 1, min(1 << 30, int(sample_docs / counts[1] * (1 << 30)))).otherwise(min(1 << 30, int(sample_docs / counts[0] * (1 << 30))))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
     # The chosen ids are bounded by the sample's size, so that they may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None

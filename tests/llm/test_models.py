@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from helpers import ODD, frame
+from helpers import ODD, frame, unchanged
 from pyspark.sql import functions as F
 
 from parallax.llm import language, toxicity
@@ -29,7 +29,7 @@ def test_language_odd_cases(spark):
         assert (got[i].lang_pred == "und") == (not language.has_letter(t))
     assert got[63].score == got[64].score  # repeated text
     kept = language.keep_identified(docs, model)
-    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if x.lang_pred != "und" and x.score >= 0.3}
+    assert unchanged(docs, kept) and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if x.lang_pred != "und" and x.score >= 0.3}
 
 
 def test_language_without_labels(spark):
@@ -98,3 +98,50 @@ def test_scores_do_not_depend_on_neighbours():
     m = toxicity.Model(places, np.array([0, 1.0, 2, 3, 4, 5]), -1.0)
     alone = [toxicity.score(m, [t])[0] for t in ("some text", "", "text")]
     assert np.allclose(toxicity.score(m, ["some text", "", "text"]), alone)
+
+
+def test_scores_against_brute_force():
+    """Whole texts through plain Python: each character n-gram once, code points hashed as the module says."""
+    r = random.Random(3)
+    texts = [*ODD, *["".join(r.choice("aAbß é😀\n") for _ in range(r.randint(0, 60))) for _ in range(40)]]
+    rng = np.random.default_rng(1)
+    places = np.zeros(1 << toxicity.BITS, dtype=np.int32)
+    places[rng.permutation(1 << toxicity.BITS)[: 1 << 18]] = np.arange(1, (1 << 18) + 1)
+    model = toxicity.Model(places, np.append(0.0, rng.normal(0, 0.1, 1 << 18)), -0.3)
+
+    def hashed(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h * 0x01000193 + ord(c) * 0x9E3779B1) & 0xFFFFFFFF
+        return ((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - toxicity.BITS
+
+    for t, got in zip(texts, toxicity.score(model, texts)):
+        own = (t or "").lower() + "\0" * max(toxicity.SIZES) * 2
+        grams = {hashed(own[i : i + k]) for k in toxicity.SIZES for i in range(len((t or "").lower()))}
+        z = model.bias + sum(model.weights[places[g]] for g in grams)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_language_against_brute_force():
+    """Documents through plain loops: mean log-probability over the windows of the whole text."""
+    rng = np.random.default_rng(0)
+    x = rng.integers(97, 123, (60, language.WINDOW), dtype=np.uint8)
+    model = language.train(x, (x[:, 0] % 3).astype(int), ("a", "b", "c"), epochs=1)
+    texts = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (1, 50, 192, 193, 400, 900)]
+    langs, scores = language.predict(model, texts)
+    for t, lang, score in zip(texts, langs, scores):
+        raw, n = t.encode(), language.WINDOW
+        parts = [raw[i : i + n] for i in range(0, len(raw) - n + 1, n)]
+        if len(raw) % n or not raw:
+            parts.append(raw[-n:].ljust(n, b"\0"))
+        total = np.zeros(3)
+        for w in parts:
+            pooled = []
+            for tab, bias, width in zip(model.tables, model.biases, language.WIDTHS):
+                z = np.array([sum(tab[k][w[i + 2 * k] * 256 + w[i + 2 * k + 1]] for k in range(width // 2)) for i in range(n - width + 1)])
+                pooled.append(np.maximum(z.max(axis=0) + bias, 0))
+            logits = (np.concatenate(pooled) @ model.out_w + model.out_b).astype(float)
+            total += logits - np.log(np.exp(logits).sum())
+        p = np.exp(total / len(parts) - (total / len(parts)).max())
+        p /= p.sum()
+        assert lang == "abc"[int(p.argmax())] and abs(score - p.max()) < 1e-4

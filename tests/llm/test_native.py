@@ -7,7 +7,7 @@ import re
 
 import duckdb
 import pytest
-from helpers import ODD, frame
+from helpers import ODD, frame, unchanged
 
 from parallax.llm import licences, pii, toolcalls
 
@@ -62,6 +62,34 @@ def test_trees_learn_form(spark):
     assert pii.fit(frame(spark, [])).thresholds == {}
 
 
+def test_added_spans(spark):
+    """Forms that no strict pattern takes, beside plain numbers and words: the trees learn the ones and leave the others."""
+    r = random.Random(2)
+    n = lambda k: "".join(r.choice("123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(3, 9)))
+    forms = [lambda: f"phone 555-{n(3)}-{n(4)}", lambda: f"josé@{word()}.org", lambda: f"{r.randint(1, 9)}{n(1)}[.]{r.randint(1, 9)}[.]1[.]{r.randint(1, 9)}", lambda: f'token = "{n(9)}ab{n(9)}cdef"', lambda: f"4{n(3)} {n(4)} {n(4)} {n(4)}"]
+    plain = [lambda: f"in {n(8)} steps", lambda: "x" * 25, lambda: f"on 20{n(2)}-11-1{n(1)}", lambda: f"{word()}@{word()}"]
+    texts = []
+    for i in range(600):
+        parts = [word() for _ in range(6)] + [r.choice(plain)()] + [word()] + ([forms[i % 5]()] if i % 2 else []) + [word()]
+        texts.append(" ".join(parts))
+    docs = frame(spark, texts + ODD)
+    got = {x.doc_id: x for x in pii.report(docs).collect()}
+    extra = {i: set(filter(None, got[i].spans.split(","))) - set(base(t)) for i, t in enumerate(texts)}
+    assert sum(bool(extra[i]) for i in range(1, 600, 2)) > 250 and not any(extra[i] for i in range(0, 600, 2))
+    assert {s.split(":")[0] for e in extra.values() for s in e} >= {"email", "ip", "phone", "secret"}
+    out = pii.redact(docs)
+    assert unchanged(docs, out)
+    clean = {x.doc_id: x.text for x in out.collect()}
+    assert "<phone>" in "".join(clean[i] for i in range(5, 600, 10)) and "<secret>" in "".join(clean[i] for i in range(3, 600, 10))
+
+
+def test_many_matches(spark):
+    text = "a@b.cd " * 700
+    row = pii.report(frame(spark, [text]), pii.Model()).first()
+    assert row.n_email == 700 and row.spans == ",".join(base(text))
+
+
 def test_licences(spark):
     mit = dict(licences.LICENCES)["MIT"]
     texts = [*ODD, mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper(), mit.replace(",", " ;"), "x " + mit, mit.replace("sublicense", "sub"), "Released under the MIT license!\nmore", "Whilst the licence\n(c) me"]
@@ -103,6 +131,31 @@ def test_tool_calls(spark):
     assert '"z":[2,{"a":2,"b":1}]' in got["e"].canonical
 
 
+def test_tool_calls_in_order(spark):
+    """Several predecessors, nested fields, and ties settled by content."""
+    kind = "conv_id long, call_id string, order long, name string, arguments string, after array<string>"
+    calls = [
+        (1, "a", 1, "t", '{"o": {"x": 1}, "l": [{"y": "s"}]}', []),
+        (1, "b", 2, "t", '{"o": {"x": "no"}, "l": [{"y": "s"}]}', ["a"]),
+        (1, "c", 3, "t", '{"o": {}, "l": [{"y": "s"}]}', ["b", "a", "gone"]),
+        (1, "d", 4, "t", '{"l": []}', ["c"]),
+        (1, "e", 5, "t", "{}", ["d", "b", None]),
+        (1, "p", 6, "t", "[1]", ["q"]),
+        (1, "q", 7, "t", "1", ["p", "a"]),
+        (1, "r", 8, "t", "1", ["q", "a"]),
+        (1, "a", 1, "t", '{"z": 0}', ["e"]),
+        (2, "a", 1, "t", "{}", None),
+    ]
+    schemas = [("t", "o.x", "BIGINT", False), ("t", "l[0].y", "STRING", True)]
+    results = [(1, "a", 2, "z", "n"), (1, "a", 2, "y", "n")]
+    link = lambda rows: {(x.conv_id, x.call_id): x for x in toolcalls.link(spark.createDataFrame(rows, kind), spark.createDataFrame(results, RESULTS), spark.createDataFrame(schemas, SCHEMAS)).collect()}
+    got = link(calls)
+    assert {k: x.level for k, x in got.items()} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 3, (1, "e"): 4, (1, "p"): None, (1, "q"): None, (1, "r"): None, (2, "a"): 0}
+    assert {k[1]: x.valid for k, x in got.items() if k[0] == 1} == {"a": True, "b": False, "c": True, "d": False, "e": False, "p": False, "q": False, "r": False}
+    assert '"result":"y"' in got[1, "a"].canonical
+    assert link(calls[::-1]) == got
+
+
 def test_long_chain_and_empty(spark):
     n = 200
     calls = spark.createDataFrame([(1, str(i), i, "t", "{}", str(i - 1) if i else None, 0) for i in range(n)], CALLS)
