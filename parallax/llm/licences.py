@@ -1,12 +1,13 @@
 """Licence scans by canonical digest, in DataFrame functions only.
 
 A text is brought to a canonical form: copyright lines go, letters become lower case, punctuation becomes blanks, equivalent
-spellings become one, blanks shrink. The digest of a whole text is hash-joined to digests of known licences, which
-went through the same expressions. Single lines are compared with known notices in the same form.
+spellings become one, blanks shrink. The digest of an entire text is hash-joined to digests of known licences and notices, which
+went through the same expressions. Of texts that speak of licences, each paragraph and each line is such a unit too, so that a notice
+within other text is found. The widest unit found names the licence: the text, else a paragraph, else a line.
 
 Defined cases: a null text is empty; an empty text (or one of copyright lines only) has the digest of the empty text
 and no licence; texts of any length are treated whole; repeated rows are looked up alike; if two known licences
-had one canonical form, the first by name would be named; other columns are ignored.
+had one canonical form, or several units of one kind are found, the first by name is named; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,18 +57,45 @@ LICENCES = (
     ("Zlib", _ZLIB),
     ("Zlib", "zlib License\n\n" + _ZLIB),
 )
-NOTICES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-)
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+_GPL = """This program is free software{either} you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation, {version}."""
+_GNU = (("GPL", "General"), ("LGPL", "Lesser General"), ("AGPL", "Affero General"))
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_NAMED = (("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSL-1.0", "Boost Software License, Version 1.0"), ("ISC", "ISC License"), ("MIT", "MIT License"), ("MPL-2.0", "Mozilla Public License, Version 2.0"), ("Unlicense", "Unlicense"), ("Zlib", "zlib License"))
+_OPENINGS = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "This software is licensed under the {}.")
+
+
+def _notices() -> list[tuple[str, str]]:
+    """(license_id, text) of notices, most of them by rule."""
+    out = [("Apache-2.0", _APACHE), ("Apache-2.0", _APACHE.partition("\n")[0]), ("MPL-2.0", _MPL)]
+    named = list(_NAMED)
+    for short, name in _GNU:
+        for v in ("2.0", "2.1", "3.0"):
+            whole = v.removesuffix(".0")
+            named += [(f"{short}-{v}", f"GNU {name} Public License, version {whole}"), (f"{short}-{v}", f"GNU {name} Public License v{v}"), (f"{short}-{v}-or-later", f"GNU {name} Public License, version {whole} or later")]
+            out.append((f"{short}-{v}-or-later", _GPL.format(either=":", name=name, version=f"either version {whole} of the License, or (at your option) any later version")))
+            out.append((f"{short}-{v}", _GPL.format(either=":", name=name, version=f"version {whole} of the License")))
+    for short, name in _CC:
+        for v in ("2.0", "3.0", "4.0"):
+            scope = "International" if v == "4.0" else "Unported"
+            named += [(f"CC-{short}-{v}", f"Creative Commons {name} {v} {scope} License")]
+            out += [(f"CC-{short}-{v}", f"{verb} under CC {short} {v}.") for verb in ("Licensed", "Released", "This work is licensed")]
+    return out + [(i, o.format(n)) for i, n in named for o in _OPENINGS]
+
+
+NOTICES = tuple(_notices())
 #: Equivalent spellings of words.
 SPELLINGS = (("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("authorisation", "authorization"), ("authorised", "authorized"), ("favour", "favor"), ("https", "http"), ("judgement", "judgment"), ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("noncommercially", "noncommercial"), ("organisation", "organization"), ("organisations", "organizations"), ("owner", "holder"), ("owners", "holders"), ("programme", "program"), ("whilst", "while"))
 COPYRIGHT_LINE = r"(^|\n)[ \t]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt] *(\([Cc]\)|©|[0-9])|\([Cc]\)|©)[^\n]*"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F‘’“”–—…«»©®]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What a unit must hold to be looked up within a text.
+MENTION = "licen[sc]|gnu |redistribut"
 _ANY = "(?:^|[ \n])(?:" + "|".join(a for a, _ in SPELLINGS) + ")(?:[ \n]|$)"
 
 
@@ -101,20 +129,25 @@ def known(docs: DataFrame, texts: tuple[tuple[str, str], ...] = LICENCES) -> Dat
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, canonical_sha256, license_id (of the whole text), notices (of its lines, joined)."""
+    """Per document: doc_id, canonical_sha256 (of the entire text), license_id, unit (text, paragraph or line), notices (all found, joined)."""
     plain = docs.select("doc_id", _plain(F.col("text").cast("string")).alias("p"))
-    lines = F.transform(F.split("p", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    keys = {}
-    for name, text in NOTICES:
-        keys.setdefault(text, name)
-    forms = F.array(*[F.struct(F.lit(n).alias("n"), _spelled(_plain(F.lit(t))).alias("t")) for t, n in keys.items()])
-    found = F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter(forms, lambda f: F.array_contains(lines, f["t"])), lambda f: f["n"]))), ",")
-    # Few texts speak of licences at all; only those are split into lines.
-    notices = F.when(F.col("p").rlike("licen[sc]e"), found).otherwise("")
-    own = plain.select("doc_id", digest(_spelled(F.col("p"))).alias("canonical_sha256"), notices.alias("notices"))
-    # The known digests are as many as the texts above.
-    table = F.broadcast(known(docs).withColumnRenamed("sha256", "canonical_sha256"))
-    return own.join(table, "canonical_sha256", "left").select("doc_id", "canonical_sha256", "license_id", "notices")
+    own = plain.select("doc_id", digest(F.col("p")).alias("row"), _spelled(F.col("p")).alias("c"), F.when(F.col("p").rlike(MENTION), F.col("p")).alias("p"))
+    own = own.select("doc_id", "row", "p", digest(F.col("c")).alias("canonical_sha256"))
+    table = known(docs, LICENCES + NOTICES)
+    # Few texts speak of licences at all; only those are split, and rows of one id and text are looked up once.
+    part = lambda name, sign: F.transform(F.split("p", sign), lambda x: F.struct(F.lit(name[0]).alias("rank"), F.lit(name[1]).alias("unit"), x.alias("t")))
+    some = own.where("p is not null").dropDuplicates(["doc_id", "row"])
+    units = some.select("doc_id", "row", F.explode(F.concat(part((1, "paragraph"), "\n[ \n]*\n"), part((2, "line"), "\n"))).alias("u"))
+    keyed = units.where(F.col("u.t").rlike(MENTION)).select("doc_id", "row", "u.rank", "u.unit", digest(_spelled(F.col("u.t"))).alias("sha256"))
+    whole = some.select("doc_id", "row", F.lit(0).alias("rank"), F.lit("text").alias("unit"), F.col("canonical_sha256").alias("sha256"))
+    # The known digests are as many as the texts above, a few hundred.
+    hits = keyed.unionByName(whole).join(F.broadcast(table), "sha256")
+    best = hits.groupBy("doc_id", "row").agg(F.min(F.struct("rank", F.col("license_id").alias("id"), "unit")).alias("best"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    found = best.select(F.col("doc_id").alias("doc"), F.col("row").alias("text"), F.col("best.id").alias("inner_id"), "best.unit", "notices")
+    looked = own.join(F.broadcast(table).select(F.col("sha256").alias("canonical_sha256"), F.col("license_id").alias("whole_id")), "canonical_sha256", "left")
+    out = looked.join(found, looked["doc_id"].eqNullSafe(found["doc"]) & (looked["row"] == found["text"]), "left")
+    by_whole = F.when(F.col("whole_id").isNotNull(), F.lit("text"))
+    return out.select("doc_id", "canonical_sha256", F.coalesce("whole_id", "inner_id").alias("license_id"), F.coalesce(by_whole, "unit").alias("unit"), F.coalesce("notices", "whole_id", F.lit("")).alias("notices"))
 
 
 def _sql(text: str) -> str:
@@ -133,11 +166,18 @@ def _sql_spelled(p: str) -> str:
 
 ORACLE_SQL = f"""
 with known as (
-  select sha256(c) as h, min(id) as license_id from (select id, {_sql_spelled("p")} as c from (select id, {_sql_plain("t")} as p from (values {", ".join(f"({_sql(i)}, {_sql(t)})" for i, t in LICENCES)}) v(id, t))) group by 1),
-forms as (select id, {_sql_spelled("p")} as c from (select id, {_sql_plain("t")} as p from (values {", ".join(f"({_sql(i)}, {_sql(t)})" for i, t in NOTICES)}) v(id, t))),
+  select sha256(c) as h, min(id) as id from (select id, {_sql_spelled("p")} as c from (select id, {_sql_plain("t")} as p from (values {", ".join(f"({_sql(i)}, {_sql(t)})" for i, t in LICENCES + NOTICES)}) v(id, t))) group by 1),
 docs as (select doc_id, {_sql_plain("text")} as p from documents),
-lines as (select distinct doc_id, trim(regexp_replace(l, ' +', ' ', 'g'), ' ') as l from (select doc_id, unnest(string_split(p, chr(10))) as l from docs)),
-hits as (select doc_id, string_agg(id, ',' order by id) as notices from (select distinct doc_id, id from lines join forms on l = c) group by 1)
-select d.doc_id, sha256({_sql_spelled("d.p")}) as canonical_sha256, k.license_id, coalesce(h.notices, '') as notices
-from docs d left join known k on k.h = sha256({_sql_spelled("d.p")}) left join hits h on h.doc_id = d.doc_id
+whole as (select doc_id, p, sha256({_sql_spelled("p")}) as h from docs),
+units as (
+  select doc_id, p, 0 as rank, 'text' as unit, h from whole
+  union all
+  select doc_id, p, rank, unit, sha256({_sql_spelled("t")}) from (
+    select doc_id, p, 1 as rank, 'paragraph' as unit, unnest(string_split_regex(p, '\\n[ \\n]*\\n')) as t from docs where regexp_matches(p, '{MENTION}')
+    union all
+    select doc_id, p, 2, 'line', unnest(string_split(p, chr(10))) from docs where regexp_matches(p, '{MENTION}')) where regexp_matches(t, '{MENTION}')),
+hits as (select doc_id, p, rank, unit, id from units join known using (h)),
+best as (select doc_id, p, min((rank, id, unit)) as b, string_agg(distinct id, ',' order by id) as notices from hits group by 1, 2)
+select w.doc_id, w.h as canonical_sha256, b.b[2] as license_id, b.b[3] as unit, coalesce(b.notices, '') as notices
+from whole w left join best b on b.doc_id is not distinct from w.doc_id and b.p = w.p
 """

@@ -92,16 +92,17 @@ def test_many_matches(spark):
 
 def test_licences(spark):
     mit = dict(licences.LICENCES)["MIT"]
-    texts = [*ODD, mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper(), mit.replace(",", " ;"), "x " + mit, mit.replace("sublicense", "sub"), "Released under the MIT license!\nmore", "Whilst the licence\n(c) me"]
+    texts = [*ODD, mit, "Copyright (c) 2020 Somebody\n\n" + mit.upper(), mit.replace(",", " ;"), "x " + mit, mit.replace("sublicense", "sub"), "Released under the MIT license!\nmore", "Whilst the licence\n(c) me", "code\n\nLicensed under CC BY-NC 4.0.\n \nReleased under the MIT License\nx", "a\n\nThis program is free software: you can redistribute it and/or modify it under the\nterms of the GNU General Public Licence as published by the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nb", "Licensed under the Apache License, Version 2.0."]
     docs = frame(spark, texts)
     got = {x.doc_id: x for x in licences.scan(docs).collect()}
     n = len(ODD)
     assert [got[n + i].license_id for i in range(5)] == ["MIT", "MIT", "MIT", None, None]
-    assert got[n + 5].notices == "MIT" and got[0].license_id is None and got[0].canonical_sha256 == hashlib.sha256(b"").hexdigest()
+    assert [(got[n + i].license_id, got[n + i].unit, got[n + i].notices) for i in (5, 7, 8, 9)] == [("MIT", "line", "MIT"), ("CC-BY-NC-4.0", "paragraph", "CC-BY-NC-4.0,MIT"), ("GPL-3.0-or-later", "paragraph", "GPL-3.0-or-later"), ("Apache-2.0", "text", "Apache-2.0")]
+    assert got[0].license_id is None and got[0].canonical_sha256 == hashlib.sha256(b"").hexdigest()
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text").toPandas())
-    want = sorted(con.sql(licences.ORACLE_SQL).select("doc_id", "canonical_sha256", "license_id", "notices").fetchall())
-    assert sorted((x.doc_id, x.canonical_sha256, x.license_id, x.notices) for x in got.values()) == want
+    want = sorted(con.sql(licences.ORACLE_SQL).select("doc_id", "canonical_sha256", "license_id", "unit", "notices").fetchall(), key=repr)
+    assert sorted(((x.doc_id, x.canonical_sha256, x.license_id, x.unit, x.notices) for x in got.values()), key=repr) == want
     assert licences.scan(frame(spark, [])).count() == 0
 
 
