@@ -53,11 +53,11 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def edges(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) of texts to be verified; nodes: th, fp. Texts of one fingerprint go with the first of them."""
-    heads = cut(nodes.groupBy("fp").agg(F.min("th").alias("head"), F.count("*").alias("n")))
-    same = nodes.join(heads.where("n > 1"), "fp").where("th <> head").select(F.col("head").alias("a"), F.col("th").alias("b"))
-    by = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"th_{c}"))
-    near = links(heads, radius=radius).join(by("a"), "a").join(by("b"), "b").select(F.col("th_a").alias("a"), F.col("th_b").alias("b"))
+    """(a, b) of texts to be verified; nodes: node, fp. Texts of one fingerprint go with the first of them."""
+    heads = cut(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    same = nodes.join(heads.where("n > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    by = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = links(heads, radius=radius).join(by("a"), "a").join(by("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     both = same.unionByName(near)
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -94,8 +94,8 @@ def _common(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
 
 
-def _buckets(docs: DataFrame, n: int, shingle: int, similarity: float) -> DataFrame:
-    """key, th, size: texts by the shingles of their prefixes, without those alone in a bucket."""
+def _buckets(docs: DataFrame, named: DataFrame, n: int, shingle: int, similarity: float) -> DataFrame:
+    """key, node, size, pos: texts by the shingles of their prefixes, in order of size, where a bucket holds several components; named: th, node, root."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, n, shingle))
 
     @F.pandas_udf("size int, keys array<long>")
@@ -105,44 +105,46 @@ def _buckets(docs: DataFrame, n: int, shingle: int, similarity: float) -> DataFr
             yield pd.DataFrame({"size": np.array([len(h) for h in hashes], dtype=np.int32), "keys": [prefix(h, similarity, *shared.value).view(np.int64) for h in hashes]})
 
     once = _texts(docs).select("th", prefixed("t").alias("p")).groupBy("th").agg(F.first("p").alias("p"))
-    dealt = once.select("th", F.col("p.size").alias("size"), F.explode("p.keys").alias("key"))
-    return dealt.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1").drop("n")
+    dealt = once.join(named, "th").select(F.explode("p.keys").alias("key"), "node", F.col("p.size").alias("size"), "root")
+    # One dealing by key serves both windows.
+    bucket = W.partitionBy("key")
+    mixed = dealt.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high")
+    return mixed.select("key", "node", "size", F.row_number().over(bucket.orderBy("size", "node")).alias("pos"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (a, b, ...) of texts that are as similar as asked."""
-    wanted = pairs.select(F.col("a").alias("th")).union(pairs.select("b")).distinct()
-    texts = cut(_texts(docs).join(wanted, "th", "left_semi").groupBy("th").agg(F.first("t").alias("t")))
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b, ...) of texts that are as similar as asked; nodes: th, node."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    named = nodes.select("th", "node").join(wanted, "node", "left_semi")
+    texts = cut(_texts(docs).join(named, "th").groupBy("node").agg(F.first("t").alias("t")))
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
         known = {t: shingle_hashes(t, shingle) for t in {*x, *y}}
         return pd.Series([jaccard(known[s], known[t]) >= similarity for s, t in zip(x, y)], dtype=bool)
 
-    both = pairs.join(texts.select(F.col("th").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("th").alias("b"), F.col("t").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
     return both.where(alike("x", "y")).select(*pairs.columns)
 
 
-def completed(docs: DataFrame, roots: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(th, root) in which every two texts as similar as asked have one root; roots: th, root, joined of such texts only.
+def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) in which every two texts as similar as asked have one root; nodes: th, node; roots: node, root, joined of such texts only.
 
     Each round compares neighbours by size within the buckets, farther ones than the round before, and joins what is alike. As soon
     as few enough pairs across components are left in all, they are compared at once.
     """
     n = roots.count()
-    own = _buckets(docs, n, shingle, similarity).join(roots, "th")
-    mixed = own.withColumn("low", F.min("root").over(W.partitionBy("key"))).withColumn("high", F.max("root").over(W.partitionBy("key"))).where("low <> high")
-    dealt = cut(mixed.select("key", "th", "size", F.row_number().over(W.partitionBy("key").orderBy("size", "th")).alias("pos")))
+    dealt = cut(_buckets(docs, nodes.select("th", "node").join(roots, "node"), n, shingle, similarity))
     span, before = SPAN, 0
     while True:
-        live = dealt.join(roots, "th")
+        live = dealt.join(roots, "node")
         held = live.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main")).where("n * n > same")
         held = cut(held)
         left, most = held.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.max("n")).first()
         if not left:
             return roots
         live = live.join(held.select("key", "main"), "key")
-        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in ("th", "size", "pos", "root")], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("th", "size", "pos", "root")])
+        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "pos", "root")], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "root")])
         apart = F.abs(F.col("pos_a") - F.col("pos_b"))
         last = left <= AT_ONCE * n or span >= most
         if last:  # each pair across components has a side outside its bucket's largest one
@@ -152,13 +154,13 @@ def completed(docs: DataFrame, roots: DataFrame, *, shingle: int = SHINGLE, simi
             met = x.withColumn("k", F.explode(F.array(block, block + 1))).join(y.withColumn("k", F.floor(F.col("pos_b") / span)), ["key", "k"]).where((F.col("pos_b") > F.col("pos_a")) & (apart > before) & (apart <= span))
         # Sets of which one is smaller than the share asked of the other cannot be alike.
         close = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-        order = F.col("th_a") < F.col("th_b")
+        order = F.col("node_a") < F.col("node_b")
         pick = lambda c, d: F.when(order, F.col(c)).otherwise(F.col(d))
-        pairs = cut(met.where("root_a <> root_b").where(close).select(pick("th_a", "th_b").alias("a"), pick("th_b", "th_a").alias("b"), pick("root_a", "root_b").alias("p"), pick("root_b", "root_a").alias("q")).distinct())
-        links = cut(_verified(docs, pairs, shingle, similarity).select("p", "q").distinct())
+        pairs = cut(met.where("root_a <> root_b").where(close).select(pick("node_a", "node_b").alias("a"), pick("node_b", "node_a").alias("b"), pick("root_a", "root_b").alias("p"), pick("root_b", "root_a").alias("q")).distinct())
+        links = cut(_verified(docs, nodes, pairs, shingle, similarity).select("p", "q").distinct())
         if not links.isEmpty():
             joined = connect(links.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
-            roots = cut(roots.join(joined, "root", "left").select("th", F.coalesce("to", "root").alias("root")))
+            roots = cut(roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         if last:
             return roots
         span, before = 16 * span, span
@@ -168,10 +170,11 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     """Per document: doc_id, th, component (some name of it)."""
     bound_batches(docs)
     own = cut(docs.select("doc_id", text_hash(F.col("text")).alias("th"), fingerprints(F.col("text").cast("string"), shingle).alias("fp")))
-    nodes = cut(own.groupBy("th").agg(F.first("fp").alias("fp")))
-    roots = connect(_verified(docs, cut(edges(nodes)), shingle, similarity))
-    first = cut(nodes.join(roots, nodes["th"] == roots["node"], "left").select("th", F.coalesce("root", "th").alias("root")))
-    named = completed(docs, first, shingle=shingle, similarity=similarity)
+    # Numbers of the distinct texts, short in pairs and buckets; they hold as the table is written before it is read.
+    nodes = cut(own.groupBy("th").agg(F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    roots = connect(_verified(docs, nodes, cut(edges(nodes)), shingle, similarity)).withColumnRenamed("root", "to")
+    first = cut(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")))
+    named = nodes.select("th", "node").join(completed(docs, nodes, first, shingle=shingle, similarity=similarity), "node")
     return own.select("doc_id", "th").join(named.select("th", F.col("root").alias("component")), "th").select("doc_id", "th", "component")
 
 
