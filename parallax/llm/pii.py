@@ -36,8 +36,8 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What a text must hold for a pattern to be tried.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: What a text must hold for a pattern to be tried: cheaper to look for than the pattern, and part of each valid match.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9]"}
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: Generators of candidates, wider than the strict patterns.
@@ -47,7 +47,7 @@ WIDE = {
     "quad": r"(?:(?<![0-9.])|\G)[0-9]{1,4}+(?:[ \[(]{0,2}\.[ \])]{0,2}[0-9]{1,4}+){3}",
     "secret": r"(?:(?<![A-Za-z0-9_+/=-])|\G)[A-Za-z0-9_+/=-]{20,}+",
 }
-WIDE_NEEDS = {"address": "@", "number": None, "quad": ".", "secret": None}
+WIDE_NEEDS = {"address": "@", "number": r"[0-9](?:[ ().\-/]{0,2}[0-9]){6}", "quad": r"[0-9][ \[(]{0,2}\.[ \])]{0,2}[0-9]", "secret": "(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20}"}
 CONTEXT = 24
 CUES = r"(?i)(?:mail|contact|write|phone|tel|call|fax|mobile|card|visa|account|pay|token|secret|key|passw|bearer)"
 PRECISION = 0.98
@@ -84,26 +84,34 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, need: str | None) -> Column:
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed a single time, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _matches(text: Column, pattern: str, need: str) -> Column:
     """Spans (m, s, e) of all matches: lengths of what lies between them, and of themselves, summed from the left."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
     none = F.expr("cast(array() as array<struct<m:string,s:int,e:int>>)")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + F.length(x["b"])
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))).alias("out"))
 
-    def stretch(acc: Column, k: Column) -> Column:  # so that a growing array is not copied for each of many matches
-        own = F.aggregate(F.slice(both, k * STRETCH + 1, F.lit(STRETCH)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return F.struct(own["at"].alias("at"), F.concat(acc["out"], own["out"]).alias("out"))
+    def summed(both: Column) -> Column:
+        def stretch(acc: Column, k: Column) -> Column:  # so that a growing array is not copied for each of many matches
+            own = F.aggregate(F.slice(both, k * STRETCH + 1, F.lit(STRETCH)), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return _once(own, lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], o["out"]).alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    few = F.aggregate(both, start, step, lambda acc: acc["out"])
-    many = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / STRETCH).cast("int")), start, stretch, lambda acc: acc["out"])
-    there = text.contains(need) if need else text.rlike("[0-9]")
-    return F.when(there, F.when(F.size(both) <= STRETCH, few).otherwise(many)).otherwise(none)
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / STRETCH).cast("int")), start, stretch, lambda acc: acc["out"])
+
+    def located(found: Column) -> Column:  # texts are split only where there is a match
+        both = F.zip_with(found, F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+        return F.when(F.size(found) == 0, none).otherwise(_once(both, summed))
+
+    there = text.contains(need) if need == "@" else text.rlike(need)
+    return F.when(there, _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), located)).otherwise(none)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
