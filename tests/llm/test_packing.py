@@ -64,8 +64,8 @@ def test_named_tokenizer():
     assert np.frombuffer(t.encode(["a <|endoftext|> b"])[0], dtype="<u4").tolist() == [64, 220, 50256, 275, 0]
 
 
-def test_cuts_change_nothing():
+def test_ranks_change_nothing():
     r = random.Random(4)
-    t, odd = packing.tokens(tokenizer_path()), ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "9", "é", "ß", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "!", "日", "<|endoftext|>", "\u200d", "😀"]
+    t, odd = packing.tokens(tokenizer_path()), ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "9", "é", "ß", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "!", "日", "<|endoftext|>", "\u200d", "😀", "\u180e", "\u2028", "\ufeff", "\u0301", "Ⅷ", "²", "ª", "\x00", "\u1680", "I'll"]
     texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 14))) for _ in range(3000)]
-    assert t.encode(texts) == [i + packing.END for i in t.ids(texts)]
+    assert t.ranks and t.encode(texts) == [i + packing.END for i in t.whole(texts)]
