@@ -42,20 +42,27 @@ CROWD, GROUP_ROWS = 16, 40_000
 CELLS, TRIES = 1 << 21, 4
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit majority of XXH64 over word shingles, as a signed integer."""
+def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included."""
     import xxhash
 
     w = text.encode("utf-8", "replace").lower().split() if text else []
     if not w:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     parts = map(b" ".join, zip(*[w[k:] for k in range(shingle)])) if len(w) > shingle else iter([b" ".join(w)])
-    n = max(1, len(w) - shingle + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=max(1, len(w) - shingle + 1))
+
+
+def majority(h: np.ndarray) -> int:
+    """For each bit whether more than half of the hashes have it, as a signed integer."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 1 << 14):
+    for at in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
+    return int(np.packbits(2 * ones > len(h)).view(">u8")[0].astype(np.uint64).astype(np.int64))
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:

@@ -16,7 +16,6 @@ than a shingle are one shingle; equal texts and repeated rows are one node; a co
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,24 +24,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parallax.llm.common import bound_batches, cut, text_hash
-from parallax.llm.simhash import RADIUS, SEED, connect, fingerprints, links, only, survivors
+from parallax.llm.simhash import RADIUS, connect, hashes, links, majority, only, survivors
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts of which shingles are counted to put common ones last, and shingles so counted; they change the work, never the result.
 COUNTED, COMMON = 8000, 100_000
-#: Neighbours in a bucket that the first round of the second part compares, and pairs across components, for each text, up to which all are compared at once.
-SPAN, AT_ONCE = 16, 20
+#: Neighbours in a bucket that the first round of the second part compares, how many times farther each next one looks, and pairs
+#: across components, for each text, up to which all are compared at once.
+SPAN, FARTHER, AT_ONCE = 1, 8, 1
+#: Bins of the counts that tell pairs apart before their texts are fetched.
+BINS = 256
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Distinct hashes of a text's shingles, sorted."""
-    import xxhash
+    return np.unique(hashes(text, shingle))
 
-    w = text.encode("utf-8", "replace").lower().split() if text else []
-    if not w:
-        return np.empty(0, dtype=np.uint64)
-    parts = map(b" ".join, zip(*[w[k:] for k in range(shingle)])) if len(w) > shingle else iter([b" ".join(w)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), dtype=np.uint64, count=max(1, len(w) - shingle + 1)))
+
+def binned(distinct: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of BINS; counts end at 255."""
+    return np.minimum(np.bincount((distinct % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows of bin counts allow a similarity: two sets share no more than the smaller count of each bin."""
+    common, both = np.minimum(a, b).sum(axis=1, dtype=np.int64), a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
+    return (common >= similarity * (both - common) - 1e-9) | (a == 255).any(axis=1) | (b == 255).any(axis=1)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -113,7 +120,15 @@ def _buckets(docs: DataFrame, named: DataFrame, n: int, shingle: int, similarity
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs (a, b, ...) of texts that are as similar as asked; nodes: th, node."""
+    """Pairs (a, b, ...) of texts that are as similar as asked; nodes: th, node, bins. Texts are fetched only for pairs that bins do not tell apart."""
+
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, y: pd.Series) -> pd.Series:
+        rows = [np.frombuffer(b"".join(map(bytes, c)), dtype=np.uint8).reshape(-1, BINS) for c in (x, y)]
+        return pd.Series(may_be_alike(*rows, similarity))
+
+    by = lambda c: nodes.select(F.col("node").alias(c), F.col("bins").alias(f"bins_{c}"))
+    pairs = cut(pairs.join(by("a"), "a").join(by("b"), "b").where(possible("bins_a", "bins_b")).select(*pairs.columns))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     named = nodes.select("th", "node").join(wanted, "node", "left_semi")
     texts = cut(_texts(docs).join(named, "th").groupBy("node").agg(F.first("t").alias("t")))
@@ -163,15 +178,22 @@ def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: i
             roots = cut(roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         if last:
             return roots
-        span, before = 16 * span, span
+        span, before = FARTHER * span, span
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Per document: doc_id, th, component (some name of it)."""
     bound_batches(docs)
-    own = cut(docs.select("doc_id", text_hash(F.col("text")).alias("th"), fingerprints(F.col("text").cast("string"), shingle).alias("fp")))
+
+    @F.pandas_udf("fp long, bins binary")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            own = [hashes(t, shingle) for t in texts]
+            yield pd.DataFrame({"fp": np.array([majority(h) for h in own], dtype=np.int64), "bins": [binned(np.unique(h)) for h in own]})
+
+    own = cut(docs.select("doc_id", text_hash(F.col("text")).alias("th"), sketched(F.col("text").cast("string")).alias("s")).select("doc_id", "th", "s.*"))
     # Numbers of the distinct texts, short in pairs and buckets; they hold as the table is written before it is read.
-    nodes = cut(own.groupBy("th").agg(F.first("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(own.groupBy("th").agg(F.first(F.struct("fp", "bins")).alias("s")).select("th", "s.*", F.monotonically_increasing_id().alias("node")))
     roots = connect(_verified(docs, nodes, cut(edges(nodes)), shingle, similarity)).withColumnRenamed("root", "to")
     first = cut(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")))
     named = nodes.select("th", "node").join(completed(docs, nodes, first, shingle=shingle, similarity=similarity), "node")
