@@ -27,11 +27,12 @@ from parallax.llm.common import bound_batches, cut, text_hash
 from parallax.llm.simhash import RADIUS, connect, hashes, links, majority, only, survivors
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Texts of which shingles are counted to put common ones last, and shingles so counted; they change the work, never the result.
-COUNTED, COMMON = 8000, 100_000
+#: Texts of which shingles are counted to put common ones last (one in so many, but so many at least), and shingles so counted; they
+#: change the work, never the result.
+ONE_IN, COUNTED, COMMON = 8, 8000, 100_000
 #: Neighbours in a bucket that the first round of the second part compares, how many times farther each next one looks, and pairs
 #: across components, for each text, up to which all are compared at once.
-SPAN, FARTHER, AT_ONCE = 1, 8, 1
+SPAN, FARTHER, AT_ONCE = 4, 64, 1
 #: Bins of the counts that tell pairs apart before their texts are fetched.
 BINS = 256
 
@@ -94,11 +95,12 @@ def _common(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, shingle).view(np.int64) for t in texts])
 
-    some = _texts(docs).where(F.pmod(F.xxhash64("th"), F.lit(max(1, n // COUNTED))) == 0).groupBy("th").agg(F.first("t").alias("t"))
+    some = _texts(docs).where(F.pmod(F.xxhash64("th"), F.lit(max(1, min(ONE_IN, n // COUNTED)))) == 0).groupBy("th").agg(F.first("t").alias("t"))
     counted = some.select(F.explode(hashed("t")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    rows = counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    rows.sort(key=lambda r: r["h"] % (1 << 64))
-    return np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    most = counted.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
+    h, seen = most["h"].to_numpy(dtype=np.int64).view(np.uint64), most["n"].to_numpy(dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], seen[order]
 
 
 def _buckets(docs: DataFrame, named: DataFrame, n: int, shingle: int, similarity: float) -> DataFrame:
