@@ -14,6 +14,22 @@ def tokens(df: DataFrame, key: str, body: Column, pattern: str) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)))).alias("token"))
 
 
+def token_sets(df: DataFrame, key: str, body: Column, pattern: str) -> DataFrame:
+    """(id, words, set): distinct matches of a pattern, sorted, and their digest; rows without a match are left out."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(0))))
+    return df.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0).withColumn("set", F.md5(F.concat_ws("\n", "words").cast("binary")))
+
+
+def representatives(sets: DataFrame) -> DataFrame:
+    """(id, token): each set of tokens once, under the smallest of its ids; sets: id, words, set."""
+    return sets.groupBy("set").agg(F.min("id").alias("id"), F.min_by("words", "id").alias("words")).select("id", F.explode("words").alias("token"))
+
+
+def members(sets: DataFrame) -> DataFrame:
+    """(id, class_id): the representative of each id's set."""
+    return sets.select("id", "set").join(sets.groupBy("set").agg(F.min("id").alias("class_id")), "set").select("id", "class_id")
+
+
 def shared_tokens(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a, b, common, n_a, n_b) of pairs that share a token; a, b: id, token, distinct."""
     sized = lambda d, s: d.join(d.groupBy("id").agg(F.count("*").alias(f"n_{s}")), "id").select(F.col("id").alias(s), "token", f"n_{s}")

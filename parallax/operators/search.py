@@ -75,9 +75,13 @@ def argument_drift(pairs: DataFrame, least: float = 0.5) -> DataFrame:
     return both.where(F.abs(F.col("n_source") - F.col("n_target")) > least)
 
 
+#: Characters of words, the same in all engines, whatever they take for a word's border.
+WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
 def control_flow(code: Column) -> Column:
     """Numbers of conditions, loops, switches and returns, and the deepest nesting of braces."""
-    count = lambda w: F.size(F.regexp_extract_all(code, F.lit(rf"\b{w}\b"), F.lit(0)))
+    count = lambda w: F.size(F.regexp_extract_all(code, F.lit(f"(?<!{WORD}){w}(?!{WORD})"), F.lit(0)))
     braces = F.split(F.regexp_replace(code, r"[^{}]", ""), "")
     walk = F.aggregate(braces, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda s, x: F.struct((s["now"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("now"), F.greatest(s["most"], s["now"] + F.when(x == "{", 1).otherwise(0)).alias("most")), lambda s: s["most"])
     return F.struct(count("if").alias("n_if"), (count("for") + count("while")).alias("n_loop"), count("switch").alias("n_switch"), count("return").alias("n_return"), walk.alias("max_nesting"))

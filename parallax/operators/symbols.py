@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parallax.operators.graph import ancestors
-from parallax.operators.matching import best
 
 NEAR_LINES = 10
 
@@ -14,20 +13,19 @@ NEAR_LINES = 10
 def migrations(a: DataFrame, b: DataFrame, near: int = NEAR_LINES) -> DataFrame:
     """(name, kind, from_file, to_file, by): symbols no longer in their file.
 
-    By equal name and kind in another file (the first by path); of what is left, another name of the kind at most ``near`` lines away. The band join is on
-    buckets of lines, each row entering its own and its two neighbours. a, b: name, kind, file_path, line.
+    By equal name and kind in another file (the first by path); of what is left, another name of the kind at most ``near`` lines away,
+    the nearest, then the first by path and name. Of the names on one line of a kind only the first can be chosen, so that each symbol
+    meets at most 2 * near + 1 rows, however many share its kind. a, b: name, kind, file_path, line.
     """
     gone = a.join(b.select("name", "kind", "file_path"), ["name", "kind", "file_path"], "left_anti")
     new = b.join(a.select("name", "kind", "file_path"), ["name", "kind", "file_path"], "left_anti")
     exact = gone.join(new.groupBy("name", "kind").agg(F.min("file_path").alias("to_file")), ["name", "kind"]).select("name", "kind", F.col("file_path").alias("from_file"), "to_file", F.lit("name").alias("by"))
     rest = gone.join(exact.select("name", "kind", F.col("from_file").alias("file_path")), ["name", "kind", "file_path"], "left_anti")
     free = new.join(exact.select("name", "kind", F.col("to_file").alias("file_path")), ["name", "kind", "file_path"], "left_anti")
-    bucket = F.floor(F.col("line") / (near + 1))
-    x = rest.select("kind", F.struct("name", "file_path", "line").alias("s"), bucket.alias("k"))
-    y = free.select("kind", F.struct("name", "file_path", "line").alias("t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
-    pairs = x.join(y, ["kind", "k"]).where(F.abs(F.col("s.line") - F.col("t.line")) <= near)
-    scored = pairs.select(F.concat_ws("\0", "kind", "s.name", "s.file_path").alias("a"), F.concat_ws("\0", "t.file_path", "t.name").alias("b"), "kind", "s", "t", (-F.abs(F.col("s.line") - F.col("t.line"))).alias("score"))
-    close = best(scored).select(F.col("s.name").alias("name"), "kind", F.col("s.file_path").alias("from_file"), F.col("t.file_path").alias("to_file"), F.lit("line").alias("by"))
+    offers = free.groupBy("kind", "line").agg(F.min(F.struct("file_path", "name")).alias("t"))
+    reach = rest.select("kind", "name", "file_path", F.col("line").alias("own"), F.explode(F.sequence(F.col("line") - near, F.col("line") + near)).alias("line"))
+    nearest = F.min_by("t.file_path", F.struct(F.abs(F.col("own") - F.col("line")), "t"))
+    close = reach.join(offers, ["kind", "line"]).groupBy("name", "kind", F.col("file_path").alias("from_file")).agg(nearest.alias("to_file")).withColumn("by", F.lit("line"))
     return exact.unionByName(close)
 
 

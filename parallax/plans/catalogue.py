@@ -209,22 +209,28 @@ def search_names(spark, sf_dir):
 
 # Candidates by shared tokens -----------------------------------------------------------------------------------
 
-_WORD = "[A-Za-z]{8,}"
+_WORD = r"[\p{L}\p{N}_]+"
 
 
-def _doc_tokens(spark, sf_dir, rest: int | None = None):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    d = d if rest is None else d.where(F.pmod("id", F.lit(2)) == rest)
-    return candidates.tokens(d, "id", F.col("text"), _WORD)
+def _doc_sets(spark, sf_dir):
+    return candidates.token_sets(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _WORD)
 
 
-_TOKENS_SQL = f"with t as (select distinct doc_id as id, unnest(regexp_extract_all(text, '{_WORD}')) as token from documents), s as (select id, count(*) as n from t group by 1), p as (select x.id as a, y.id as b, count(*) as common from t x join t y using (token) where x.id % 2 = 0 and y.id % 2 = 1 group by 1, 2), j as (select a, b, common / (sa.n + sb.n - common) as score from p join s sa on sa.id = a join s sb on sb.id = b) "
+_SETS_SQL = f"with w as (select distinct doc_id as id, unnest(regexp_extract_all(text, '{_WORD}')) as token from documents), sets as (select id, count(*) as n, md5(string_agg(token, chr(10) order by token)) as h from w group by 1), m as (select id, n, min(id) over (partition by n, h) as class_id from sets)"
+_TOKENS_SQL = _SETS_SQL + ", s as (select id, n from m where id = class_id), t as (select id, token from w join s using (id)), p as (select x.id as a, y.id as b, count(*) as common from t x join t y using (token) where x.id < y.id group by 1, 2), j as (select a, b, common / (sa.n + sb.n - common) as score from p join s sa on sa.id = a join s sb on sb.id = b) "
+
+
+@query(_SETS_SQL + "select id, class_id from m")
+def token_classes(spark, sf_dir):
+    """Documents with the same words, under the first of them."""
+    return candidates.members(_doc_sets(spark, sf_dir))
 
 
 @query(_TOKENS_SQL + "select a, b, score from j where score >= 0.5")
 def token_jaccard_pairs(spark, sf_dir):
-    """Even against odd documents whose long words share at least half; prefix-filtered."""
-    return candidates.jaccard_pairs(_doc_tokens(spark, sf_dir, 0), _doc_tokens(spark, sf_dir, 1), 0.5)
+    """Documents whose words share at least half, one of each class of ``token_classes``; prefix-filtered."""
+    own = candidates.representatives(_doc_sets(spark, sf_dir))
+    return candidates.jaccard_pairs(own, own, 0.5).where("a < b")
 
 
 @query(_TOKENS_SQL + "select a, b, score from (select *, row_number() over (partition by a order by score desc, b) as r from j where score >= 0.5) where r = 1")
@@ -269,9 +275,9 @@ def duplicate_rate(spark, sf_dir):
     return candidates.duplicate_rate(table(spark, sf_dir, "documents"), F.md5(F.col("text").cast("binary")))
 
 
-@query("select source || '/' || doc_id as path, md5(text) as content_hash, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ')) as norm_hash, len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) as line_count from documents where text <> ''")
+@query("select source || '/' || doc_id as path, md5(text) as content_hash, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ')) as norm_hash, case when text = '' then 0 else len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) end as line_count from documents")
 def file_fingerprint(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text <> ''").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("text").alias("content"))
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("text").alias("content"))
     return candidates.fingerprints(d).select("path", "content_hash", "norm_hash", F.col("line_count").cast("long").alias("line_count"))
 
 
@@ -340,9 +346,12 @@ def constant_diff(spark, sf_dir):
     return search.set_differences(p, search.constants)
 
 
-@query("select doc_id, len(regexp_extract_all(text, '\\bif\\b')) as n_if, len(regexp_extract_all(text, '\\bfor\\b')) + len(regexp_extract_all(text, '\\bwhile\\b')) as n_loop from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
+_WORDS_SQL = "len(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: w in ({})))"
+
+
+@query(f"""select doc_id, {_WORDS_SQL.format("'if'")} as n_if, {_WORDS_SQL.format("'for', 'while'")} as n_loop from documents""")
 def control_flow_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    d = table(spark, sf_dir, "documents")
     c = search.control_flow(F.col("text"))
     return d.select("doc_id", c["n_if"].cast("long").alias("n_if"), c["n_loop"].cast("long").alias("n_loop"))
 
@@ -492,10 +501,20 @@ def _symbol_versions(spark, sf_dir):
     return first(l.where("y % 2 = 0")), first(l.where("y % 2 = 1"))
 
 
-@query("with l as (select distinct l_partkey::varchar as name, l_returnflag as kind, 'f' || (l_suppkey % 50) as file_path, year(l_shipdate) % 2 as v from lineitem), a as (select * from l where v = 0), b as (select * from l where v = 1), gone as (select name, kind, file_path from a except select name, kind, file_path from b), new as (select name, kind, file_path from b except select name, kind, file_path from a) select name, kind, gone.file_path as from_file, to_file from gone join (select name, kind, min(file_path) as to_file from new group by 1, 2) using (name, kind)")
+_MOVED_SQL = (
+    "with l as (select l_partkey::varchar as name, l_returnflag as kind, 'f' || (l_suppkey % 50) as file_path, year(l_shipdate) % 2 as v, min(l_linenumber) as line from lineitem group by 1, 2, 3, 4), a as (select * from l where v = 0), b as (select * from l where v = 1), "
+    "gone as (select * from a anti join b using (name, kind, file_path)), new as (select * from b anti join a using (name, kind, file_path)), "
+    "exact as (select name, kind, gone.file_path as from_file, to_file from gone join (select name, kind, min(file_path) as to_file from new group by 1, 2) using (name, kind)), "
+    "rest as (select * from gone anti join (select name, kind, from_file as file_path from exact) using (name, kind, file_path)), free as (select * from new anti join (select name, kind, to_file as file_path from exact) using (name, kind, file_path)), "
+    "lines as (select kind, line, min({'p': file_path, 'n': name}) as t from free group by 1, 2), "
+    "m as (select name, kind, from_file, to_file, 'name' as \"by\" from exact union all select rest.name, rest.kind, rest.file_path, arg_min(t.p, {'d': abs(rest.line - lines.line), 't': t}), 'line' from rest join lines on rest.kind = lines.kind and abs(rest.line - lines.line) <= 10 group by 1, 2, 3) "
+)
+
+
+@query(_MOVED_SQL + "select * from m")
 def symbol_migration(spark, sf_dir):
-    """Parts (symbols) of suppliers (files) that moved between odd and even years, by name."""
-    return symbols.migrations(*_symbol_versions(spark, sf_dir)).where("by = 'name'").drop("by")
+    """Parts (symbols) of suppliers (files) that moved between odd and even years, by name, then by line."""
+    return symbols.migrations(*_symbol_versions(spark, sf_dir))
 
 
 @query("with d as (select l_suppkey as id, year(l_shipdate) % 2 as v, list_distinct(list(l_partkey)) as deps from lineitem group by 1, 2), m as (select a.id, a.deps as old, b.deps as new from d a join d b on a.id = b.id and a.v = 0 and b.v = 1) select id as a, id as b, unnest(list_filter(new, lambda x: not list_contains(old, x))) as dependency, 1 as change from m union all select id, id, unnest(list_filter(old, lambda x: not list_contains(new, x))), -1 from m")
@@ -582,7 +601,7 @@ def score_distribution(spark, sf_dir):
     return reports.score_distribution(token_jaccard_pairs(spark, sf_dir))
 
 
-@query("with l as (select distinct l_partkey::varchar as name, l_returnflag as kind, 'f' || (l_suppkey % 50) as file_path, year(l_shipdate) % 2 as v from lineitem), a as (select * from l where v = 0), b as (select * from l where v = 1), gone as (select name, kind, file_path from a except select name, kind, file_path from b), new as (select name, kind, file_path from b except select name, kind, file_path from a), m as (select name, kind, gone.file_path as from_file, to_file from gone join (select name, kind, min(file_path) as to_file from new group by 1, 2) using (name, kind)), s as (select file_path as from_file, count(*) as n_symbols from (select distinct name, kind, file_path from a) group by 1) select from_file, to_file, count(*) as n, list_sort(list(name)) as names, n_symbols, count(*) / n_symbols as share from m join s using (from_file) group by from_file, to_file, n_symbols")
+@query(_MOVED_SQL + ", s as (select file_path as from_file, count(*) as n_symbols from a group by 1) select from_file, to_file, count(*) as n, list_sort(list(name)) as names, n_symbols, count(*) / n_symbols as share from m join s using (from_file) group by from_file, to_file, n_symbols")
 def migrations_by_file(spark, sf_dir):
     a, _ = _symbol_versions(spark, sf_dir)
     return symbols.by_file_pair(symbol_migration(spark, sf_dir), a)

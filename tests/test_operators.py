@@ -297,3 +297,36 @@ def test_tree_edit_distance_of_whole_pages(spark, tmp_path):
 def test_tree_comparison_of_deep_trees():
     labels, left = ["x"] * 3000, [0] * 3000
     assert trees.positional_similarity(labels, left, labels, left) == 1 and trees.positional_similarity(labels, left, labels, left, partial=True) == 0.5
+
+
+def test_migrations_by_line(spark):
+    """The nearest other name of the kind, then the first by path and name, as comparing all with all gives; one kind holds nearly all."""
+    import random
+
+    r = random.Random(5)
+    table = lambda p: [(f"{p}{i}", "k" if i % 9 else "m", f"f{r.randrange(4)}", r.randrange(60)) for i in range(120)]
+    a, b = table("a") + [("both", "k", "f1", 3)], table("b") + [("both", "k", "f2", 3)]
+    want = {("both", "k", "f1", "f2", "name")}
+    for name, kind, path, line in a[:-1]:
+        near = [(abs(line - y[3]), y[2], y[0]) for y in b[:-1] if y[1] == kind and abs(line - y[3]) <= symbols.NEAR_LINES]
+        if near:
+            want.add((name, kind, path, min(near)[1], "line"))
+    schema = "name string, kind string, file_path string, line int"
+    got = symbols.migrations(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).select("name", "kind", "from_file", "to_file", "by")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_words_of_any_script_bound_control_flow(spark):
+    from parallax.operators import search
+
+    df = spark.createDataFrame([("if if(x) \u00e9if if\u00e9 _if while for_ for",), ("",), (None,)], "t string")
+    c = search.control_flow(F.col("t"))
+    assert [tuple(x) for x in df.select(c["n_if"], c["n_loop"]).collect()] == [(2, 2), (0, 0), (None, None)]
+
+
+def test_token_classes(spark):
+    rows = [(i, "w1 w2 w3" if i % 2 else "w3 w2 w1 w1") for i in range(40)] + [(40, "w1 w2 w4 w3"), (41, ""), (42, None)]
+    sets = candidates.token_sets(spark.createDataFrame(rows, "k int, t string"), "k", F.col("t"), r"\w+")
+    assert {r.id: r.class_id for r in candidates.members(sets).collect()} == {**{i: 0 for i in range(40)}, 40: 40}
+    own = candidates.representatives(sets)
+    assert [tuple(r) for r in candidates.jaccard_pairs(own, own, 0.5).where("a < b").collect()] == [(0, 40, 0.75)]
