@@ -51,10 +51,13 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
 
     def prefixes(d: DataFrame, s: str) -> DataFrame:
         n = F.size(f"t_{s}")
-        return d.select(s, F.explode(F.slice(f"t_{s}", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("token"))
+        return d.select(s, n.alias(f"n_{s}"), F.posexplode(F.slice(f"t_{s}", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias(f"i_{s}", "token"))
 
     x, y = ordered(a, "a"), ordered(b, "b")
-    pairs = prefixes(x, "a").join(prefixes(y, "b"), "token").select("a", "b").distinct()
+    # Sizes must be near enough, and what follows the first token of both must hold as many as the threshold asks to be shared.
+    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
+    enough = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    pairs = prefixes(x, "a").join(prefixes(y, "b"), "token").where(near & enough).select("a", "b").distinct()
     scored = pairs.join(x, "a").join(y, "b").select("a", "b", similarity.set_jaccard(F.col("t_a"), F.col("t_b"), 0.0).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
