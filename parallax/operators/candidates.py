@@ -58,7 +58,8 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
     enough = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6
     pairs = prefixes(x, "a").join(prefixes(y, "b"), "token").where(near & enough).select("a", "b").distinct()
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", similarity.set_jaccard(F.col("t_a"), F.col("t_b"), 0.0).alias("score"))
+    counted = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("t_a", "t_b")).alias("common"), (F.size("t_a") + F.size("t_b")).alias("n"))
+    scored = counted.select("a", "b", (F.col("common") / (F.col("n") - F.col("common"))).alias("score"))
     return scored.where(F.col("score") >= threshold)
 
 
