@@ -104,7 +104,11 @@ def _common(docs: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _buckets(docs: DataFrame, named: DataFrame, n: int, shingle: int, similarity: float) -> DataFrame:
-    """key, node, size, pos: texts by the shingles of their prefixes, in order of size, where a bucket holds several components; named: th, node, root."""
+    """key, node, size, at, pos: texts by the shingles of their prefixes, with the shingle's place there, in order of size; named: th, node, root.
+
+    Only buckets that hold several components, and of buckets with the same texts only the first: what two texts share first lies
+    in a bucket before which none has the same texts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, n, shingle))
 
     @F.pandas_udf("size int, keys array<long>")
@@ -114,11 +118,13 @@ def _buckets(docs: DataFrame, named: DataFrame, n: int, shingle: int, similarity
             yield pd.DataFrame({"size": np.array([len(h) for h in hashes], dtype=np.int32), "keys": [prefix(h, similarity, *shared.value).view(np.int64) for h in hashes]})
 
     once = _texts(docs).select("th", prefixed("t").alias("p")).groupBy("th").agg(F.first("p").alias("p"))
-    dealt = once.join(named, "th").select(F.explode("p.keys").alias("key"), "node", F.col("p.size").alias("size"), "root")
-    # One dealing by key serves both windows.
+    dealt = once.join(named, "th").select(F.posexplode("p.keys").alias("at", "key"), "node", F.col("p.size").alias("size"), "root")
     bucket = W.partitionBy("key")
-    mixed = dealt.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high")
-    return mixed.select("key", "node", "size", F.row_number().over(bucket.orderBy("size", "node")).alias("pos"))
+    mixed = cut(dealt.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).where("low <> high").select("key", "node", "size", "at"))
+    # Two hashes of 64 bits stand for a set of texts; places grow from each bucket of a set to the next, for all of its texts alike.
+    held = mixed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum("at").alias("places"))
+    first = held.groupBy("n", "x", "y").agg(F.min_by("key", F.struct("places", "key")).alias("key")).select("key")
+    return mixed.join(first, "key", "left_semi").withColumn("pos", F.row_number().over(bucket.orderBy("size", "node")))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -161,7 +167,7 @@ def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: i
         if not left:
             return roots
         live = live.join(held.select("key", "main"), "key")
-        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "pos", "root")], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "pos", "root")])
+        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "pos", "root")], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "pos", "root")])
         apart = F.abs(F.col("pos_a") - F.col("pos_b"))
         last = left <= AT_ONCE * n or span >= most
         if last:  # each pair across components has a side outside its bucket's largest one
@@ -171,6 +177,8 @@ def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: i
             met = x.withColumn("k", F.explode(F.array(block, block + 1))).join(y.withColumn("k", F.floor(F.col("pos_b") / span)), ["key", "k"]).where((F.col("pos_b") > F.col("pos_a")) & (apart > before) & (apart <= span))
         # Sets of which one is smaller than the share asked of the other cannot be alike.
         close = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+        # The first shingle that alike texts share has enough shingles behind it in both; they may fail at what they share later.
+        close &= F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
         order = F.col("node_a") < F.col("node_b")
         pick = lambda c, d: F.when(order, F.col(c)).otherwise(F.col(d))
         pairs = cut(met.where("root_a <> root_b").where(close).select(pick("node_a", "node_b").alias("a"), pick("node_b", "node_a").alias("b"), pick("root_a", "root_b").alias("p"), pick("root_b", "root_a").alias("q")).distinct())
