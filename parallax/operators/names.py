@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallax.functions.similarity import edit_similarity
 from parallax.operators.matching import greedy_in_order
 
 MAX_EDITS = 3
@@ -37,6 +38,30 @@ def near_pairs(a: DataFrame, b: DataFrame, k: int = MAX_EDITS) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein("x", "y", k)).where("distance >= 0")
 
 
+def alike_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(x, y) of distinct names, x of a and y of b, with edit similarity over ``least``, without comparing all. a, b: name.
+
+    Such names differ by fewer than (1 - least) x the longer length edits, k at most: one of k + 1 pieces of the longer name is whole
+    in the shorter, shifted by at most k.
+    """
+    def names(d: DataFrame) -> DataFrame:
+        return d.select("name").where("name is not null").distinct().withColumn("n", F.length("name"))
+
+    def met(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+        k = F.greatest(F.lit(0), F.ceil((1 - least) * F.col("n")).cast("int") - 1)
+        begin = lambda i: F.floor(F.col("n") * i / (F.col("k") + 1)).cast("int")
+        x = names(longer).withColumn("k", k).select("name", "n", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+        x = x.select(F.col("name").alias("x"), "n", "k", begin(F.col("i")).alias("at"), F.substring("name", begin(F.col("i")) + 1, begin(F.col("i") + 1) - begin(F.col("i"))).alias("piece"))
+        x = x.withColumn("m", F.explode(F.sequence(F.col("n") - F.col("k"), F.col("n"))))
+        size = F.explode(F.sequence(F.lit(1), F.ceil(1 / (1 - F.lit(least))).cast("int")))
+        y = names(shorter).select(F.col("name").alias("y"), F.col("n").alias("m"), size.alias("size")).where("size <= m")
+        y = y.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("size")))).select("y", "m", "to", F.substring("y", F.col("to") + 1, F.col("size")).alias("piece"))
+        return x.join(y, ["m", "piece"]).where(F.abs(F.col("at") - F.col("to")) <= F.col("k")).select("x", "y")
+
+    both = met(a, b).unionByName(met(b, a).select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    return both.where(edit_similarity(F.col("x"), F.col("y")) > least)
+
+
 def fuzzy_candidates(a: DataFrame, b: DataFrame, threshold: float = 0.7, k: int = MAX_EDITS) -> DataFrame:
     """(a, b, score): different rows of names within k edits whose edit similarity reaches the threshold."""
     near = near_pairs(a, b, k).withColumn("score", 1 - F.col("distance") / F.greatest(F.lit(1), F.length("x"), F.length("y"))).where(F.col("score") >= threshold)

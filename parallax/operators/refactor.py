@@ -9,46 +9,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parallax.functions.similarity import edit_similarity
+from parallax.operators.names import alike_names
 
-NEAR_LINES, NEAR_NAMES = 50, 0.7
+NEAR_LINES, NEAR_NAMES, SOME_NAMES = 50, 0.7, 0.5
 LEAST_CONFIDENCE = 0.7
 
 
-def related(changes: DataFrame) -> DataFrame:
-    """(seed, member) of changes in one file within some lines, or with alike names in one file; the seed has the smaller id.
-
-    Blocked by file, and within it by buckets of lines and by the first letters of names.
-    """
+def near_lines(changes: DataFrame) -> DataFrame:
+    """(seed, member) of changes in one file within some lines; the seed has the smaller id. Blocked by file and buckets of lines."""
     own = changes.select("change_id", F.coalesce("source", "target").alias("e"))
     bucket = F.floor(F.col("e.start_line") / (NEAR_LINES + 1))
-    x = own.select(F.col("change_id").alias("seed"), F.col("e").alias("p"), bucket.alias("k"), F.col("e.file_path").alias("f"))
-    y = own.select(F.col("change_id").alias("member"), F.col("e").alias("q"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"), F.col("e.file_path").alias("f"))
-    near = x.join(y, ["f", "k"]).where("seed < member").where(F.abs(F.col("p.start_line") - F.col("q.start_line")) <= NEAR_LINES).select("seed", "member")
-    stem = lambda c: F.lower(F.substring(c, 1, 3))
-    named = x.select("seed", "p", "f", stem(F.col("p.name")).alias("n")).join(own.select(F.col("change_id").alias("member"), F.col("e").alias("q"), F.col("e.file_path").alias("f"), stem(F.col("e.name")).alias("n")), ["f", "n"]).where("seed < member")
-    alike = named.where(edit_similarity(F.col("p.name"), F.col("q.name")) > NEAR_NAMES).select("seed", "member")
-    return near.unionByName(alike).distinct()
+    x = own.select(F.col("change_id").alias("seed"), F.col("e.start_line").alias("p"), bucket.alias("k"), F.col("e.file_path").alias("f"))
+    y = own.select(F.col("change_id").alias("member"), F.col("e.start_line").alias("q"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"), F.col("e.file_path").alias("f"))
+    return x.join(y, ["f", "k"]).where("seed < member").where(F.abs(F.col("p") - F.col("q")) <= NEAR_LINES).select("seed", "member")
 
 
 def clusters(changes: DataFrame) -> DataFrame:
     """(change_id, cluster): in order of ids, a free change becomes a seed and takes all free later changes related to it; not transitive.
 
-    Run in rounds: a change without an undecided smaller relative is a seed; what a seed is related to joins the smallest such seed.
+    Related are changes near by in one file, with alike names in any files (edit similarity over .7), and additions and deletions
+    with somewhat alike names (over .5). Run in rounds over what is live, free changes and seeds: a free change without a smaller live relative is a seed, one whose
+    smallest is a seed joins it. Relatives by name are found through the smallest live id of each name, never as pairs of changes.
     """
     from parallax.operators.checkpoints import cut
 
-    pairs = cut(related(changes))
-    left = cut(changes.select("change_id"))
-    done = None
+    own = cut(changes.select("change_id", F.coalesce("source.name", "target.name").alias("name"), F.when(F.col("change_type").isin("add", "delete"), F.col("change_type")).alias("kind")))
+    pairs = cut(near_lines(changes).distinct())
+    of = lambda kind: own.where(F.col("kind") == kind)
+    some = alike_names(of("add"), of("delete"), SOME_NAMES)
+    to_delete = some.select("x", F.lit("add").alias("kind_x"), "y", F.lit("delete").alias("kind_y"))
+    to_add = some.select(F.col("y").alias("x"), F.lit("delete").alias("kind_x"), F.col("x").alias("y"), F.lit("add").alias("kind_y"))
+    every = alike_names(own, own, NEAR_NAMES).unionByName(own.where("name is not null").select(F.col("name").alias("x"), F.col("name").alias("y"))).distinct()
+    any_kind = every.select("x", F.lit(None).cast("string").alias("kind_x"), "y", F.lit(None).cast("string").alias("kind_y"))
+    alike = cut(any_kind.unionByName(to_delete).unionByName(to_add))
+    with_kinds = lambda d: d.where("name is not null").select("name", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), "kind"))).alias("kind"), "change_id")
+    left, live, done = own, own, None  # live: free changes, and seeds, which later rounds may still join
     while not left.isEmpty():
-        open_pairs = pairs.join(left.withColumnRenamed("change_id", "member"), "member", "left_semi").join(left.withColumnRenamed("change_id", "seed"), "seed", "left_semi")
-        seeds = left.join(open_pairs.select(F.col("member").alias("change_id")), "change_id", "left_anti")
-        taken = open_pairs.join(seeds.withColumnRenamed("change_id", "seed"), "seed", "left_semi").groupBy(F.col("member").alias("change_id")).agg(F.min("seed").alias("cluster"))
-        now = cut(seeds.select("change_id", F.col("change_id").alias("cluster")).unionByName(taken))
-        done = now if done is None else done.unionByName(now)
+        # The smallest live id of each name, of all kinds (null) and of each.
+        low = with_kinds(live).groupBy("name", "kind").agg(F.min("change_id").alias("low"))
+        named = alike.join(low, (F.col("y") == F.col("name")) & F.col("kind_y").eqNullSafe(F.col("kind"))).groupBy("x", "kind_x").agg(F.min("low").alias("low"))
+        by_name = with_kinds(left).join(named, (F.col("name") == F.col("x")) & F.col("kind").eqNullSafe(F.col("kind_x"))).select("change_id", "low")
+        by_line = pairs.join(left.select(F.col("change_id").alias("member")), "member", "left_semi").join(live.select(F.col("change_id").alias("seed")), "seed", "left_semi").select(F.col("member").alias("change_id"), F.col("seed").alias("low"))
+        first = cut(left.select("change_id", F.col("change_id").alias("low")).unionByName(by_name).unionByName(by_line).groupBy("change_id").agg(F.min("low").alias("low")))
+        new = first.where("low = change_id").select(F.col("change_id").alias("low"))
+        seeds = new if done is None else new.unionByName(done.where("change_id = cluster").select(F.col("cluster").alias("low")))
+        now = cut(first.join(seeds, "low", "left_semi").select("change_id", F.col("low").alias("cluster")))
+        done = cut(now if done is None else done.unionByName(now))
         left = cut(left.join(now, "change_id", "left_anti"))
-    return done if done is not None else left.withColumn("cluster", F.col("change_id"))
+        live = cut(live.join(now.where("change_id <> cluster"), "change_id", "left_anti"))
+    return done if done is not None else left.select("change_id", F.col("change_id").alias("cluster"))
 
 
 def _pairs(own: DataFrame, first: Column, second: Column) -> DataFrame:

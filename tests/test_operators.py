@@ -330,3 +330,40 @@ def test_token_classes(spark):
     assert {r.id: r.class_id for r in candidates.members(sets).collect()} == {**{i: 0 for i in range(40)}, 40: 40}
     own = candidates.representatives(sets)
     assert [tuple(r) for r in candidates.jaccard_pairs(own, own, 0.5).where("a < b").collect()] == [(0, 40, 0.75)]
+
+
+def edit_share(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+def test_change_clusters(spark):
+    """Against taking changes one after another, over all pairs: alike names of any files, and of additions and deletions."""
+    r = random.Random(5)
+    stems = ["getUserName", "setUserName", "loadAll", "loadOne", "x", "xy", "parseHeader", "parserHeaders", "close", ""]
+    rows = []
+    for i in range(90):
+        name = list(r.choice(stems))
+        for _ in range(r.randint(0, 4)):
+            name.insert(r.randint(0, len(name)), r.choice("abcXYZ"))
+        rows.append((i, r.choice(["add", "delete", "modify"]), "".join(name), f"f{r.randint(0, 12)}", r.randint(1, 2000)))
+
+    def related(p, q):
+        if p[3] == q[3] and abs(p[4] - q[4]) <= 50:
+            return True
+        return edit_share(p[2], q[2]) > (0.5 if {p[1], q[1]} == {"add", "delete"} else 0.7)
+
+    want = {}
+    for p in rows:
+        if p[0] not in want:
+            want |= {q[0]: p[0] for q in rows if q[0] >= p[0] and q[0] not in want and (q is p or related(p, q))}
+    df = spark.createDataFrame(rows, "change_id int, change_type string, name string, file_path string, start_line int")
+    side = F.struct("name", "file_path", "start_line")
+    none = F.lit(None).cast("struct<name string, file_path string, start_line int>")
+    df = df.select("change_id", "change_type", F.when(F.col("change_type") == "add", none).otherwise(side).alias("source"), F.when(F.col("change_type") == "add", side).alias("target"))
+    assert dict(refactor.clusters(df).collect()) == want
+    assert refactor.clusters(df.limit(0)).count() == 0
