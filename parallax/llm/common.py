@@ -67,6 +67,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that holds this application's checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder in Spark's file system; its absence is no error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, *, clean: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder; without ``clean`` old shuffle files go when the driver collects garbage."""
     spark = df.sparkSession

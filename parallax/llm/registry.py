@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import decontaminate, language, licences, media, packing, pii, repeats, simhash, toolcalls, toxicity
+from parallax.llm import decontaminate, language, licences, media, packing, pii, repeats, shards, simhash, toolcalls, toxicity
 from parallax.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The byte-level tokenizer of 50,257 ids."""
     import public_tokenizers
@@ -58,7 +62,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash)
+    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash, op12_shards)
     return {f.__name__: f for f in own}
 
 
