@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import decontaminate, language, licences, media, packing, pii, repeats, shards, simhash, toolcalls, toxicity
+from parallax.llm import decontaminate, language, licences, media, packing, pii, ranked, repeats, shards, simhash, toolcalls, toxicity
 from parallax.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.report(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path() -> str:
     """The byte-level tokenizer of 50,257 ids."""
     import public_tokenizers
@@ -62,9 +66,9 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash, op12_shards)
+    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash, op12_shards, op13_ranked)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_toolcalls": toolcalls.ORACLE_SQL, "op6_licences": licences.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_toolcalls": toolcalls.ORACLE_SQL, "op6_licences": licences.ORACLE_SQL, "op13_ranked": ranked.ORACLE_SQL}
