@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parallax.llm import decontaminate, language, licences, media, packing, pii, ranked, repeats, shards, simhash, toolcalls, toxicity
+from parallax.llm import decontaminate, language, licences, media, packing, pii, prefixes, ranked, repeats, shards, simhash, toolcalls, toxicity
 from parallax.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.report(table(spark, sf_dir, "documents"))
 
@@ -66,9 +70,9 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash, op12_shards, op13_ranked)
+    own = (op1_decontaminate, op2_toxicity, op3_packing, op4_toolcalls, op5_media, op6_licences, op7_language, op8_pii, op9_repeats, op10_simhash, op11_prefixes, op12_shards, op13_ranked)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_toolcalls": toolcalls.ORACLE_SQL, "op6_licences": licences.ORACLE_SQL, "op13_ranked": ranked.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_toolcalls": toolcalls.ORACLE_SQL, "op6_licences": licences.ORACLE_SQL, "op11_prefixes": prefixes.ORACLE_SQL, "op13_ranked": ranked.ORACLE_SQL}
