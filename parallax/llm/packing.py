@@ -39,6 +39,8 @@ BLOCK_TOKENS = 2_000_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Signs that engines of regular expressions do not all count as white space.
 _UNSURE = re.compile("[\x1c-\x1f\x85\u180e]")
+#: The rank encoder gives up on runs of white space near a million; texts with runs of this length go through the tokenizer itself.
+_LONG_RUN = re.compile(r"\s{50000}")
 END = b"\0\0\0\0"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 PIECES_WITH_IDS = PIECES + ", ids array<int>"
@@ -95,7 +97,7 @@ class Tokens:
         known: dict[str, bytes] = {}
         for t in texts:
             if t not in known:
-                ids = self.whole([t])[0] if self.ranks is None or _UNSURE.search(t) else array("I", self.ranks.encode(t, allowed_special="all")).tobytes()
+                ids = self.whole([t])[0] if self.ranks is None or _UNSURE.search(t) or (len(t) >= 50_000 and _LONG_RUN.search(t)) else array("I", self.ranks.encode(t, allowed_special="all")).tobytes()
                 known[t] = ids + END
         return [known[t] for t in texts]
 

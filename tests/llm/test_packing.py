@@ -69,3 +69,9 @@ def test_ranks_change_nothing():
     t, odd = packing.tokens(tokenizer_path()), ["a", "B", "'s", "'", " ", "  ", "\n", "\t", "9", "é", "ß", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "!", "日", "<|endoftext|>", "\u200d", "😀", "\u180e", "\u2028", "\ufeff", "\u0301", "Ⅷ", "²", "ª", "\x00", "\u1680", "I'll"]
     texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     assert t.ranks and t.encode(texts) == [i + packing.END for i in t.whole(texts)]
+
+
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\r", "\u2003"])
+def test_long_runs_of_blanks(blank):
+    t, text = packing.tokens(tokenizer_path()), blank * 2_000_000 + "x"
+    assert t.encode([text]) == [x + packing.END for x in t.whole([text])]
