@@ -10,7 +10,8 @@ in their sorted lists. What repeats goes back to the documents, which lose every
 
 Defined cases: a null text is empty; texts shorter than a passage keep all; overlapping repeats within a document
 count; all copies of a repeated row lose their bytes, if long enough; an empty table gives no rows; columns other than
-doc_id and text are ignored. Rows with equal doc_id and different text are told apart by a hash of the text.
+doc_id and text are ignored. Rows with equal doc_id and different text are told
+apart by a hash of the text (64 bits, 128 without an id).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ REACH = LENGTH - GRAM + 1
 BLOCK_BYTES, PLACE_BITS = 1 << 19, 20
 #: Spans of one anchor that a shard takes, and bytes of all documents for each shard.
 SPANS, BYTES_PER_SHARD = 16_000, 4 << 20
-SEGMENTS = "doc_id long, th int, anchor long, span long, pos long"
+SEGMENTS = "key long, th long, anchor long, span long, pos long"
 FOUND = "anchor long, span long, first int, last int, salt long, k1 long, k2 long"
 _MASK = np.uint64((1 << PLACE_BITS) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -105,28 +106,28 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "th", "anchor", "span", "pos"]
+    names = ["key", "th", "anchor", "span", "pos"]
 
-    def emitted(group: list[tuple[int | None, int, bytes, int]]) -> pa.RecordBatch:
-        # group: doc_id, hash, bytes, and where these bytes begin in their text
+    def emitted(group: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
+        # group: key, hash, bytes, and where these bytes begin in their text
         sizes = np.array([len(g[2]) for g in group], dtype=np.int64)
         begin = np.cumsum(sizes) - sizes
         owner, anchor, span, first, last = segments(np.frombuffer(b"".join(g[2] for g in group), dtype=np.uint8), begin, begin + np.maximum(0, sizes - LENGTH + 1))
         j0 = first - begin[owner] + np.array([g[3] for g in group], dtype=np.int64)[owner]
         pos = j0 << 9 | (last - first + 1)
-        ids, th = pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.int32())
+        ids, th = pa.array([g[0] for g in group], pa.int64()), pa.array([g[1] for g in group], pa.int64())
         at = pa.array(owner)
         return pa.record_batch([ids.take(at), th.take(at), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(pos)], names=names)
 
     group, held = [], 0
     for batch in batches:
-        for doc_id, th, raw in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("raw").to_pylist()):
+        for key, th, raw in zip(batch.column("key").to_pylist(), batch.column("th").to_pylist(), batch.column("raw").to_pylist()):
             for at in range(0, max(0, len(raw) - LENGTH + 1), BLOCK_BYTES):
                 piece = raw[at : at + BLOCK_BYTES + LENGTH - 1]
                 if held + len(piece) > BLOCK_BYTES and group:
                     yield emitted(group)
                     group, held = [], 0
-                group.append((doc_id, th, piece, at))
+                group.append((key, th, piece, at))
                 held += len(piece)
     if group:
         yield emitted(group)
@@ -253,7 +254,7 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         z = [press.compress(t) for t in batch.column("raw").to_pylist()]
-        yield pa.record_batch([batch.column("doc_id"), batch.column("th"), pa.array(z, pa.binary())], names=["doc_id", "th", "z"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), batch.column("th"), pa.array(z, pa.binary())], names=["doc_id", "key", "th", "z"])
 
 
 def _opened(z: bytes) -> bytes:
@@ -309,8 +310,9 @@ def _again(raw: DataFrame) -> DataFrame:
 
 
 def _with_lists(squeezed: DataFrame, rows: DataFrame, value, name: str, how: str) -> DataFrame:
-    lists = rows.groupBy("doc_id", "th").agg(F.collect_list(value).alias(name)).withColumnsRenamed({"doc_id": "doc2", "th": "th2"})
-    return squeezed.join(lists, F.expr("doc_id <=> doc2 and th = th2"), how).select("doc_id", "z", name)
+    """One list of distinct values for each key and text; all rows of that key and text get it."""
+    lists = rows.groupBy("key", "th").agg(F.collect_set(value).alias(name))
+    return squeezed.join(lists, ["key", "th"], how).select("doc_id", "z", name)
 
 
 def _runs(squeezed: DataFrame, judge: DataFrame, shards: int, spans_per_shard: int) -> DataFrame:
@@ -329,16 +331,18 @@ def remove_repeats(docs: DataFrame, *, spans_per_shard: int = SPANS, bytes_per_s
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (its remaining bytes)."""
     bound_batches(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.cast("binary").alias("raw"))
+    doc_id = F.col("doc_id").cast("long")
+    # Rows of one id are told apart by 64 bits of their text, those without an id by 128.
+    raw = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text)).alias("key"), F.xxhash64(text).alias("th"), text.cast("binary").alias("raw"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     shards = max(8, -(-size // bytes_per_shard))
     seen = cut(_again(raw))
-    squeezed = raw.mapInArrow(_squeezed, "doc_id long, th int, z binary")
+    squeezed = raw.mapInArrow(_squeezed, "doc_id long, key long, th long, z binary")
     judge = seen.where("not equal")
     runs = _runs(squeezed, judge, shards, spans_per_shard)
     at = F.shiftright("pos", 9)
-    whole = seen.where("equal").select("doc_id", "th", F.shiftleft(at, 9).bitwiseOR(F.col("pos").bitwiseAND(F.lit(511)) - 1).alias("p"))
-    part = judge.join(runs, ["anchor", "span"]).select("doc_id", "th", F.shiftleft(at + F.col("first"), 9).bitwiseOR((F.col("last") - F.col("first")).cast("long")).alias("p"))
+    whole = seen.where("equal").select("key", "th", F.shiftleft(at, 9).bitwiseOR(F.col("pos").bitwiseAND(F.lit(511)) - 1).alias("p"))
+    part = judge.join(runs, ["anchor", "span"]).select("key", "th", F.shiftleft(at + F.col("first"), 9).bitwiseOR((F.col("last") - F.col("first")).cast("long")).alias("p"))
     full = _with_lists(squeezed, whole.unionByName(part), F.col("p"), "runs", "left")
     return full.mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

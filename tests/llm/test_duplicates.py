@@ -12,6 +12,8 @@ from helpers import ODD, frame
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from parallax.llm import repeats, similar, simhash
 
 
@@ -59,6 +61,21 @@ def test_repeated_rows_and_empty(spark):
     assert repeats.report(docs).first().n_removed == 0 and repeats.report(docs.limit(0)).count() == 0
 
 
+def test_texts_without_an_id_are_told_apart(spark):
+    """Two texts without an id, alike in 32 bits of their hash, of which one shares a passage with another document."""
+    passage, other = "".join(random.Random(8).choices("abcdefgh ", k=400)), "".join(random.Random(9).choices("ijklmnop ", k=600))
+    made = lambda text, name: spark.range(400_000).select(F.concat(F.lit(text), F.format_string("%07d", "id")).alias(name), F.hash(F.concat(F.lit(text), F.format_string("%07d", "id"))).alias("h"))
+    pair = made(passage, "x").join(made(other, "y"), "h").first()
+    rows = spark.createDataFrame([(1, passage), (None, pair.x), (None, pair.y)], "doc_id long, text string")
+    assert {(x.n_bytes, x.n_removed) for x in repeats.report(rows).collect()} == {(400, 400), (407, 400), (607, 0)}
+
+
+def test_many_equal_rows(spark):
+    text = "".join(random.Random(10).choices("abcdefgh ", k=1000))
+    rows = spark.range(10_000).select(F.when(F.col("id") % 3 == 0, 5).alias("doc_id"), F.lit(text).alias("text"))
+    assert [tuple(x) for x in repeats.report(rows).select("n_bytes", "n_removed").distinct().collect()] == [(1000, 1000)]
+
+
 @given(st.binary(max_size=80) | st.text("ab\0", max_size=120).map(str.encode))
 @settings(max_examples=200, deadline=None)
 def test_suffix_array(data):
@@ -82,10 +99,10 @@ def test_long_texts_in_blocks(spark, monkeypatch):
     raw = [long.encode(), long[1234:2500].encode()]
     import pyarrow as pa
 
-    batch = pa.record_batch([pa.array([0, 1]), pa.array([0, 0], pa.int32()), pa.array(raw)], names=["doc_id", "th", "raw"])
+    batch = pa.record_batch([pa.array([0, 1]), pa.array([0, 0]), pa.array(raw)], names=["key", "th", "raw"])
     covered = {0: set(), 1: set()}
     for out in repeats._scan(iter([batch])):
-        for d, pos in zip(out["doc_id"].to_pylist(), out["pos"].to_pylist()):
+        for d, pos in zip(out["key"].to_pylist(), out["pos"].to_pylist()):
             own = set(range(pos >> 9, (pos >> 9) + (pos & 511)))
             assert not covered[d] & own
             covered[d] |= own
