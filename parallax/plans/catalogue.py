@@ -261,8 +261,10 @@ def greedy_best_first(spark, sf_dir):
 
 @query()
 def optimal_assignment(spark, sf_dir):
-    """One-to-one pairs of documents at least total cost."""
-    return matching.optimal(token_jaccard_pairs(spark, sf_dir), 0.5)
+    """One-to-one pairs of a document of even and one of odd id (one of each class of equal words on either side): as many as possible, at least total cost."""
+    own = _doc_sets(spark, sf_dir)
+    even, odd = (candidates.representatives(own.where(F.col("id") % 2 == side)) for side in (0, 1))
+    return matching.optimal(candidates.jaccard_pairs(even, odd, 0.5), 0.5)
 
 
 @query("select md5(text) as signature, count(*) as n, min(doc_id) as first_key from documents group by 1 having count(*) > 1")
