@@ -1,11 +1,13 @@
 """Line alignment of pairs of texts, hunks and unified output.
 
-The alignment itself works on one pair at a time (its table has a cell for each pair of lines between the equal ends), inside a
-pandas function; everything after it is relational.
+The alignment itself works on one pair at a time, inside a pandas function: of its table (a cell for each pair of lines
+between the equal ends) only some rows are kept, and those between them are computed again on the way back, so that n lines against m take
+memory for about 2 m sqrt(n) cells. Everything after it is relational.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 from parallax.functions.classify import line_tags
 
+#: Lines that a task gives out at once.
+ROWS_AT_ONCE = 20_000
 LINE_MAP = "pair_id string, idx long, change_type string, source_line int, target_line int, source_content string, target_content string, similarity double"
 
 
@@ -34,6 +38,35 @@ def line_score(a: str, b: str) -> float:
     return sum(x == y for x, y in zip(a, b)) / most * (least / most) if least else 0.0
 
 
+class Table:
+    """Lengths of longest common subsequences of the first i of p and the first j of q, of which every so many rows are kept."""
+
+    def __init__(self, p: np.ndarray, q: np.ndarray):
+        self.p, self.q, self.every = p, q, max(1, math.isqrt(len(p)))
+        self.kept, self.block, self.first = [np.zeros(len(q) + 1, dtype=np.int32)], [], 0
+        row = self.kept[0]
+        for i in range(1, len(p) + 1):
+            row = self._next(row, i)
+            if i % self.every == 0:
+                self.kept.append(row)
+
+    def _next(self, above: np.ndarray, i: int) -> np.ndarray:
+        # The best of going on from a match and of the row above, carried along the row.
+        row = np.zeros_like(above)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + (self.q == self.p[i - 1])), out=row[1:])
+        return row
+
+    def row(self, i: int) -> np.ndarray:
+        """Row i. Rows asked for from the last to the first are computed once more each."""
+        if not self.block or not self.first <= i < self.first + len(self.block):
+            # The row after the block is wanted together with the block's last one.
+            self.first = max(0, (i - 1) // self.every * self.every)
+            self.block = [self.kept[self.first // self.every]]
+            while self.first + len(self.block) <= min(len(self.p), self.first + self.every):
+                self.block.append(self._next(self.block[-1], self.first + len(self.block)))
+        return self.block[i - self.first]
+
+
 def align(a: list[str], b: list[str], *, replace: bool = True) -> list[tuple[str, int | None, int | None]]:
     """(kind, place in a, place in b) along a longest common subsequence, from the start.
 
@@ -49,20 +82,17 @@ def align(a: list[str], b: list[str], *, replace: bool = True) -> list[tuple[str
     number: dict[str, int] = {}
     p = np.array([number.setdefault(s, len(number)) for s in x], dtype=np.int64)
     q = np.array([number.setdefault(s, len(number)) for s in y], dtype=np.int64)
-    table = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(1, len(x) + 1):
-        # The best of going on from a match and of the row above, carried along the row.
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], table[i - 1, :-1] + (q == p[i - 1]))) if len(y) else 0
+    table = Table(p, q)
     out: list[tuple[str, int | None, int | None]] = []
     i, j = len(x), len(y)
     while i or j:
         if i and j and p[i - 1] == q[j - 1]:
             out.append(("unchanged", head + i - 1, head + j - 1))
             i, j = i - 1, j - 1
-        elif i and j and replace and table[i - 1, j] == table[i, j - 1] and line_score(x[i - 1], y[j - 1]) > 0.3:
+        elif i and j and replace and table.row(i - 1)[j] == table.row(i)[j - 1] and line_score(x[i - 1], y[j - 1]) > 0.3:
             out.append(("modified", head + i - 1, head + j - 1))
             i, j = i - 1, j - 1
-        elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
+        elif j and (not i or table.row(i)[j - 1] >= table.row(i - 1)[j]):
             out.append(("added", None, head + j - 1))
             j -= 1
         else:
@@ -104,13 +134,19 @@ def line_map(pairs: DataFrame, *, mode: str = "lcs") -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["pair_id", "idx", "change_type", "source_line", "target_line", "source_content", "target_content", "similarity"]
+        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"source_line": "Int32", "target_line": "Int32", "idx": "int64"})
+        rows: list[tuple] = []
         for pdf in batches:
             for pair, s, t in zip(pdf["pair_id"], pdf["source"], pdf["target"]):
                 a, b = split_lines(s), split_lines(t)
                 steps = align_ahead(a, b) if mode == "ahead" else align(a, b, replace=mode == "lcs")
-                rows = [(pair, k, kind, None if i is None else i + 1, None if j is None else j + 1, None if i is None else a[i], None if j is None else b[j], line_score(a[i], b[j]) if i is not None and j is not None else None) for k, (kind, i, j) in enumerate(steps)]
-                out = pd.DataFrame(rows, columns=["pair_id", "idx", "change_type", "source_line", "target_line", "source_content", "target_content", "similarity"])
-                yield out.astype({"source_line": "Int32", "target_line": "Int32", "idx": "int64"})
+                rows += [(pair, k, kind, None if i is None else i + 1, None if j is None else j + 1, None if i is None else a[i], None if j is None else b[j], line_score(a[i], b[j]) if i is not None and j is not None else None) for k, (kind, i, j) in enumerate(steps)]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
     return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), "source", "target").mapInPandas(run, LINE_MAP)
 

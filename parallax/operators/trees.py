@@ -174,35 +174,76 @@ def arrays(nodes: DataFrame) -> DataFrame:
 CHEAP = {("IfStatement", "WhileLoop"): 0.5, ("WhileLoop", "ForLoop"): 0.5, ("ForLoop", "IfStatement"): 0.5, ("UnaryExpression", "BinaryExpression"): 0.7, ("BinaryExpression", "UnaryExpression"): 0.7, ("If", "While"): 0.5, ("While", "For"): 0.5, ("For", "If"): 0.5}
 
 
+class EditTables:
+    """Tree edit distances of all pairs of subtrees of two post-ordered trees (Zhang and Shasha): insertion and deletion cost 1."""
+
+    def __init__(self, a: list[str], left_a: list[int], b: list[str], left_b: list[int]):
+        self.a, self.b, self.left_a, self.left_b = a, b, np.array(left_a), np.array(left_b)
+        kinds = {k: i for i, k in enumerate(dict.fromkeys([*a, *b]))}
+        cost = np.array([[0.0 if x == y else CHEAP.get((x, y), 1.0) for y in kinds] for x in kinds])
+        self.change = cost[np.ix_([kinds[x] for x in a], [kinds[y] for y in b])]
+        self.tree = np.zeros((len(a), len(b)))
+        roots = lambda left: sorted({first: i for i, first in enumerate(left)}.values())
+        for i in roots(left_a):
+            for j in roots(left_b):
+                self.forest(i, j)
+
+    def forest(self, i: int, j: int) -> np.ndarray:
+        """Distances of the forests that end at each node of the subtrees of i and j; fills in the tree distances on the leftmost paths."""
+        s, t = self.left_a[i], self.left_b[j]
+        f = np.zeros((i - s + 2, j - t + 2))
+        f[:, 0], f[0, :] = np.arange(i - s + 2), np.arange(j - t + 2)
+        place = f[0]
+        own = self.left_b[t : j + 1] == t
+        before = self.left_b[t : j + 1] - t
+        for x in range(s, i + 1):
+            p = x - s + 1
+            # A row at once: all but insertions come from rows before; those are a running minimum, as each costs 1.
+            least = f[p - 1, 1:] + 1
+            other = f[self.left_a[x] - s, before] + self.tree[x, t : j + 1]
+            if self.left_a[x] == s:
+                other[own] = f[p - 1, :-1][own] + self.change[x, t : j + 1][own]
+            np.minimum(least, other, out=least)
+            f[p, 1:] = np.minimum(np.minimum.accumulate(least - place[1:]), p) + place[1:]
+            if self.left_a[x] == s:
+                self.tree[x, t : j + 1][own] = f[p, 1:][own]
+        return f
+
+    def operations(self) -> list[tuple[int | None, int | None]]:
+        """A cheapest way from a to b by post-order: (x, None) deletes, (None, y) inserts, (x, y) keeps or renames.
+
+        The forests' tables are made again along the way, that of each pair of subtrees that keeps its roots.
+        """
+        n, m = len(self.a), len(self.b)
+        if not n or not m:
+            return [(x, None) for x in range(n)] + [(None, y) for y in range(m)]
+        out, todo = [], [(n - 1, m - 1)]
+        same = lambda u, v: abs(u - v) < 1e-6
+        while todo:
+            i, j = todo.pop()
+            s, t = self.left_a[i], self.left_b[j]
+            f = self.forest(i, j)
+            p, q = i - s + 1, j - t + 1
+            while p or q:
+                x, y = s + p - 1, t + q - 1
+                if p and q and self.left_a[x] == s and self.left_b[y] == t and same(f[p, q], f[p - 1, q - 1] + self.change[x, y]):
+                    out.append((int(x), int(y)))
+                    p, q = p - 1, q - 1
+                elif p and q and not (self.left_a[x] == s and self.left_b[y] == t) and same(f[p, q], f[self.left_a[x] - s, self.left_b[y] - t] + self.tree[x, y]):
+                    todo.append((int(x), int(y)))
+                    p, q = self.left_a[x] - s, self.left_b[y] - t
+                elif p and same(f[p, q], f[p - 1, q] + 1):
+                    out.append((int(x), None))
+                    p -= 1
+                else:
+                    out.append((None, int(y)))
+                    q -= 1
+        return out
+
+
 def edit_distance(a: list[str], left_a: list[int], b: list[str], left_b: list[int]) -> float:
-    """Tree edit distance of two post-ordered trees (Zhang and Shasha): insertion and deletion cost 1."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return float(n + m)
-    change = np.array([[0.0 if x == y else CHEAP.get((x, y), 1.0) for y in b] for x in a])
-    roots = lambda left: sorted({first: i for i, first in enumerate(left)}.values())
-    tree = np.zeros((n, m))
-    from_a, from_b = np.array(left_a), np.array(left_b)
-    for i in roots(left_a):
-        for j in roots(left_b):
-            s, t = left_a[i], left_b[j]
-            f = np.zeros((i - s + 2, j - t + 2))
-            f[:, 0], f[0, :] = np.arange(i - s + 2), np.arange(j - t + 2)
-            place = f[0]
-            own = from_b[t : j + 1] == t
-            before = from_b[t : j + 1] - t
-            for x in range(s, i + 1):
-                p = x - s + 1
-                # A row at once: all but insertions come from rows before; those are a running minimum, as each costs 1.
-                least = f[p - 1, 1:] + 1
-                other = f[from_a[x] - s, before] + tree[x, t : j + 1]
-                if from_a[x] == s:
-                    other[own] = f[p - 1, :-1][own] + change[x, t : j + 1][own]
-                np.minimum(least, other, out=least)
-                f[p, 1:] = np.minimum(np.minimum.accumulate(least - place[1:]), p) + place[1:]
-                if from_a[x] == s:
-                    tree[x, t : j + 1][own] = f[p, 1:][own]
-    return float(tree[n - 1, m - 1])
+    """Tree edit distance of two post-ordered trees."""
+    return float(EditTables(a, left_a, b, left_b).tree[-1, -1]) if a and b else float(len(a) + len(b))
 
 
 def positional_similarity(a: list[str], left_a: list[int], b: list[str], left_b: list[int], *, cap: int = 10, partial: bool = False) -> float:
@@ -242,14 +283,43 @@ def positional_similarity(a: list[str], left_a: list[int], b: list[str], left_b:
     return scores[0]
 
 
+def _both(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of files with the arrays of both."""
+    own = arrays(nodes)
+    side = lambda s: own.select(F.col("file_id").alias(s), F.col("labels").alias(f"l_{s}"), F.col("left").alias(f"f_{s}"))
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+
+def operations(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, operation, post_a, post_b, old, new, cost) of a cheapest edit of a's tree into b's: insert, delete and rename rows, whose costs add up to the distance.
+
+    Places are post-orders. Nodes in no row are kept; all of a file's operations together turn one tree into the other.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["a", "b", "operation", "post_a", "post_b", "old", "new", "cost"]
+        for pdf in batches:
+            rows = []
+            for a, b, la, fa, lb, fb in zip(pdf["a"], pdf["b"], pdf["l_a"], pdf["f_a"], pdf["l_b"], pdf["f_b"]):
+                tables = EditTables(list(la), [int(v) for v in fa], list(lb), [int(v) for v in fb])
+                for x, y in tables.operations():
+                    if x is None:
+                        rows.append((a, b, "insert", None, y, None, lb[y], 1.0))
+                    elif y is None:
+                        rows.append((a, b, "delete", x, None, la[x], None, 1.0))
+                    elif la[x] != lb[y]:
+                        rows.append((a, b, "rename", x, y, la[x], lb[y], float(tables.change[x, y])))
+            yield pd.DataFrame(rows, columns=columns).astype({"post_a": "Int32", "post_b": "Int32", "cost": "float64"})
+
+    return _both(pairs, nodes).mapInPandas(run, "a string, b string, operation string, post_a int, post_b int, old string, new string, cost double")
+
+
 def compare(pairs: DataFrame, nodes: DataFrame, *, min_ratio: float = 0.1) -> DataFrame:
-    """(a, b, distance, edit_similarity, positional, partial) of pairs of files.
+    """(a, b, aligned, distance, edit_similarity, positional, partial) of pairs of files.
 
-    Pairs whose sizes differ too much are not aligned: their distance is the difference of their sizes, as a lower bound.
+    Pairs whose sizes differ too much are not aligned, and marked so: their distance is the difference of their sizes, as a lower bound.
     """
-    own = arrays(nodes)
-    side = lambda s: own.select(F.col("file_id").alias(s), F.col("labels").alias(f"l_{s}"), F.col("left").alias(f"f_{s}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = _both(pairs, nodes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -257,11 +327,12 @@ def compare(pairs: DataFrame, nodes: DataFrame, *, min_ratio: float = 0.1) -> Da
             for a, b, la, fa, lb, fb in zip(pdf["a"], pdf["b"], pdf["l_a"], pdf["f_a"], pdf["l_b"], pdf["f_b"]):
                 x, y, fx, fy = list(la), list(lb), [int(v) for v in fa], [int(v) for v in fb]
                 most = max(len(x), len(y), 1)
-                d = float(abs(len(x) - len(y))) if min(len(x), len(y)) / most < min_ratio else edit_distance(x, fx, y, fy)
-                rows.append((a, b, d, max(0.0, 1 - d / most), positional_similarity(x, fx, y, fy), positional_similarity(x, fx, y, fy, partial=True)))
-            yield pd.DataFrame(rows, columns=["a", "b", "distance", "edit_similarity", "positional", "partial"])
+                aligned = min(len(x), len(y)) / most >= min_ratio
+                d = edit_distance(x, fx, y, fy) if aligned else float(abs(len(x) - len(y)))
+                rows.append((a, b, aligned, d, max(0.0, 1 - d / most), positional_similarity(x, fx, y, fy), positional_similarity(x, fx, y, fy, partial=True)))
+            yield pd.DataFrame(rows, columns=["a", "b", "aligned", "distance", "edit_similarity", "positional", "partial"])
 
-    return both.mapInPandas(run, "a string, b string, distance double, edit_similarity double, positional double, partial double")
+    return both.mapInPandas(run, "a string, b string, aligned boolean, distance double, edit_similarity double, positional double, partial double")
 
 
 def positional_operations(a: DataFrame, b: DataFrame) -> DataFrame:

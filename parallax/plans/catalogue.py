@@ -398,12 +398,21 @@ def structural_duplicates(spark, sf_dir):
     return s.groupBy("shape").agg(F.count("*").alias("n"), F.min("file_id").alias("first_page")).where("n > 1")
 
 
+def _next_pages(spark, sf_dir):
+    ids = table(spark, sf_dir, "pages").select("page_id")
+    return ids.select(F.col("page_id").cast("string").alias("a"), (F.col("page_id") + 1).cast("string").alias("b")).join(ids.select(F.col("page_id").cast("string").alias("b")), "b", "left_semi").select("a", "b")
+
+
 @query()
 def tree_edit_distance(spark, sf_dir):
     """Each page with the next: tree edit distance and positional similarity of their whole trees."""
-    ids = table(spark, sf_dir, "pages").select("page_id")
-    pairs = ids.select(F.col("page_id").cast("string").alias("a"), (F.col("page_id") + 1).cast("string").alias("b")).join(ids.select(F.col("page_id").cast("string").alias("b")), "b", "left_semi").select("a", "b")
-    return trees.compare(pairs, _page_nodes(spark, sf_dir))
+    return trees.compare(_next_pages(spark, sf_dir), _page_nodes(spark, sf_dir))
+
+
+@query()
+def tree_edit_operations(spark, sf_dir):
+    """Each page with the next: nodes to insert, delete and rename, of whole trees."""
+    return trees.operations(_next_pages(spark, sf_dir), _page_nodes(spark, sf_dir))
 
 
 # Graphs --------------------------------------------------------------------------------------------------------
