@@ -1,6 +1,6 @@
 """Functions, symbols and languages of source files.
 
-A regular-expression front end covers brace and indentation languages; a syntax tree stands in where the standard library has a parser.
+Functions and types of languages with braces come from their trees; those of Python and Ruby by lines and indentation.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax.functions import text
+from parallax.operators import braces, trees
 
 #: Languages by file extension (fixed values).
 EXTENSIONS = {"java": "Java", "py": "Python", "pyw": "Python", "js": "JavaScript", "mjs": "JavaScript", "jsx": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript", "cpp": "Cpp", "cc": "Cpp", "cxx": "Cpp", "hpp": "Cpp", "c": "C", "h": "C", "go": "Go", "rs": "Rust", "rb": "Ruby", "php": "PHP", "swift": "Swift"}
@@ -64,64 +65,56 @@ _KEYWORDS = frozenset(("if", "for", "while", "switch", "catch", "return", "else"
 _HEADS = {
     "Python": re.compile(r"^(?P<indent>\s*)(?:async\s+)?def\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:->\s*(?P<ret>[^:]+))?:"),
     "Ruby": re.compile(r"^(?P<indent>\s*)def\s+(?:self\.)?(?P<name>\w+[?!]?)\s*(?:\((?P<params>[^)]*)\))?(?P<ret>)"),
-    "Go": re.compile(r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?P<ret>[^{]*)\{"),
-    "JavaScript": re.compile(r"^\s*(?:export\s+)?(?:async\s+)?(?:function\s+(?P<name>\w+)|(?:const|let|var)\s+(?P<name2>\w+)\s*=\s*(?:async\s*)?(?:function)?)\s*\((?P<params>[^)]*)\)\s*(?P<ret>)(?:=>\s*)?\{"),
-    "PHP": re.compile(r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?::\s*(?P<ret>\w+))?"),
-    "Swift": re.compile(r"^\s*(?:\w+\s+)*func\s+(?P<name>\w+)\s*\((?P<params>[^)]*)\)\s*(?:->\s*(?P<ret>[^{]+))?"),
-    "*": re.compile(r"^\s*(?P<mods>(?:(?:public|private|protected|static|final|abstract|virtual|inline|const|unsigned)\s+)*)(?P<ret>[A-Za-z_][\w:<>,\s*&\[\]]*?)[\s*&]+(?P<name>~?[A-Za-z_]\w*)\s*\((?P<params>[^;{)]*)\)\s*(?:const|override|noexcept|throws\s+[\w,\s]+)?\s*\{?"),
 }
-LOOK_AHEAD, LONGEST = 10, 100
-FUNCTIONS = "file_path string, name string, params array<string>, return_type string, modifiers array<string>, start_line int, end_line int, body string, calls array<string>"
+#: Lines that a signature may take.
+LOOK_AHEAD = 10
+FUNCTIONS = "file_path string, name string, params array<string>, return_type string, modifiers array<string>, start_line int, end_line int, body string, calls array<string>, generics string, visibility string, annotations array<string>"
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
 
 
 def _end(lines: list[str], start: int, lang: str, indent: int) -> int:
-    """The last line of a body: by braces, by indentation, or by the closing word."""
-    stop = min(len(lines), start + LONGEST)
-    if lang == "Python":
-        last = start
-        for k in range(start + 1, stop):
-            if lines[k].strip():
-                if len(lines[k]) - len(lines[k].lstrip()) <= indent:
-                    break
-                last = k
-        return last
+    """The last line of a body: by indentation, or by the closing word."""
     if lang == "Ruby":
-        return next((k for k in range(start + 1, stop) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) <= indent), stop - 1)
-    depth, opened = 0, False
-    for k in range(start, stop):
-        for ch in lines[k]:
-            if ch == "{":
-                depth, opened = depth + 1, True
-            elif ch == "}":
-                depth -= 1
-                if opened and not depth:
-                    return k
-    return stop - 1 if opened else start
+        return next((k for k in range(start + 1, len(lines)) if lines[k].strip() == "end" and len(lines[k]) - len(lines[k].lstrip()) <= indent), len(lines) - 1)
+    last = start
+    for k in range(start + 1, len(lines)):
+        if lines[k].strip():
+            if len(lines[k]) - len(lines[k].lstrip()) <= indent:
+                break
+            last = k
+    return last
+
+
+def _from_tree(content: str, lang: str) -> list[tuple]:
+    """Named functions of a language with braces, inner ones too."""
+    lines, out = content.split("\n"), []
+    for node, _ in braces.walk(braces.tree(content, lang)):
+        if node[0] in ("Function", "Method") and node[2]:
+            own = node[6]
+            calls = [re.split(r"\.|::|->", n[2])[-1] for n, _ in braces.walk(node) if n[0] == "CallExpression"]
+            out.append((node[2], [p for p in own.get("params", "").split("\n") if p], own.get("return_type"), own.get("modifiers", "").split(), node[3], node[5], "\n".join(lines[node[3] - 1 : node[5]]), [c for c in calls if c not in _KEYWORDS], own.get("generics"), own.get("visibility"), own.get("annotations", "").split()))
+    return out
 
 
 def functions_of(content: str, lang: str) -> list[tuple]:
-    lines = (content or "").split("\n")
-    head = _HEADS.get("JavaScript" if lang == "TypeScript" else lang, _HEADS["*"])
-    out, k = [], 0
-    while k < len(lines):
+    """Rows of a file's functions but for its path: from the tree of a language with braces, else by lines."""
+    if lang in braces.LANGUAGES:
+        return _from_tree(content or "", lang)
+    if lang not in _HEADS:
+        return []
+    lines, head, out = (content or "").split("\n"), _HEADS[lang], []
+    for k in range(len(lines)):
         joined = lines[k]
         if "(" in joined and ")" not in joined:  # a signature over several lines
             joined = " ".join([joined, *[x.strip() for x in lines[k + 1 : k + LOOK_AHEAD]]])
-            joined = joined[: joined.find("{") + 1] if "{" in joined else joined
         m = head.match(joined)
-        groups = m.groupdict() if m else {}
-        name = groups.get("name") or groups.get("name2")
-        if not m or not name or name in _KEYWORDS or (groups.get("ret") or "").split(" ")[0] in _KEYWORDS or (head is _HEADS["*"] and "{" not in "".join(lines[k : k + LOOK_AHEAD]).split(";")[0]):
-            k += 1
-            continue
-        indent = len(lines[k]) - len(lines[k].lstrip())
-        end = _end(lines, k, lang, indent)
-        body = "\n".join(lines[k : end + 1])
-        params = [p.strip() for p in (groups.get("params") or "").split(",") if p.strip()]
-        calls = [c for c in _CALL.findall(body.split("\n", 1)[1] if "\n" in body else body[m.end() :]) if c not in _KEYWORDS]
-        out.append((name, params, (groups.get("ret") or "").strip() or None, (groups.get("mods") or "").split(), k + 1, end + 1, body, calls))
-        k = k + 1 if lang == "Python" or re.match(r"\s*(class|struct|namespace|interface)\b", lines[k]) else max(end, k) + 1
+        if m:
+            end = _end(lines, k, lang, len(lines[k]) - len(lines[k].lstrip()))
+            body = "\n".join(lines[k : end + 1])
+            params = [p.strip() for p in (m["params"] or "").split(",") if p.strip()]
+            calls = [c for c in _CALL.findall(body.split("\n", 1)[1] if "\n" in body else body[m.end() :]) if c not in _KEYWORDS]
+            marks = [x.strip() for x in lines[k - 1 : k] if x.strip().startswith("@")] if lang == "Python" and k else []
+            out.append((m["name"], params, (m["ret"] or "").strip() or None, [], k + 1, end + 1, body, calls, None, "private" if m["name"].startswith("_") else "public", marks))
     return out
 
 
@@ -131,7 +124,7 @@ def functions(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(p, *f) for p, c, lang in zip(pdf["path"], pdf["content"], pdf["lang"]) for f in functions_of(c, lang)]
-            yield pd.DataFrame(rows, columns=["file_path", "name", "params", "return_type", "modifiers", "start_line", "end_line", "body", "calls"])
+            yield pd.DataFrame(rows, columns=["file_path", "name", "params", "return_type", "modifiers", "start_line", "end_line", "body", "calls", "generics", "visibility", "annotations"])
 
     return files.select("path", "content", language(F.col("path"), F.col("content")).alias("lang")).mapInPandas(run, FUNCTIONS)
 
@@ -178,6 +171,27 @@ def classes(files: DataFrame) -> DataFrame:
     return lines.select("file_path", get(1).alias("name"), get(2).alias("parent"), F.coalesce(F.transform(F.split(get(3), ","), F.trim), F.expr("cast(array() as array<string>)")).alias("interfaces"))
 
 
+def source_nodes(files: DataFrame, *, optimise: bool = False) -> DataFrame:
+    """Node rows of files (path, content), each by its own language."""
+    markup = text.extension(F.col("path")).isin("html", "htm", "xhtml")
+    return trees.parse(files.select(F.col("path").alias("file_id"), "content", F.when(markup, "HTML").otherwise(language(F.col("path"), F.col("content"))).alias("lang")), F.col("lang"), optimise=optimise)
+
+
+def types(nodes: DataFrame) -> DataFrame:
+    """Types of languages with braces, from node rows: their parents, parameters of type, methods and fields.
+
+    (file_id, pre, name, kind, parent, interfaces, modifiers, visibility, generics, annotations, methods, fields, line, end_line)
+    """
+    get = lambda k: F.col("attributes")[k]
+    words = lambda k, by: F.coalesce(F.split(get(k), by), F.expr("cast(array() as array<string>)"))
+    own = nodes.where(F.col("node_type").isin("Class", "Interface") & (F.col("text") != "")).select("file_id", "pre", F.col("text").alias("name"), "kind", get("superclass").alias("parent"), words("interfaces", ",").alias("interfaces"), words("modifiers", " ").alias("modifiers"), get("visibility").alias("visibility"), get("generics").alias("generics"), words("annotations", " ").alias("annotations"), "line", "end_line")
+    member = nodes.where(F.col("node_type").isin("Method", "FieldDeclaration") & (F.col("text") != ""))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("node_type") == kind, F.struct("pre", "text")))), lambda x: x["text"])
+    held = member.groupBy("file_id", F.col("parent_pre").alias("p")).agg(of("Method").alias("methods"), of("FieldDeclaration").alias("fields")).withColumnRenamed("p", "pre")
+    none = F.expr("cast(array() as array<string>)")
+    return own.join(held, ["file_id", "pre"], "left").withColumns({"methods": F.coalesce("methods", none), "fields": F.coalesce("fields", none)})
+
+
 def symbol_table(files: DataFrame) -> DataFrame:
     """(name, kind, file_path, line) of functions and classes."""
     fns = functions(files).select("name", F.lit("function").alias("kind"), "file_path", F.col("start_line").alias("line"))

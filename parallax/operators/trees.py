@@ -1,6 +1,6 @@
 """Trees as node tables: pre and post order numbers, depth, parent. Metrics, hashes, similarities and edit distance.
 
-nodes: file_id, pre, post, parent_pre, depth, subtree_end_pre, node_type, kind, text, line.
+nodes: file_id, pre, post, parent_pre, depth, subtree_end_pre, node_type, kind, text, line, and where the language has them end_line and attributes.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-NODES = "file_id string, pre int, post int, parent_pre int, child_idx int, depth int, subtree_end_pre int, node_type string, kind string, text string, line int"
-_FIELDS = ["file_id", "pre", "post", "parent_pre", "child_idx", "depth", "subtree_end_pre", "node_type", "kind", "text", "line"]
+from parallax.operators import braces
+
+NODES = "file_id string, pre int, post int, parent_pre int, child_idx int, depth int, subtree_end_pre int, node_type string, kind string, text string, line int, end_line int, attributes map<string,string>"
+_FIELDS = ["file_id", "pre", "post", "parent_pre", "child_idx", "depth", "subtree_end_pre", "node_type", "kind", "text", "line", "end_line", "attributes"]
 #: Elements that never have an end tag (fixed values of the markup language).
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 MAX_TEXT = 1_000_000
@@ -81,53 +84,70 @@ def optimised(node):
             continue
         last = children[-1] if children else None
         if last and last[0] == c[0] == "Literal" and not last[4] and not c[4] and c[3] - last[3] <= 1:
-            children[-1] = [last[0], last[1], f"{last[2]} {c[2]}", last[3], []]
+            children[-1] = [*last[:2], f"{last[2]} {c[2]}", last[3], [], *last[5:]]
         else:
             children.append(c)
     if not children and node[0] == "Unknown" and not node[2]:
         return None
     if node[0] in WRAPPERS and len(children) == 1:
         return children[0]
-    return [*node[:4], children]
+    return [*node[:4], children, *node[5:]]
 
 
-def flat(file_id: str, root) -> pd.DataFrame:
+def flat(file_id: str, root) -> list[list]:
     """Rows of a nested tree, without recursion."""
     rows: list[list] = []
     post = 0
-    stack = [(root, None, 0, 0, False)]
-    place: dict[int, int] = {}
+    stack = [(root, None, 0, 0, -1)]
     while stack:
         x, parent, idx, depth, done = stack.pop()
-        if done:
-            k = place[id(x)]
-            rows[k][2], rows[k][6] = post, len(rows) - 1
+        if done >= 0:
+            rows[done][2], rows[done][6] = post, len(rows) - 1
             post += 1
             continue
-        place[id(x)] = len(rows)
-        rows.append([file_id, len(rows), -1, parent, idx, depth, -1, x[0], x[1], x[2], x[3]])
-        stack.append((x, parent, idx, depth, True))
-        me = place[id(x)]
-        stack += [(c, me, i, depth + 1, False) for i, c in reversed(list(enumerate(x[4])))]
-    return pd.DataFrame(rows, columns=_FIELDS).astype({"parent_pre": "Int32"})
+        me = len(rows)
+        rows.append([file_id, me, -1, parent, idx, depth, -1, *x[:4], *(x[5:7] if len(x) > 5 else (None, None))])
+        stack.append((x, parent, idx, depth, me))
+        stack += [(c, me, i, depth + 1, -1) for i, c in reversed(list(enumerate(x[4])))]
+    return rows
+
+
+def nested(content: str | None, language: str | None):
+    """The nested tree of a text in markup, Python or a language with braces; other texts are one node."""
+    if language == "Python":
+        return _python(content or "")
+    if language in braces.LANGUAGES:
+        return braces.tree(content or "", language)
+    if language != "HTML":
+        return ["Unknown", "text", "", 1, []]
+    reader = _Markup()
+    reader.feed(content or "")
+    reader.close()
+    return reader.root
+
 
+#: Node rows that a task gives out at once.
+ROWS_AT_ONCE = 20_000
 
-def parse(files: DataFrame, language: str = "html", *, optimise: bool = False) -> DataFrame:
-    """Node rows of files (file_id, content); optimise drops empty and wrapping nodes first."""
+
+def parse(files: DataFrame, language: str | Column = "HTML", *, optimise: bool = False) -> DataFrame:
+    """Node rows of files (file_id, content) in one language or that of a column; optimise drops empty and wrapping nodes first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = lambda rows: pd.DataFrame(rows, columns=_FIELDS).astype({"parent_pre": "Int32", "end_line": "Int32"})
+        rows: list[list] = []
         for pdf in batches:
-            for f, content in zip(pdf["file_id"], pdf["content"]):
-                if language == "python":
-                    root = _python(content or "")
-                    yield flat(f, (optimised(root) or root) if optimise else root)
-                else:
-                    reader = _Markup()
-                    reader.feed(content or "")
-                    reader.close()
-                    yield flat(f, reader.root)
+            for f, content, lang in zip(pdf["file_id"], pdf["content"], pdf["language"]):
+                root = nested(content, lang)
+                rows += flat(f, (optimised(root) or root) if optimise else root)
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield frame(rows)
+                    rows = []
+        if rows:
+            yield frame(rows)
 
-    return files.select(F.col("file_id").cast("string").alias("file_id"), "content").mapInPandas(run, NODES)
+    lang = F.lit({"html": "HTML", "python": "Python"}.get(language, language)) if isinstance(language, str) else language
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content", lang.alias("language")).mapInPandas(run, NODES)
 
 
 #: Node types that add a path (fixed values).
@@ -343,7 +363,49 @@ def positional_operations(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def enclosing(nodes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(file_id, pre, n): how many ancestors of certain types a node has; a range join within each file."""
-    outer = nodes.where(F.col("node_type").isin(*kinds)).select("file_id", F.col("pre").alias("p"), F.col("subtree_end_pre").alias("e"))
-    x = nodes.select("file_id", "pre")
-    return x.join(outer, "file_id").where("p < pre and pre <= e").groupBy("file_id", "pre").agg(F.count("*").alias("n"))
+    """(file_id, pre, n): how many ancestors of certain types a node has, if any: a running sum over where such nodes open and close, in pre-order."""
+    of_kind = nodes.where(F.col("node_type").isin(*kinds))
+    # At one place what ends there closes first, then the node looks, then it opens itself.
+    events = nodes.select("file_id", F.col("pre").alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("step"))
+    events = events.unionByName(of_kind.select("file_id", F.col("pre").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("step")))
+    events = events.unionByName(of_kind.select("file_id", (F.col("subtree_end_pre") + 1).alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("step")))
+    n = F.sum("step").over(W.partitionBy("file_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0))
+    return events.withColumn("n", n).where("turn = 1 and n > 0").select("file_id", F.col("at").alias("pre"), "n")
+
+
+#: Nodes that steer control (fixed values), and functions, whose own paths begin anew.
+STEERING = ("IfStatement", "ForLoop", "WhileLoop", "SwitchStatement", "CaseStatement", "TryStatement", "ReturnStatement", "ThrowStatement")
+
+
+def control_paths(nodes: DataFrame) -> DataFrame:
+    """(file_id, pre, function_pre, path): of each node that steers control the types of those around it in its function, from the outside, and its own.
+
+    Only steering nodes and functions of a file are gathered; one sweep in pre-order carries the stack of those open.
+    """
+    own = nodes.where(F.col("node_type").isin(*STEERING, "Function", "Method"))
+    packed = own.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pre", "subtree_end_pre", "node_type"))).alias("x"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for f, xs in zip(pdf["file_id"], pdf["x"]):
+                open_: list[tuple[int, str, int | None]] = []  # end, type, pre of a function
+                for x in xs:
+                    while open_ and open_[-1][0] < x["pre"]:
+                        open_.pop()
+                    function = x["pre"] if x["node_type"] in ("Function", "Method") else None
+                    if function is None:
+                        at = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][2] is not None), None)
+                        rows.append((f, x["pre"], None if at is None else open_[at][2], [t for _, t, _ in open_[0 if at is None else at + 1 :]] + [x["node_type"]]))
+                    open_.append((x["subtree_end_pre"], x["node_type"], function))
+            yield pd.DataFrame(rows, columns=["file_id", "pre", "function_pre", "path"]).astype({"pre": "int32", "function_pre": "Int32"})
+
+    return packed.mapInPandas(run, "file_id string, pre int, function_pre int, path array<string>")
+
+
+def function_paths(nodes: DataFrame) -> DataFrame:
+    """(file_id, pre, name, line, paths, nesting): the distinct control paths of each function, sorted, and the length of the longest."""
+    paths = control_paths(nodes).where("function_pre is not null").groupBy("file_id", F.col("function_pre").alias("pre")).agg(F.array_sort(F.collect_set(F.array_join("path", ">"))).alias("paths"), F.max(F.size("path")).alias("nesting"))
+    own = nodes.where(F.col("node_type").isin("Function", "Method")).select("file_id", "pre", F.col("text").alias("name"), "line")
+    none = F.expr("cast(array() as array<string>)")
+    return own.join(paths, ["file_id", "pre"], "left").withColumns({"paths": F.coalesce("paths", none), "nesting": F.coalesce("nesting", F.lit(0))})
