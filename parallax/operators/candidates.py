@@ -63,6 +63,22 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("score") >= threshold)
 
 
+def contained_pairs(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+    """(a, b, common, n_a) of pairs in which b has at least a share of a's tokens; a, b: id, token, distinct.
+
+    Tokens are ordered from rare in b to frequent. A set that has the share of a's n tokens has one of the first n - ceil(share * n) + 1
+    of them, so that only those are looked up; a frequent token only where nothing rarer is left.
+    """
+    weight = b.groupBy("token").agg(F.count("*").alias("df"))
+    own = a.join(weight, "token", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
+    own = own.select(F.col("id").alias("a"), F.col("t.token").alias("t_a"), F.size("t").alias("n_a"))
+    first = F.slice("t_a", F.lit(1), F.least(F.col("n_a"), F.col("n_a") - F.ceil(F.col("n_a") * share - 1e-9).cast("int") + 1))
+    pairs = own.select("a", F.explode(first).alias("token")).join(b.select(F.col("id").alias("b"), "token"), "token").select("a", "b").distinct()
+    there = b.groupBy(F.col("id").alias("b")).agg(F.collect_list("token").alias("t_b"))
+    counted = pairs.join(own, "a").join(there, "b").select("a", "b", F.size(F.array_intersect("t_a", "t_b")).alias("common"), "n_a")
+    return counted.where(F.col("common") >= share * F.col("n_a") - 1e-9)
+
+
 def k_nearest(pairs: DataFrame, threshold: float, k: int) -> DataFrame:
     from parallax.operators.matching import top_k
 
@@ -101,13 +117,15 @@ def fingerprints(files: DataFrame) -> DataFrame:
 def file_moves(a: DataFrame, b: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Files whose path vanished, each with its best new file: .6 content + .2 path + .2 identifiers, one to one, in order of paths.
 
-    Candidates share a hash or an identifier; others can't reach the threshold, as path and an empty identifier set give at most .5.
+    Candidates share a hash, or the new file has so many of the old one's identifiers that the threshold can be reached (.62 of the score
+    are at most the share of them that it has); others can't reach it, as path and lines give at most .38.
     """
     x, y = fingerprints(a), fingerprints(b)
     gone = x.join(y.select("path"), "path", "left_anti")
     new = y.join(x.select("path"), "path", "left_anti")
-    keys = lambda d: d.select("path", F.explode(F.concat(F.array(F.concat(F.lit("h:"), "norm_hash")), F.transform("idents", lambda i: F.concat(F.lit("i:"), i)))).alias("key"))
-    pairs = keys(gone).select(F.col("path").alias("a"), "key").join(keys(new).select(F.col("path").alias("b"), "key"), "key").select("a", "b").distinct()
+    tokens_of = lambda d: d.select(F.col("path").alias("id"), F.explode("idents").alias("token"))
+    alike = contained_pairs(tokens_of(gone), tokens_of(new), max(1e-6, (threshold - 0.38) / 0.62)).select("a", "b")
+    pairs = gone.select(F.col("path").alias("a"), "norm_hash").join(new.select(F.col("path").alias("b"), "norm_hash"), "norm_hash").select("a", "b").union(alike).distinct()
     both = pairs.join(gone.select(F.col("path").alias("a"), F.struct("*").alias("source")), "a").join(new.select(F.col("path").alias("b"), F.struct("*").alias("target")), "b")
     s, t = F.col("source"), F.col("target")
     score = 0.6 * similarity.content_similarity(s, t) + 0.2 * similarity.path_similarity(F.col("a"), F.col("b")) + 0.2 * similarity.contained_share(s["idents"], t["idents"])
@@ -121,14 +139,14 @@ def file_splits(a: DataFrame, b: DataFrame, share: float = 0.5, k: int = 10) ->
     """Files whose identifiers several new files took over: each target shares at least half of its own."""
     x = fingerprints(a).select(F.col("path").alias("id"), F.explode("idents").alias("token"))
     y = fingerprints(b).select(F.col("path").alias("id"), F.explode("idents").alias("token"))
-    pairs = shared_tokens(x, y).where("a <> b")
-    return splits(pairs.select("a", "b", (F.col("common") / F.col("n_b")).alias("score")), share, k=k)
+    pairs = contained_pairs(y, x, share).where("a <> b")
+    return splits(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("common") / F.col("n_a")).alias("score")), share, k=k)
 
 
 def file_merges(a: DataFrame, b: DataFrame, share: float = 0.5, k: int = 10) -> DataFrame:
     x = fingerprints(a).select(F.col("path").alias("id"), F.explode("idents").alias("token"))
     y = fingerprints(b).select(F.col("path").alias("id"), F.explode("idents").alias("token"))
-    pairs = shared_tokens(x, y).where("a <> b")
+    pairs = contained_pairs(x, y, share).where("a <> b")
     return merges(pairs.select("a", "b", (F.col("common") / F.col("n_a")).alias("score")), share, k=k)
 
 

@@ -242,6 +242,9 @@ class EditTables:
         while todo:
             i, j = todo.pop()
             s, t = self.left_a[i], self.left_b[j]
+            if same(self.tree[i, j], 0):  # equal subtrees keep every node
+                out += zip(range(int(s), i + 1), range(int(t), j + 1))
+                continue
             f = self.forest(i, j)
             p, q = i - s + 1, j - t + 1
             while p or q:

@@ -217,6 +217,7 @@ def _doc_sets(spark, sf_dir):
 
 
 _SETS_SQL = f"with w as (select distinct doc_id as id, unnest(regexp_extract_all(text, '{_WORD}')) as token from documents), sets as (select id, count(*) as n, md5(string_agg(token, chr(10) order by token)) as h from w group by 1), m as (select id, n, min(id) over (partition by n, h) as class_id from sets)"
+_WORDS_OF_A = f"with w as (select distinct doc_id as id, unnest(regexp_extract_all(text, '{_WORD}')) as token from documents), n as (select id, count(*) as n from w group by 1) "
 _TOKENS_SQL = _SETS_SQL + ", s as (select id, n from m where id = class_id), t as (select id, token from w join s using (id)), p as (select x.id as a, y.id as b, count(*) as common from t x join t y using (token) where x.id < y.id group by 1, 2), j as (select a, b, common / (sa.n + sb.n - common) as score from p join s sa on sa.id = a join s sb on sb.id = b) "
 
 
@@ -283,6 +284,13 @@ def file_fingerprint(spark, sf_dir):
     return candidates.fingerprints(d).select("path", "content_hash", "norm_hash", F.col("line_count").cast("long").alias("line_count"))
 
 
+@query(_WORDS_OF_A + "select a, b, common, n as n_a from (select x.id as a, y.id as b, count(*) as common from w x join w y using (token) where x.id % 2 = 0 and y.id % 2 = 1 group by 1, 2) p join n on n.id = a where common >= 0.8 * n - 1e-9")
+def contained_documents(spark, sf_dir):
+    """Pairs of a document of even and one of odd id that has four fifths of its words."""
+    own = candidates.tokens(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id", F.col("text"), _WORD)
+    return candidates.contained_pairs(own.where("id % 2 = 0"), own.where("id % 2 = 1"), 0.8).select("a", "b", F.col("common").cast("long").alias("common"), F.col("n_a").cast("long").alias("n_a"))
+
+
 @query()
 def file_moves(spark, sf_dir):
     """Documents as files, a third of them moved to another folder: renames and moves found again."""
