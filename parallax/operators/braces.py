@@ -191,7 +191,8 @@ def _opened(head: list[Token], language: str, inside: str) -> tuple[list, bool]:
     second = words[1] if len(words) > 1 else ""
     if first in CONTROL and not (first in ("default", "case") and any(w in TYPES for w in words)):
         kind = CONTROL["if"] if first == "else" and second == "if" else CONTROL[first]
-        return [kind, first, second if kind == "Module" else "", line, _expression(head[1:]), line, {}], True
+        rest = head[2:] if first == "else" and second == "if" else head[1:]
+        return [kind, first, second if kind == "Module" else "", line, _expression(head[1:]), line, {"condition": _plain(rest)[:_TEXT]} if kind == "IfStatement" and rest else {}], True
     types = [k for k in flat if words[k] in TYPES and head[k][0] == "name"]
     if types and "(" not in words[: types[0]] and "=" not in words[: types[0]]:
         at = types[0]

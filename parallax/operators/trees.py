@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,7 +68,9 @@ def _python(source: str):
         line = getattr(x, "lineno", line)
         kind = type(x).__name__
         label = getattr(x, "name", None) or getattr(x, "id", None) or (getattr(x.func, "id", None) or getattr(x.func, "attr", None) if kind == "Call" else None) or (repr(x.value) if kind == "Constant" else "")
-        return [PYTHON_TYPES.get(kind, "Unknown"), kind, str(label)[:MAX_TEXT], line, [node(c, line) for c in python_ast.iter_child_nodes(x) if not isinstance(c, (python_ast.Load, python_ast.Store))]]
+        held = {"condition": x.test} if kind == "If" else {"function_name": x.func} if kind == "Call" else {"type": x.annotation} if kind == "AnnAssign" else {}
+        attributes = {k: python_ast.unparse(v)[:MAX_TEXT] for k, v in held.items()}
+        return [PYTHON_TYPES.get(kind, "Unknown"), kind, str(label)[:MAX_TEXT], line, [node(c, line) for c in python_ast.iter_child_nodes(x) if not isinstance(c, (python_ast.Load, python_ast.Store))], getattr(x, "end_lineno", line), attributes]
 
     return node(tree, 1)
 
@@ -133,21 +136,27 @@ ROWS_AT_ONCE = 20_000
 def parse(files: DataFrame, language: str | Column = "HTML", *, optimise: bool = False) -> DataFrame:
     """Node rows of files (file_id, content) in one language or that of a column; optimise drops empty and wrapping nodes first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frame = lambda rows: pd.DataFrame(rows, columns=_FIELDS).astype({"parent_pre": "Int32", "end_line": "Int32"})
+    types = [pa.string(), *[pa.int32()] * 6, *[pa.string()] * 3, pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
+
+    def table(rows: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        columns[12] = [None if x is None else list(x.items()) for x in columns[12]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[list] = []
-        for pdf in batches:
-            for f, content, lang in zip(pdf["file_id"], pdf["content"], pdf["language"]):
+        for batch in batches:
+            for f, content, lang in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 root = nested(content, lang)
                 rows += flat(f, (optimised(root) or root) if optimise else root)
                 if len(rows) >= ROWS_AT_ONCE:
-                    yield frame(rows)
+                    yield table(rows)
                     rows = []
         if rows:
-            yield frame(rows)
+            yield table(rows)
 
     lang = F.lit({"html": "HTML", "python": "Python"}.get(language, language)) if isinstance(language, str) else language
-    return files.select(F.col("file_id").cast("string").alias("file_id"), "content", lang.alias("language")).mapInPandas(run, NODES)
+    return files.select(F.col("file_id").cast("string").alias("file_id"), "content", lang.alias("language")).mapInArrow(run, NODES)
 
 
 #: Node types that add a path (fixed values).

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.functions import classify, similarity, text
-from parallax.operators import align, candidates, codefront, graph, hierarchy, keyed_diff, matching, names, refactor, reports, search, symbols, trees
+from parallax.operators import align, candidates, codefront, graph, graphmatch, hierarchy, keyed_diff, matching, names, patterns, refactor, reports, search, symbols, trees
 from parallax.sources.versions import PART_B, part_versions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,6 +423,96 @@ def tree_edit_operations(spark, sf_dir):
     return trees.operations(_next_pages(spark, sf_dir), _page_nodes(spark, sf_dir))
 
 
+# Patterns of functions -----------------------------------------------------------------------------------------
+
+#: A statement for each line number of an order, and what it shows.
+_STATEMENTS = {
+    1: ("String s = getPart();", [("types", "String"), ("apis", "accessor_pattern")]),
+    2: ("if (x == null) { checkPart(); }", [("errors", "error_check"), ("algorithms", "conditional_logic"), ("apis", "validation_pattern")]),
+    3: ("for (int i = 0; i < 9; i++) { processPart(); }", [("algorithms", "iteration"), ("apis", "processing_pattern")]),
+    4: ("while (x) { openPart(); }", [("algorithms", "while_iteration"), ("resources", "resource_acquisition")]),
+    5: ("try { closePart(); } finally { y(); }", [("errors", "try_catch"), ("resources", "try_with_resources"), ("resources", "resource_cleanup")]),
+    6: ("switch (x) { case 1: findPart(); }", [("algorithms", "multi_branch"), ("algorithms", "search_algorithm")]),
+    7: ("throw newPart();", [("errors", "throw_exception"), ("apis", "factory_pattern")]),
+}
+_PATTERN_SETS = ("types", "apis", "errors", "resources", "algorithms")
+_PATTERNS_SQL = (
+    "with m(line, g, v) as (values " + ", ".join(f"({n}, '{g}', '{v}')" for n, (_, own) in _STATEMENTS.items() for g, v in own) + "), p as (select l_orderkey as k, "
+    + ", ".join(f"coalesce(list_sort(list(distinct v) filter (g = '{g}')), []) as {g}" for g in _PATTERN_SETS)
+    + " from lineitem left join m on l_linenumber = line group by 1) "
+)
+
+
+def _order_patterns(spark, sf_dir):
+    """Orders as functions, a statement for each of their lines."""
+    table_of = F.create_map(*[F.lit(x) for n, (text_, _) in _STATEMENTS.items() for x in (n, text_)])
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    body = F.array_join(F.transform("n", lambda n: F.coalesce(table_of[n], F.lit("y();"))), "\n")
+    files = lines.select(F.concat("l_orderkey", F.lit(".java")).alias("path"), F.concat(F.lit("class T {\nvoid order() {\n"), body, F.lit("\n}\n}\n")).alias("content"))
+    own = patterns.function_patterns(codefront.source_nodes(files)).where("name = 'order'")
+    return own.withColumn("k", F.regexp_extract("file_id", r"^(\d+)", 1).cast("long"))
+
+
+@query(_PATTERNS_SQL + "select k, " + ", ".join(f"array_to_string({g}, ',') as {g}" for g in _PATTERN_SETS) + " from p")
+def function_patterns(spark, sf_dir):
+    """The pattern sets of each order's function."""
+    return _order_patterns(spark, sf_dir).select("k", *[F.array_join(g, ",").alias(g) for g in _PATTERN_SETS])
+
+
+@query(_PATTERNS_SQL + "select a.k as a, b.k as b, (" + " + ".join(f"case when len(a.{g}) + len(b.{g}) = 0 then 1.0 else len(list_intersect(a.{g}, b.{g}))::double / len(list_distinct(list_concat(a.{g}, b.{g}))) end" for g in _PATTERN_SETS) + ") / 5 as semantic from p a join p b on b.k = a.k + 1")
+def pattern_scores(spark, sf_dir):
+    """Each order's function with the next order's: mean share of their pattern sets."""
+    own = _order_patterns(spark, sf_dir)
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a")).distinct()
+    pairs = keys.withColumn("b", F.col("a") + 1)
+    return patterns.scores(pairs, own, "k").select("a", "b", "semantic")
+
+
+# Functions in graphs -------------------------------------------------------------------------------------------
+
+
+def _part_graphs(spark, sf_dir):
+    """Parts of two versions as functions that depend on the orders that hold them; the later one lacks seventh lines."""
+    a, b = part_versions(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.concat(F.lit("order "), "l_orderkey").alias("dst"), "l_linenumber")
+    fns = lambda d: d.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"), F.array("p_brand").alias("params"), F.col("p_type").alias("return_type"), F.expr("cast(array() as array<string>)").alias("modifiers"), F.lit("part").alias("file_path"), "p_brand", "p_size")
+    structure = lambda s, t: 0.5 * (s["p_brand"] == t["p_brand"]).cast("double") + 0.5 * (s["p_size"] == t["p_size"]).cast("double")
+    return fns(a), fns(b), li.select("src", "dst"), li.where("l_linenumber <> 7").select("src", "dst"), structure
+
+
+_GRAPH_SQL = f"""
+with {PART_B},
+ea as (select distinct l_partkey as p, l_orderkey as o from lineitem), eb as (select distinct l_partkey as p, l_orderkey as o from lineitem where l_linenumber <> 7),
+na as (select p, count(*) as n from ea group by 1), nb as (select p, count(*) as n from eb group by 1),
+c as (select ea.p as a, eb.p as b, count(*) as common from ea join eb using (o) join part on ea.p = part.p_partkey join part_b on eb.p = part_b.p_partkey group by 1, 2),
+j as (select a, b, common / (na.n + nb.n - common)::double as j from c join na on a = na.p join nb on b = nb.p),
+same as (select x.p_partkey as a, y.p_partkey as b from part x join part_b y on x.p_name || ' ' || x.p_partkey = y.p_name || ' ' || y.p_partkey),
+pairs as (select a, b from j where j >= 0.1 union select a, b from same),
+x as (select pairs.a, pairs.b, s.p_name || ' ' || s.p_partkey as na, t.p_name || ' ' || t.p_partkey as nb, s.p_brand as ba, t.p_brand as bb, s.p_type as ta, t.p_type as tb, s.p_size as sa, t.p_size as sb,
+  coalesce(j.j, case when n1.p is null and n2.p is null then 1.0 else 0.0 end) as j
+  from pairs join part s on pairs.a = s.p_partkey join part_b t on pairs.b = t.p_partkey left join j on pairs.a = j.a and pairs.b = j.b left join na n1 on pairs.a = n1.p left join nb n2 on pairs.b = n2.p),
+y as (select a, b, 0.4 * (1 - levenshtein(na, nb) / greatest(length(na), length(nb))::double) + 0.35 * (1 - levenshtein(ba, bb) / greatest(length(ba), length(bb))::double) + 0.15 * (1 - levenshtein(ta, tb) / greatest(length(ta), length(tb))::double) + 0.1 as signature,
+  0.5 * (ba = bb)::int + 0.5 * (sa = sb)::int as structure, 0.5 * j + 0.5 as context from x)
+"""
+
+
+@query(_GRAPH_SQL + "select a, b, round(context::double, 6) as context, round((0.4 * signature + 0.4 * structure + 0.2 * context)::double, 6) as score from y where 0.4 * signature + 0.4 * structure + 0.2 * context >= 0.7")
+def graph_pairs(spark, sf_dir):
+    """Scored candidates of parts in two versions, by names and shared orders."""
+    a, b, ea, eb, structure = _part_graphs(spark, sf_dir)
+    x, y = graphmatch.placed(a, ea), graphmatch.placed(b, eb)
+    own = graphmatch.scored(graphmatch.candidates(x, y, edits=0), x, y, structure).where(F.col("score") >= graphmatch.THRESHOLD)
+    return own.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("context", 6).alias("context"), F.round("score", 6).alias("score"))
+
+
+@query()
+def graph_matches(spark, sf_dir):
+    """Parts of two versions matched one to one, with the kind of match."""
+    a, b, ea, eb, structure = _part_graphs(spark, sf_dir)
+    m = graphmatch.match(a, b, ea, eb, structure, edits=0).matches
+    return m.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("score", 6).alias("score"), "kind")
+
+
 # Graphs --------------------------------------------------------------------------------------------------------
 
 
