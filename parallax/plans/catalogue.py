@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parallax.functions import classify, similarity, text
-from parallax.operators import align, candidates, codefront, graph, graphmatch, hierarchy, keyed_diff, matching, names, patterns, refactor, reports, search, symbols, trees
+from parallax.operators import align, candidates, codefront, graph, graphmatch, hierarchy, imports, keyed_diff, matching, names, patterns, refactor, reports, search, symbols, trees
 from parallax.sources.versions import PART_B, part_versions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,6 +468,27 @@ def pattern_scores(spark, sf_dir):
     return patterns.scores(pairs, own, "k").select("a", "b", "semantic")
 
 
+# Names through imports -----------------------------------------------------------------------------------------
+
+
+@query("""select 'customers/C' || c_custkey || '.ts' as src_file, 'C' || c_custkey as src, 'nations/N' || c_nationkey || '.ts' as dst_file, 'N' || c_nationkey as dst, 'inherits' as edge_type, 1.0::double as strength from customer join nation on c_nationkey = n_nationkey
+union all select 'nations/N' || n_nationkey || '.ts', 'N' || n_nationkey, 'regions/R' || n_regionkey || '.ts', 'R' || n_regionkey, 'implements', 0.9::double from nation join region on n_regionkey = r_regionkey
+union all select 'suppliers/S' || s_suppkey || '.java', 'S' || s_suppkey, 'lands/L' || s_nationkey || '.java', 'L' || s_nationkey, 'field', 0.7::double from supplier join nation on s_nationkey = n_nationkey""")
+def import_graph(spark, sf_dir):
+    """Customers derive from nations under an alias through an index that re-exports all, nations implement regions, suppliers hold lands of a package."""
+    t = lambda name: table(spark, sf_dir, name)
+    n = t("nation")
+    file = lambda d, path, content: d.select(F.format_string(path[0], *path[1:]).alias("path"), F.format_string(content[0], *content[1:]).alias("content"))
+    files = file(t("region"), ("regions/R%d.ts", "r_regionkey"), ("export interface R%d { }\n", "r_regionkey"))
+    files = files.unionByName(file(n, ("nations/N%d.ts", "n_nationkey"), ("import { R%d as Home } from '../regions/R%d'\nexport class N%d implements Home { }\n", "n_regionkey", "n_regionkey", "n_nationkey")))
+    index = n.agg(F.array_join(F.array_sort(F.collect_list(F.format_string("export * from './N%d'", "n_nationkey"))), "\n").alias("content"))
+    files = files.unionByName(index.select(F.lit("nations/index.ts").alias("path"), "content"))
+    files = files.unionByName(file(t("customer"), ("customers/C%d.ts", "c_custkey"), ("import { N%d as Base } from '../nations'\nexport class C%d extends Base { }\n", "c_nationkey", "c_custkey")))
+    files = files.unionByName(file(n, ("lands/L%d.java", "n_nationkey"), ("package lands;\npublic class L%d { }\n", "n_nationkey")))
+    files = files.unionByName(file(t("supplier"), ("suppliers/S%d.java", "s_suppkey"), ("package suppliers;\nimport lands.*;\npublic class S%d { private L%d home; }\n", "s_suppkey", "s_nationkey")))
+    return imports.type_graph(files)
+
+
 # Functions in graphs -------------------------------------------------------------------------------------------
 
 
