@@ -36,7 +36,8 @@ def statements(files: DataFrame) -> DataFrame:
 
     name ``*`` with no local name is a wildcard, null the module itself; a module's path is relative to the root, ``package/*`` a package.
     """
-    own = files.select(F.col("path").alias("file_path"), "content", codefront.language(F.col("path"), F.col("content")).alias("lang"))
+    # Written once: the language's expression is large, and each kind of statement reads the texts again.
+    own = cut(files.select(F.col("path").alias("file_path"), "content", codefront.language(F.col("path"), F.col("content")).alias("lang")))
     folder = F.nullif(text.folder(F.col("file_path")), F.lit(""))
     word = r"[\w$]+"
 
@@ -99,7 +100,7 @@ def links(imports: DataFrame, files: DataFrame) -> DataFrame:
     package = lambda folder: F.concat(F.lit("package:"), folder)
     none = F.lit(None).cast("string")
     star = imports.where("lang = 'Java' and name = '*'").select(F.col("file_path").alias("scope"), none.alias("local"), package(F.regexp_replace("module", r"/\*$", "")).alias("target"), none.alias("name"), "reexports", F.lit(True).alias("__w"))
-    beside = files.where(codefront.language(F.col("path"), F.col("content")) == "Java").select(F.col("path").alias("scope"), none.alias("local"), package(text.folder(F.col("path"))).alias("target"), none.alias("name"), F.lit(False).alias("reexports"), F.lit(True).alias("__w"))
+    beside = files.where(F.col("path").endswith(".java")).select(F.col("path").alias("scope"), none.alias("local"), package(text.folder(F.col("path"))).alias("target"), none.alias("name"), F.lit(False).alias("reexports"), F.lit(True).alias("__w"))
     return own.unionByName(star).unionByName(beside).where("scope <> target").distinct().select("scope", "local", "target", "name", "reexports", F.col("__w").alias("wildcard"))
 
 
