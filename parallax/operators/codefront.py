@@ -171,10 +171,14 @@ def classes(files: DataFrame) -> DataFrame:
     return lines.select("file_path", get(1).alias("name"), get(2).alias("parent"), F.coalesce(F.transform(F.split(get(3), ","), F.trim), F.expr("cast(array() as array<string>)")).alias("interfaces"))
 
 
+def node_language_of_path(path: Column) -> Column:
+    """The language by which a file is parsed, as far as its path tells."""
+    return F.when(text.extension(path).isin("html", "htm", "xhtml"), "HTML").otherwise(language_of_path(path))
+
+
 def source_nodes(files: DataFrame, *, optimise: bool = False) -> DataFrame:
     """Node rows of files (path, content), each by its own language."""
-    markup = text.extension(F.col("path")).isin("html", "htm", "xhtml")
-    return trees.parse(files.select(F.col("path").alias("file_id"), "content", F.when(markup, "HTML").otherwise(language(F.col("path"), F.col("content"))).alias("lang")), F.col("lang"), optimise=optimise)
+    return trees.parse(files.select(F.col("path").alias("file_id"), "content", F.coalesce(node_language_of_path(F.col("path")), language_of_content(F.col("content"))).alias("lang")), F.col("lang"), optimise=optimise)
 
 
 def types(nodes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax.functions.similarity import pattern_similarity, set_jaccard
+from parallax.operators.checkpoints import cut
 
 GROUPS = ("types", "apis", "errors", "resources", "algorithms", "content")
 
@@ -115,9 +116,29 @@ def function_patterns(nodes: DataFrame) -> DataFrame:
     return packed.mapInArrow(run, "file_id string, pre int, name string, " + ", ".join(f"{g} array<string>" for g in GROUPS))
 
 
+def of_files(files: DataFrame) -> DataFrame:
+    """``function_patterns`` of files (path, content): equal contents of one language are parsed once, however many files have them."""
+    from parallax.operators import codefront, trees
+
+    # What only the content tells of the language is asked of different contents.
+    same = F.md5(F.concat(F.coalesce("lang", F.lit("")), F.coalesce(F.concat(F.lit("\n"), "content"), F.lit(""))).cast("binary")).alias("same")
+    own = files.select(F.col("path").cast("string").alias("file_id"), "content", codefront.node_language_of_path(F.col("path")).alias("lang"))
+    once = own.select("lang", "content").distinct().select(same.alias("file_id"), "content", F.coalesce("lang", codefront.language_of_content(F.col("content"))).alias("lang"))
+    parsed = function_patterns(trees.parse(once, F.col("lang")))
+    return own.select("file_id", same).join(cut(parsed).withColumnRenamed("file_id", "same"), "same").drop("same")
+
+
 def scores(pairs: DataFrame, patterns: DataFrame, *key: str) -> DataFrame:
-    """(a, b, content, semantic): shared share of content, and mean share of the five sets. pairs: a, b (structs or values of the key of patterns)."""
-    own = patterns.select((F.struct(*key) if len(key) > 1 else F.col(key[0])).alias("k"), F.struct(*GROUPS).alias("p"))
-    both = pairs.join(own.select(F.col("k").alias("a"), F.col("p").alias("x")), "a").join(own.select(F.col("k").alias("b"), F.col("p").alias("y")), "b")
+    """(a, b, content, semantic): shared share of content, and mean share of the five sets. pairs: a, b (structs or values of the key of patterns).
+
+    Sets travel once for each different pair of them; pairs of functions carry digests.
+    """
+    sets = F.struct(*GROUPS)
+    own = patterns.select((F.struct(*key) if len(key) > 1 else F.col(key[0])).alias("k"), sets.alias("p"), F.md5(F.to_json(sets).cast("binary")).alias("d"))
+    side = lambda s: own.select(F.col("k").alias(s), F.col("d").alias(f"d_{s}"))
+    both = cut(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b"))
+    known = own.select("d", "p").distinct()
     x, y = F.col("x"), F.col("y")
-    return both.select("a", "b", set_jaccard(x["content"], y["content"]).alias("content"), pattern_similarity(x, y).alias("semantic"))
+    of = lambda s, p: known.select(F.col("d").alias(f"d_{s}"), F.col("p").alias(p))
+    scored = both.select("d_a", "d_b").distinct().join(of("a", "x"), "d_a").join(of("b", "y"), "d_b").select("d_a", "d_b", set_jaccard(x["content"], y["content"]).alias("content"), pattern_similarity(x, y).alias("semantic"))
+    return both.join(scored, ["d_a", "d_b"]).select("a", "b", "content", "semantic")
