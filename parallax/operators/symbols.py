@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parallax.operators.checkpoints import cut
 from parallax.operators.graph import ancestors
 
 NEAR_LINES = 10
@@ -14,25 +15,25 @@ def migrations(a: DataFrame, b: DataFrame, near: int = NEAR_LINES) -> DataFrame:
     """(name, kind, from_file, to_file, by): symbols no longer in their file.
 
     By equal name and kind in another file (the first by path); of what is left, another name of the kind at most ``near`` lines away,
-    the nearest, then the first by path and name. Of the names on one line of a kind only the first can be chosen, so that each symbol
-    meets at most 2 * near + 1 rows, however many share its kind. a, b: name, kind, file_path, line.
+    the nearest, then the first by path and name. Of the names on one line of a kind only the first can be chosen, and the nearest of
+    them is found for each line of a kind, once for all symbols on it. a, b: name, kind, file_path, line.
     """
-    gone = a.join(b.select("name", "kind", "file_path"), ["name", "kind", "file_path"], "left_anti")
-    new = b.join(a.select("name", "kind", "file_path"), ["name", "kind", "file_path"], "left_anti")
-    exact = gone.join(new.groupBy("name", "kind").agg(F.min("file_path").alias("to_file")), ["name", "kind"]).select("name", "kind", F.col("file_path").alias("from_file"), "to_file", F.lit("name").alias("by"))
-    rest = gone.join(exact.select("name", "kind", F.col("from_file").alias("file_path")), ["name", "kind", "file_path"], "left_anti")
+    gone = cut(a.join(b.select("name", "kind", "file_path"), ["name", "kind", "file_path"], "left_anti"))
+    new = cut(b.join(a.select("name", "kind", "file_path"), ["name", "kind", "file_path"], "left_anti"))
+    exact = cut(gone.join(new.groupBy("name", "kind").agg(F.min("file_path").alias("to_file")), ["name", "kind"]).select("name", "kind", F.col("file_path").alias("from_file"), "to_file", F.lit("name").alias("by")))
+    rest = cut(gone.join(exact.select("name", "kind", F.col("from_file").alias("file_path")), ["name", "kind", "file_path"], "left_anti"))
     free = new.join(exact.select("name", "kind", F.col("to_file").alias("file_path")), ["name", "kind", "file_path"], "left_anti")
     offers = free.groupBy("kind", "line").agg(F.min(F.struct("file_path", "name")).alias("t"))
-    reach = rest.select("kind", "name", "file_path", F.col("line").alias("own"), F.explode(F.sequence(F.col("line") - near, F.col("line") + near)).alias("line"))
-    nearest = F.min_by("t.file_path", F.struct(F.abs(F.col("own") - F.col("line")), "t"))
-    close = reach.join(offers, ["kind", "line"]).groupBy("name", "kind", F.col("file_path").alias("from_file")).agg(nearest.alias("to_file")).withColumn("by", F.lit("line"))
-    return exact.unionByName(close)
+    asked = rest.select("kind", F.col("line").alias("own")).distinct().select("kind", "own", F.explode(F.sequence(F.col("own") - near, F.col("own") + near)).alias("line"))
+    offered = asked.join(offers, ["kind", "line"]).groupBy("kind", F.col("own").alias("line")).agg(F.min(F.struct(F.abs(F.col("own") - F.col("line")).alias("far"), "t")).alias("nearest"))
+    close = rest.join(offered, ["kind", "line"]).groupBy("name", "kind", F.col("file_path").alias("from_file")).agg(F.min("nearest").alias("nearest"))
+    return exact.unionByName(close.select("name", "kind", "from_file", F.col("nearest.t.file_path").alias("to_file"), F.lit("line").alias("by")))
 
 
 def by_file_pair(moved: DataFrame, symbols: DataFrame) -> DataFrame:
     """Migrations of each pair of files, with their share of the source file's symbols."""
     size = symbols.groupBy(F.col("file_path").alias("from_file")).agg(F.count("*").alias("n_symbols"))
-    own = moved.groupBy("from_file", "to_file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+    own = moved.groupBy("from_file", "to_file").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names"))
     return own.join(size, "from_file").withColumn("share", F.col("n") / F.col("n_symbols"))
 
 
