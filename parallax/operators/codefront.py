@@ -181,14 +181,19 @@ def source_nodes(files: DataFrame, *, optimise: bool = False) -> DataFrame:
     return trees.parse(files.select(F.col("path").alias("file_id"), "content", F.coalesce(node_language_of_path(F.col("path")), language_of_content(F.col("content"))).alias("lang")), F.col("lang"), optimise=optimise)
 
 
+def declared_types(nodes: DataFrame) -> DataFrame:
+    """``types`` without their methods and fields; narrow."""
+    get = lambda k: F.col("attributes")[k]
+    words = lambda k, by: F.coalesce(F.split(get(k), by), F.expr("cast(array() as array<string>)"))
+    return nodes.where(F.col("node_type").isin("Class", "Interface") & (F.col("text") != "")).select("file_id", "pre", F.col("text").alias("name"), "kind", get("superclass").alias("parent"), words("interfaces", ",").alias("interfaces"), words("modifiers", " ").alias("modifiers"), get("visibility").alias("visibility"), get("generics").alias("generics"), words("annotations", " ").alias("annotations"), "line", "end_line")
+
+
 def types(nodes: DataFrame) -> DataFrame:
     """Types of languages with braces, from node rows: their parents, parameters of type, methods and fields.
 
     (file_id, pre, name, kind, parent, interfaces, modifiers, visibility, generics, annotations, methods, fields, line, end_line)
     """
-    get = lambda k: F.col("attributes")[k]
-    words = lambda k, by: F.coalesce(F.split(get(k), by), F.expr("cast(array() as array<string>)"))
-    own = nodes.where(F.col("node_type").isin("Class", "Interface") & (F.col("text") != "")).select("file_id", "pre", F.col("text").alias("name"), "kind", get("superclass").alias("parent"), words("interfaces", ",").alias("interfaces"), words("modifiers", " ").alias("modifiers"), get("visibility").alias("visibility"), get("generics").alias("generics"), words("annotations", " ").alias("annotations"), "line", "end_line")
+    own = declared_types(nodes)
     member = nodes.where(F.col("node_type").isin("Method", "FieldDeclaration") & (F.col("text") != ""))
     of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("node_type") == kind, F.struct("pre", "text")))), lambda x: x["text"])
     held = member.groupBy("file_id", F.col("parent_pre").alias("p")).agg(of("Method").alias("methods"), of("FieldDeclaration").alias("fields")).withColumnRenamed("p", "pre")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parallax.functions import text
 from parallax.operators import codefront
-from parallax.operators.checkpoints import cut
+from parallax.operators.checkpoints import cut, dealt
 from parallax.operators.patterns import declared_type
 
 #: Endings under which a module is looked for, first come first.
@@ -91,8 +91,11 @@ def links(imports: DataFrame, files: DataFrame) -> DataFrame:
     imports, there = cut(imports), files.select(F.col("path").alias("target")).distinct()
     language = F.when(F.col("lang").isin(*_JS), "JavaScript").otherwise(F.col("lang"))
     endings = F.create_map(*[x for k, v in ENDINGS.items() for x in (F.lit(k), F.array(*[F.lit(e) for e in v]))])
-    tried = imports.select("*", F.posexplode(endings[language]).alias("i", "ending")).withColumn("target", F.concat("module", "ending"))
-    hit = tried.join(there, "target").groupBy("file_path", "module", "name", "local", "reexports").agg(F.min_by("target", "i").alias("target"))
+    # Very many files may import one module: each module is looked for once.
+    imports = imports.withColumn("__l", language)
+    tried = imports.select("__l", "module").distinct().select("*", F.posexplode(endings[F.col("__l")]).alias("i", "ending")).withColumn("target", F.concat("module", "ending"))
+    modules = tried.join(there, "target").groupBy("__l", "module").agg(F.min_by("target", "i").alias("target"))
+    hit = imports.join(modules, ["__l", "module"])
     own = hit.select(F.col("file_path").alias("scope"), "local", "target", F.when(F.col("name") != "*", F.col("name")).alias("name"), "reexports", F.coalesce(F.col("name") == "*", F.lit(False)).alias("__w"))
     # A submodule taken by name from its package: the file itself is meant.
     sub = imports.where("lang = 'Python' and name is not null and name <> '*'").withColumn("target", F.concat("module", F.lit("/"), "name", F.lit(".py"))).join(there, "target")
@@ -155,14 +158,15 @@ def bare_type(type_: Column) -> Column:
 
 def type_uses(nodes: DataFrame) -> DataFrame:
     """(file_path, name, used, edge_type): what types of node rows derive from, hold, return and take; primitive types left out."""
-    types = codefront.types(nodes).select("file_id", "pre", "name", "parent", "interfaces")
+    types = codefront.declared_types(nodes).select("file_id", "pre", "name", "parent", "interfaces")
     get = lambda k: F.col("attributes")[k]
-    member = nodes.where(F.col("node_type").isin("Method", "FieldDeclaration")).select("file_id", F.col("parent_pre").alias("pre"), "node_type", F.when(F.col("node_type") == "FieldDeclaration", declared_type(get("type"))).alias("field"), get("return_type").alias("return"), F.transform(F.split(get("params"), "\n"), declared_type).alias("params"))
+    use = lambda used, kind: F.struct(used.alias("used"), F.lit(kind).alias("edge_type"))
+    each = lambda c, kind: F.coalesce(F.transform(c, lambda x: use(x, kind)), F.expr("cast(array() as array<struct<used:string,edge_type:string>>)"))
+    field = F.when(F.col("node_type") == "FieldDeclaration", declared_type(get("type")))
+    params = F.transform(F.split(get("params"), "\n"), declared_type)
+    member = nodes.where(F.col("node_type").isin("Method", "FieldDeclaration")).select("file_id", F.col("parent_pre").alias("pre"), F.explode(F.concat(F.array(use(field, "field"), use(get("return_type"), "return")), each(params, "parameter"))).alias("x")).where("x.used is not null")
     held = member.join(types.select("file_id", "pre", "name"), ["file_id", "pre"])
-    kinds = [types.select("file_id", "name", F.col("parent").alias("used"), F.lit("inherits").alias("edge_type")), types.select("file_id", "name", F.explode("interfaces").alias("used"), F.lit("implements").alias("edge_type")), held.select("file_id", "name", F.col("field").alias("used"), F.lit("field").alias("edge_type")), held.select("file_id", "name", F.col("return").alias("used"), F.lit("return").alias("edge_type")), held.select("file_id", "name", F.explode("params").alias("used"), F.lit("parameter").alias("edge_type"))]
-    rows = kinds[0]
-    for k in kinds[1:]:
-        rows = rows.unionByName(k)
+    rows = types.select("file_id", "name", F.explode(F.concat(F.array(use(F.col("parent"), "inherits")), each(F.col("interfaces"), "implements"))).alias("x")).unionByName(held.select("file_id", "name", "x")).select("file_id", "name", "x.*")
     return rows.withColumn("used", bare_type(F.col("used"))).where(F.col("used").isNotNull() & ~F.col("used").isin(*PRIMITIVE)).select(F.col("file_id").alias("file_path"), "name", "used", "edge_type").distinct()
 
 
@@ -171,9 +175,11 @@ def type_graph(files: DataFrame) -> DataFrame:
 
     Edges to types that no file defines, and of a type to itself, are left out; types of languages with braces only.
     """
-    nodes = cut(codefront.source_nodes(files))
+    files = cut(dealt(files, "path"))
+    # Of the nodes only types and their members are written.
+    nodes = cut(codefront.source_nodes(files).where(F.col("node_type").isin("Class", "Interface", "Method", "FieldDeclaration")))
     uses = cut(type_uses(nodes))
-    own = resolve(uses.select("file_path", F.col("used").alias("name")).distinct(), links(statements(files), files), definitions(codefront.types(nodes).select(F.col("file_id").alias("file_path"), "name")))
+    own = resolve(uses.select("file_path", F.col("used").alias("name")).distinct(), links(statements(files), files), definitions(codefront.declared_types(nodes).select(F.col("file_id").alias("file_path"), "name")))
     strength = F.create_map(*[F.lit(x) for pair in TYPE_STRENGTH.items() for x in pair])
     edges = uses.join(own.withColumnRenamed("name", "used"), ["file_path", "used"]).where("file_path <> def_file or name <> def_name")
     return edges.select(F.col("file_path").alias("src_file"), F.col("name").alias("src"), F.col("def_file").alias("dst_file"), F.col("def_name").alias("dst"), "edge_type", strength[F.col("edge_type")].alias("strength")).distinct()

@@ -81,3 +81,22 @@ def test_random_imports_as_a_search_from_each_use(spark):
 
 def test_no_files(spark):
     assert imports.type_graph(table(spark).limit(0)).count() == 0
+
+
+def test_a_module_of_many_files_is_looked_for_once(spark):
+    """200 files import one module: the lookup by paths meets a row for each ending, not for each file and ending."""
+    rows = [(f"a/F{i}.ts", f"import {{ X as Y }} from '../lib'\nexport class F{i} extends Y {{ }}\n") for i in range(200)]
+    files = spark.createDataFrame([*rows, ("lib/index.ts", "export class X { }\n"), ("lib.js", "export class X { }\n")], "path string, content string")
+    own = imports.links(imports.statements(files), files)
+    assert {(r.scope, r.local, r.target, r.name) for r in own.collect()} == {(p, "Y", "lib.js", "X") for p, _ in rows}
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate posexplode"):]
+    assert "Aggregate [__l" in below.split("LogicalRDD")[0]
+
+
+def test_files_of_one_partition_are_parsed_by_several_tasks(spark, monkeypatch):
+    seen, parse = [], codefront.source_nodes
+    monkeypatch.setattr(codefront, "source_nodes", lambda d, **k: seen.append(d.rdd.getNumPartitions()) or parse(d, **k))
+    files = spark.createDataFrame([(f"F{i}.java", f"class F{i} {{ private F{i + 1} next; }}\n") for i in range(30)], "path string, content string").coalesce(1)
+    got = {(r.src, r.dst, r.edge_type) for r in imports.type_graph(files).collect()}
+    assert got == {(f"F{i}", f"F{i + 1}", "field") for i in range(29)} and seen == [4]
