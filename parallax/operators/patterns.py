@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parallax.functions.similarity import pattern_similarity, set_jaccard
-from parallax.operators.checkpoints import cut
+from parallax.operators.checkpoints import cut, dealt
 
 GROUPS = ("types", "apis", "errors", "resources", "algorithms", "content")
 
@@ -124,7 +124,7 @@ def of_files(files: DataFrame) -> DataFrame:
     same = F.md5(F.concat(F.coalesce("lang", F.lit("")), F.coalesce(F.concat(F.lit("\n"), "content"), F.lit(""))).cast("binary")).alias("same")
     own = files.select(F.col("path").cast("string").alias("file_id"), "content", codefront.node_language_of_path(F.col("path")).alias("lang"))
     once = own.select("lang", "content").distinct().select(same.alias("file_id"), "content", F.coalesce("lang", codefront.language_of_content(F.col("content"))).alias("lang"))
-    parsed = function_patterns(trees.parse(once, F.col("lang")))
+    parsed = function_patterns(trees.parse(dealt(once, "file_id"), F.col("lang")))
     return own.select("file_id", same).join(cut(parsed).withColumnRenamed("file_id", "same"), "same").drop("same")
 
 
