@@ -290,7 +290,7 @@ def connect(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # Small star: smaller neighbours of a node, and itself, move to the smallest of them.
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").unionByName(low.select(F.col("a").alias("x"), "m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
-        e = cut(small, clean=False)
+        e = cut(small)  # the rounds' plans and shuffle files go as they end, or the driver's heap grows to its limit
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_033)).first())
         if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

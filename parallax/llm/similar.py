@@ -16,6 +16,7 @@ than a shingle are one shingle; equal texts and repeated rows are one node; a co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ ONE_IN, COUNTED, COMMON = 8, 8000, 100_000
 SPAN, FARTHER, AT_ONCE = 4, 64, 1
 #: Bins of the counts that tell pairs apart before their texts are fetched.
 BINS = 256
+#: Longs of the parities that tell pairs apart where they meet in a bucket.
+LONGS = 16
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,6 +50,12 @@ def binned(distinct: np.ndarray) -> bytes:
     return np.minimum(np.bincount((distinct % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
+def parities(distinct: np.ndarray) -> np.ndarray:
+    """The hashes as bits in LONGS longs, each the parity of those that fall on it: sets differ in no fewer hashes than bits."""
+    odd = np.bincount((distinct % np.uint64(64 * LONGS)).astype(np.int64), minlength=64 * LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether rows of bin counts allow a similarity: two sets share no more than the smaller count of each bin."""
     common, both = np.minimum(a, b).sum(axis=1, dtype=np.int64), a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
@@ -151,14 +160,15 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
 
 
 def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) in which every two texts as similar as asked have one root; nodes: th, node; roots: node, root, joined of such texts only.
+    """(node, root) in which every two texts as similar as asked have one root; nodes: th, node, bins, odd; roots: node, root, joined of such texts only.
 
     Each round compares neighbours by size within the buckets, farther ones than the round before, and joins what is alike. As soon
     as few enough pairs across components are left in all, they are compared at once.
     """
     n = roots.count()
-    dealt = cut(_buckets(docs, nodes.select("th", "node").join(roots, "node"), n, shingle, similarity))
-    span, before = SPAN, 0
+    dealt = _buckets(docs, nodes.select("th", "node").join(roots, "node"), n, shingle, similarity)
+    dealt = cut(dealt.join(nodes.select("node", "odd"), "node"))  # only what is left in buckets carries parities
+    span, before, sides = SPAN, 0, ("node", "size", "at", "pos", "root", "odd")
     while True:
         live = dealt.join(roots, "node")
         held = live.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max_by("root", F.struct("c", "root")).alias("main")).where("n * n > same")
@@ -167,7 +177,7 @@ def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: i
         if not left:
             return roots
         live = live.join(held.select("key", "main"), "key")
-        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "pos", "root")], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "pos", "root")])
+        x, y = live.select("key", *[F.col(c).alias(f"{c}_a") for c in sides], "main"), live.select("key", *[F.col(c).alias(f"{c}_b") for c in sides])
         apart = F.abs(F.col("pos_a") - F.col("pos_b"))
         last = left <= AT_ONCE * n or span >= most
         if last:  # each pair across components has a side outside its bucket's largest one
@@ -179,6 +189,9 @@ def completed(docs: DataFrame, nodes: DataFrame, roots: DataFrame, *, shingle: i
         close = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
         # The first shingle that alike texts share has enough shingles behind it in both; they may fail at what they share later.
         close &= F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+        # Alike sets differ in so few shingles, and so in no more bits of their parities.
+        apart_bits = reduce(lambda m, n: m + n, [F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(LONGS)])
+        close &= apart_bits <= (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b")) + 1e-6
         order = F.col("node_a") < F.col("node_b")
         pick = lambda c, d: F.when(order, F.col(c)).otherwise(F.col(d))
         pairs = cut(met.where("root_a <> root_b").where(close).select(pick("node_a", "node_b").alias("a"), pick("node_b", "node_a").alias("b"), pick("root_a", "root_b").alias("p"), pick("root_b", "root_a").alias("q")).distinct())
@@ -195,15 +208,16 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     """Per document: doc_id, th, component (some name of it)."""
     bound_batches(docs)
 
-    @F.pandas_udf("fp long, bins binary")
+    @F.pandas_udf("fp long, bins binary, odd array<long>")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             own = [hashes(t, shingle) for t in texts]
-            yield pd.DataFrame({"fp": np.array([majority(h) for h in own], dtype=np.int64), "bins": [binned(np.unique(h)) for h in own]})
+            sets = [np.unique(h) for h in own]
+            yield pd.DataFrame({"fp": np.array([majority(h) for h in own], dtype=np.int64), "bins": [binned(h) for h in sets], "odd": [parities(h) for h in sets]})
 
     own = cut(docs.select("doc_id", text_hash(F.col("text")).alias("th"), sketched(F.col("text").cast("string")).alias("s")).select("doc_id", "th", "s.*"))
     # Numbers of the distinct texts, short in pairs and buckets; they hold as the table is written before it is read.
-    nodes = cut(own.groupBy("th").agg(F.first(F.struct("fp", "bins")).alias("s")).select("th", "s.*", F.monotonically_increasing_id().alias("node")))
+    nodes = cut(own.groupBy("th").agg(F.first(F.struct("fp", "bins", "odd")).alias("s")).select("th", "s.*", F.monotonically_increasing_id().alias("node")))
     roots = connect(_verified(docs, nodes, cut(edges(nodes)), shingle, similarity)).withColumnRenamed("root", "to")
     first = cut(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("to", "node").alias("root")))
     named = nodes.select("th", "node").join(completed(docs, nodes, first, shingle=shingle, similarity=similarity), "node")

@@ -101,3 +101,14 @@ def test_families_are_whole(spark, monkeypatch, at_once, span):
     texts = repeats + family(40) + family(150, seed=2) + family(500, seed=4) + family(60, seed=5, changed=(4, 9))
     got = {x.doc_id: x.component_id for x in similar.components(frame(spark, texts)).collect()}
     assert got == dict(enumerate(all_pairs(texts)))
+
+
+def test_parities_lose_no_pair_and_tell_chance_pairs_apart():
+    texts = near_texts() + family(30) + [f"{a} {b}" for a, b in zip(family(30, seed=8), family(30, seed=9, changed=(190, 200)))]
+    sets = [similar.shingle_hashes(t) for t in texts]
+    bits = np.array([similar.parities(s) for s in sets]).view(np.uint64)
+    size = np.array([len(s) for s in sets])
+    for i in range(len(texts)):
+        may = np.bitwise_count(bits[i] ^ bits).sum(axis=1) <= 0.2 / 1.8 * (size + size[i]) + 1e-6
+        score = np.array([similar.jaccard(sets[i], t) for t in sets])
+        assert may[score >= 0.8].all() and not may[score < 0.6].any()
